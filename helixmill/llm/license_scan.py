@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from helixmill.llm._shared import ascii_lower
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CONTAINMENT = 0.9
+CONTAINMENT = 0.95
 #: Phrases and their labels.
 PHRASES = (
     ("under the mit license", "mit"),
@@ -42,7 +42,7 @@ PHRASES = (
 #: Wording of common licence notices, by label.
 TEMPLATES = (
     ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
