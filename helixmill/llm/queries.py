@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import exact_dedup, license_scan, line_dedup, mixing, secrets
+from helixmill.llm import ann, exact_dedup, license_scan, line_dedup, mixing, packing, secrets
 from helixmill.llm._shared import table
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -22,6 +26,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(secrets.samples(spark, docs, table(spark, sf_dir, "labels")))).drop("found")
 
 
+def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pieces(table(spark, sf_dir, "documents"), digest=True)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -32,9 +41,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_learned_partitions": op1_learned_partitions,
     "op3_license_scan": op3_license_scan,
     "op4_source_mix": op4_source_mix,
     "op5_secret_scan": op5_secret_scan,
+    "op8_cost_packing": op8_cost_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
