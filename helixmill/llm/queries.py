@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import ann, exact_dedup, license_scan, line_dedup, mixing, packing, secrets
+from helixmill.llm import ann, exact_dedup, kneser_ney, license_scan, line_dedup, minhash, mixing, packing, secrets
 from helixmill.llm._shared import table
 
 
@@ -26,6 +26,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(secrets.samples(spark, docs, table(spark, sf_dir, "labels")))).drop("found")
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", F.col("_chars").alias("n_scored"), F.col("_perplexity").alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept"))
+
+
+def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pieces(table(spark, sf_dir, "documents"), digest=True)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -45,6 +54,8 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_source_mix": op4_source_mix,
     "op5_secret_scan": op5_secret_scan,
+    "op6_kneser_ney_quality": op6_kneser_ney_quality,
+    "op7_bbit_minhash": op7_bbit_minhash,
     "op8_cost_packing": op8_cost_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
