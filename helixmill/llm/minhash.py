@@ -51,11 +51,10 @@ def _mix64(x):
 def shingle_sets(texts, size: int = SHINGLE):
     """Arrow strings -> sorted distinct 64-bit shingle hashes of each text."""
     import numpy as np
-    import pyarrow as pa
     import pyarrow.compute as pc
     import xxhash
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)

@@ -72,10 +72,9 @@ class Words:
     def encode(self, texts):
         """Arrow strings -> one array of ids per text, end token included."""
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts, "")
         lists = pc.ascii_split_whitespace(texts)
         offsets, coded = np.asarray(lists.offsets), lists.flatten().dictionary_encode()
         flat, bounds = self.table(coded.dictionary.to_pylist())
