@@ -6,8 +6,10 @@
 2. Texts of equal sets fall into one class first, so copies cost one row.
 3. Classes that share a band key are candidates. A bucket never becomes all its pairs:
    each member is tried against the bucket's smallest id, links are confirmed, and
-   linked classes merge. Only pairs of a bucket that are still in different components
-   are tried one by one, inside a join whose condition counts equal bits.
+   linked classes merge. Of what is still in different components, shingles that one
+   set alone has are counted: they bound every intersection, and most members of a
+   large group of edited copies drop out. Pairs of the rest are tried one by one, inside a
+   join whose condition holds these bounds and counts equal bits.
 4. A candidate's similarity is estimated from the packed bits, corrected for chance
    agreement, (m - 2^-b) / (1 - 2^-b); pairs over ESTIMATE, six standard deviations
    below the threshold, are confirmed on full sets, which only these texts need.
@@ -139,6 +141,16 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["id", "set"])
 
 
+def _lists(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in shingle_sets(part.column(1))], pa.list_(pa.int64()))], names=["id", "hashes"])
+
+
 def _confirm(percent: int):
     def run(batches):
         import numpy as np
@@ -208,6 +220,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return members.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def shareable(apart: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """apart with `shared`, the shingles of a row's set that any other set of apart has; without rows that share too few.
+
+    A shingle found in one set only is in no intersection, so |x & y| is at most the
+    smaller `shared` of the two. Of a large group of edited copies this leaves out the
+    much edited ones, whose pairs would be as many as the group's size squared.
+    """
+    ids = materialise(apart.select("id").distinct(), "near-apart-ids")
+    sets = docs.join(small(ids), "id", "left_semi").mapInArrow(_lists, "id long, hashes array<long>")
+    lone = sets.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
+    own = lone.groupBy("id").agg(F.count("*").alias("own"))
+    out = apart.join(own, "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return out.filter(100 * F.col("shared") >= percent * F.col("n"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -226,8 +253,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
     apart = materialise(placed.filter("id <> hub").join(mixed, "band").join(classes.select("id", "n", *SIGNATURE), "id"), "near-apart")
-    x, y = (apart.select("band", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", *SIGNATURE)]) for s in ("x", "y"))
-    pairs = x.join(y, "band").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & _possible("x_", "y_", percent))
+    apart = shareable(apart, rows, percent)
+    x, y = (apart.select("band", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", "shared", *SIGNATURE)]) for s in ("x", "y"))
+    most = F.least("x_shared", "y_shared")
+    enough = 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)
+    pairs = x.join(y, "band").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & enough & _possible("x_", "y_", percent))
     more = confirmed(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), classes, rows, percent)
     if not more.isEmpty():
         links = materialise(links.unionByName(more), "near-links")
