@@ -21,8 +21,10 @@ empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
+import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Tokens that a task packs at a time, and words whose ids a worker remembers.
-CHUNK_TOKENS, MEMO_WORDS = 4_000_000, 300_000
+CHUNK_TOKENS, MEMO_WORDS = 4_000_000, 800_000
 TAIL_GROUP = 512
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
 
@@ -61,8 +63,9 @@ class Words:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, dtype="<u4").tobytes()
-        got = [fresh[w] if w in fresh else memo[w] for w in words]
+                ids = e.ids
+                fresh[w] = struct.pack(f"<{len(ids)}I", *ids)
+        got = [fresh.get(w) or memo.get(w, b"") for w in words]
         if len(memo) < self.most:
             memo.update(list(fresh.items())[: self.most - len(memo)])
         bounds = np.zeros(len(got) + 1, dtype=np.int64)
@@ -91,6 +94,12 @@ class Words:
             yield out
 
 
+@functools.cache
+def _words(file: str) -> Words:
+    """One per worker and file: a worker's later tasks know the words of its earlier ones."""
+    return Words(file)
+
+
 def pack(lengths, capacity: int = CAPACITY, last: bool = False):
     """Lengths -> (item, start, length, sequence, offset) of each piece, and the items' leftovers (item, start, length).
 
@@ -162,7 +171,7 @@ def _first(file: str, capacity: int, chunk: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words, bundle = Words(file), _Bundle(part, capacity)
+        words, bundle = _words(file), _Bundle(part, capacity)
         base = part << 38
         for batch in batches:
             ids = batch.column(0).to_pylist()
