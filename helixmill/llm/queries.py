@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import ann, exact_dedup, kneser_ney, license_scan, line_dedup, minhash, mixing, packing, secrets
+from helixmill.llm import ann, exact_dedup, katz, kneser_ney, license_scan, line_dedup, minhash, mixing, packing, secrets
 from helixmill.llm._shared import table
 
 
@@ -13,6 +13,10 @@ def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -51,6 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_learned_partitions": op1_learned_partitions,
+    "op2_katz_backoff": op2_katz_backoff,
     "op3_license_scan": op3_license_scan,
     "op4_source_mix": op4_source_mix,
     "op5_secret_scan": op5_secret_scan,
