@@ -1,4 +1,4 @@
 """All queries of the plan modules."""
 
-from helixmill.plans import batching, corpus, evaluate, geometry, tokens  # noqa: F401
+from helixmill.plans import batching, corpus, evaluate, geometry, relational, tokens  # noqa: F401
 from helixmill.plans.registry import COVERS, ORACLE, QUERIES  # noqa: F401

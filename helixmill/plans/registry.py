@@ -42,6 +42,15 @@ def U(seed: str, key: str) -> str:
     return f"(CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
+def exact_sum(col):
+    """A sum that does not depend on the order of addition."""
+    return F.sum(col.cast("decimal(24,6)")).cast("double")
+
+
+def S(sql: str) -> str:
+    return f"CAST(sum(CAST({sql} AS DECIMAL(24,6))) AS DOUBLE)"
+
+
 CORPUS = "corpus AS (SELECT d.doc_id, d.text AS seq, d.n_chars AS length, d.lang AS split, d.source AS cluster, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 
 
