@@ -36,8 +36,8 @@ from helixmill.llm._shared import materialise
 
 #: Counts up to this one are discounted.
 K = 5
-CHARS_PER_SHARD, MIN_SHARDS = 36_000_000, 8
-CHUNK_TOKENS, CHUNK_DOCS = 5_000_000, 1 << 20
+CHARS_PER_SHARD, MIN_SHARDS = 24_000_000, 8
+CHUNK_TOKENS, CHUNK_DOCS = 3_500_000, 1 << 20
 #: A word is hot above this count and 1 / (4 * shards) of all tokens: at most 4 * shards words are.
 HOT_COUNT = 20_000
 START, END = 1, 2
@@ -195,21 +195,33 @@ def _ship_bigrams(shards: int, hot: list[int]):
             unit = part << 16 | chunk
             held = np.array([held_out(i) for i in ids])
             vocabulary = np.unique(np.concatenate([words, np.array([START], np.uint64)]))
-            w = np.searchsorted(vocabulary, words)
-            h = _histories(w, lens)
-            h[np.cumsum(lens) - lens] = np.searchsorted(vocabulary, np.uint64(START))
-            doc = np.repeat(np.arange(len(ids)), lens)
-            pair = h.astype(np.int64) * len(vocabulary) + w
-            order = np.lexsort((doc, pair))
-            pair, doc = pair[order], doc[order]
-            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])
-            count = np.diff(np.r_[new, len(pair)]).astype(np.uint32)
-            pair, doc = pair[new], doc[new]
-            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            docs_of = np.diff(np.r_[first, len(pair)]).astype(np.uint32)
-            ph, pw = vocabulary[pair[first] // len(vocabulary)], vocabulary[pair[first] % len(vocabulary)]
+            # One number per (history, word, document), sorted in place.
+            size, many = len(vocabulary), len(ids)
+            key = np.searchsorted(vocabulary, words)
+            before = np.empty_like(key)
+            before[1:] = key[:-1]
+            before[np.cumsum(lens) - lens] = np.searchsorted(vocabulary, np.uint64(START))
+            del words
+            key += before * size
+            del before
+            if size * size * many >= 1 << 63:
+                raise ValueError("lower CHUNK_TOKENS: its documents' bigrams do not fit 63 bits")
+            key *= many
+            key += np.repeat(np.arange(many), lens)
+            key.sort()
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.diff(np.r_[new, len(key)]).astype(np.uint32)
+            key = key[new]
+            doc = (key % many).astype(np.int32)
+            key //= many
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            docs_of = np.diff(np.r_[first, len(key)]).astype(np.uint32)
+            key = key[first]
+            ph, pw = vocabulary[key // size], vocabulary[key % size]
+            del new, first, key
             to = np.where(np.isin(ph, hot_words), _shard(pw, shards), _shard(ph, shards))
             tag = (doc * 2 + held[doc]).astype(np.uint16 if len(ids) < 32768 else np.uint32)
+            to = to.astype(np.int32)
             where = np.repeat(to, docs_of)
             by_pair, by_doc = np.argsort(to, kind="stable"), np.argsort(where, kind="stable")
             tos, wheres = to[by_pair], where[by_doc]
@@ -233,7 +245,8 @@ def _score_shard(total: int, distinct: int, d1: list[float], unknown: float, hot
 
         out, u, cu, h, w, n, gid, held, count = [], [], [], [], [], [], [], [], []
         shard = key[0].as_py()
-        for r in table.to_pylist():
+        for i in range(table.num_rows):
+            r = table.slice(i, 1).to_pylist()[0]
             get = lambda i, kind, r=r: np.frombuffer(r[f"b{i}"], kind)
             if r["kind"] == UNIGRAMS:
                 u.append(get(0, np.uint64))
@@ -246,17 +259,19 @@ def _score_shard(total: int, distinct: int, d1: list[float], unknown: float, hot
                 n.append(get(3, np.uint32))
                 count.append(get(5, np.uint32))
                 tag = get(4, np.uint16 if len(r["b4"]) == 2 * len(count[-1]) else np.uint32)
-                gid.append((np.int64(r["unit"]) << 20) + (tag >> 1).astype(np.int64))
+                gid.append((np.int64(r["unit"]) << 20) + (tag >> 1))
                 held.append((tag & 1).astype(bool))
         if h:
             h, w, n, gid, held, count = map(np.concatenate, (h, w, n, gid, held, count))
-            order = np.lexsort((w, h))
+            order = np.lexsort((w, h)).astype(np.int32 if len(h) < 1 << 31 else np.int64)
             hs, ws = h[order], w[order]
+            del h, w
             new = np.r_[True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])]
-            number = np.empty(len(h), dtype=np.int64)
-            number[order] = np.cumsum(new) - 1
+            number = np.empty(len(hs), dtype=np.int32)
+            number[order] = np.cumsum(new, dtype=np.int32) - 1
             hs, ws = hs[new], ws[new]
             at = np.repeat(number, n)  # the pair of each (pair, document)
+            del order, new, number, n
             c = np.bincount(at[~held], weights=count[~held], minlength=len(hs)).astype(np.int64)
             cw = np.zeros(len(ws), dtype=np.int64)
             if u:
@@ -282,6 +297,7 @@ def _score_shard(total: int, distinct: int, d1: list[float], unknown: float, hot
             value = np.where(c > 0, seen, np.log10(p1))
             base = np.log10((cw + 0.5) / (total + 0.5 * (distinct + 1)))
             docs, g = np.unique(gid, return_inverse=True)
+            g = g.astype(np.int32)
             add = lambda x: np.bincount(g, weights=count * x, minlength=len(docs))
             met = np.stack([add(c[at] == r) for r in range(1, K + 1)], 1).astype(np.uint32)
             out.append(_row(shard, STATE, 0, docs, add(base[at]), add(value[at]), add(cw[at] > 0).astype(np.uint32), met))
