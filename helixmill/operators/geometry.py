@@ -216,3 +216,36 @@ def greedy_chain_match(df: DataFrame, keys=("entry",)) -> DataFrame:
         return g.iloc[rows][[*keys, "pred", "true"]]
 
     return df.groupBy(*keys).applyInPandas(match, schema)
+
+
+def transforms(points: DataFrame, keys=("entry",), mask: str | None = None) -> DataFrame:
+    """Rotation (row by row) and translation that lay the second model on the first, fitted where mask holds: keys, m (12 numbers)."""
+    w = F.when(F.col(mask), 1.0).otherwise(0.0) if mask else F.lit(1.0)
+    p, q = ("x", "y", "z"), ("px", "py", "pz")
+    sums = [F.sum(w).alias("w")] + [F.sum(w * F.col(c)).alias(f"s_{c}") for c in (*p, *q)] + [F.sum(w * F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for a in p for b in q]
+    names = ["w", *[f"s_{c}" for c in (*p, *q)], *[f"c_{a}_{b}" for a in p for b in q]]
+
+    @F.pandas_udf("array<double>")
+    def fit(*cols):
+        import numpy as np
+        import pandas as pd
+
+        v = {k: c.to_numpy() for k, c in zip(names, cols)}
+        n = np.maximum(v["w"], 1)
+        mp, mq = (np.stack([v[f"s_{c}"] / n for c in side], -1) for side in (p, q))
+        h = np.stack([np.stack([v[f"c_{a}_{b}"] - v[f"s_{a}"] * v[f"s_{b}"] / n for b in q], -1) for a in p], -2)
+        u, _, vt = np.linalg.svd(h)
+        u[:, :, 2] *= np.sign(np.linalg.det(u @ vt))[:, None]
+        rot = u @ vt
+        shift = mp - np.einsum("nij,nj->ni", rot, mq)
+        return pd.Series(list(np.concatenate([rot.reshape(-1, 9), shift], axis=1)))
+
+    return points.groupBy(*keys).agg(*sums).select(*keys, fit(*names).alias("m"))
+
+
+def pocket_rmsd(points: DataFrame, pocket: str, ligand: str, keys=("entry",)) -> DataFrame:
+    """Deviation of the ligand after the models are superposed on the pocket."""
+    moved = points.join(transforms(points, keys, pocket), list(keys))
+    at = lambda r: sum((F.get("m", F.lit(3 * r + i)) * F.col(c) for i, c in enumerate(("px", "py", "pz"))), F.get("m", F.lit(9 + r)))
+    d2 = sum((F.pow(F.col(c) - at(r), 2) for r, c in enumerate("xyz")), F.lit(0.0))
+    return moved.filter(F.col(ligand)).groupBy(*keys).agg(F.sqrt(F.avg(d2)).alias("pocket_rmsd"))

@@ -123,7 +123,7 @@ def permutation_best(spark, d):
     return G.best_permutation(dev, ["entry"], "perm", "dev").select("entry", "perm", r6("dev").alias("dev"))
 
 
-@query("MET16 MET18")
+@query("MET16")
 def chain_matching(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e")).filter("vec_id < 160")
     a = e.filter("vec_id % 2 = 0").select("label", F.col("vec_id").alias("pred"), F.col("e").alias("p"))

@@ -33,7 +33,7 @@ def _joined(ids):
 J = "array_to_string({}, ',')"
 
 
-@query("FN06 FN07 FN08 FN10", f"SELECT doc_id, {J.format(f'list_concat([0], ({IDS})[1:100], [2])')} AS ids FROM documents")
+@query("FN06 FN07 FN08", f"SELECT doc_id, {J.format(f'list_concat([0], ({IDS})[1:100], [2])')} AS ids FROM documents")
 def esm_tokenize(spark, d):
     return _letters(spark, d).select("doc_id", _joined(sequence.wrapped(sequence.esm_ids(F.col("seq")), limit=100)).alias("ids"))
 
@@ -65,7 +65,7 @@ def padded_labels(spark, d):
     return _codes(spark, d).select("vec_id", part.alias("c")).select("vec_id", _joined(sequence.padded(F.col("c"), F.lit(16), sequence.PAD)).alias("input_ids"), _joined(sequence.padded(F.col("c"), F.lit(16), sequence.IGNORE)).alias("labels"), F.size("c").alias("attended"))
 
 
-@query("COL03 COL04 COL06 FN11", f"WITH t AS (SELECT vec_id, {CODES} AS c FROM embeddings) SELECT vec_id, CAST(len(list_filter(c, lambda x: x % 66 < 33)) AS INTEGER) AS residues, CAST(len(list_filter(c, lambda x: x % 66 >= 33)) AS INTEGER) AS structure FROM t")
+@query("FN11", f"WITH t AS (SELECT vec_id, {CODES} AS c FROM embeddings) SELECT vec_id, CAST(len(list_filter(c, lambda x: x % 66 < 33)) AS INTEGER) AS residues, CAST(len(list_filter(c, lambda x: x % 66 >= 33)) AS INTEGER) AS structure FROM t")
 def modality_counts(spark, d):
     kinds = F.transform("codes", lambda c: sequence.modality(c % 66))
     count = lambda k: F.size(F.filter(kinds, lambda x: x == k))

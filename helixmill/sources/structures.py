@@ -177,3 +177,22 @@ def source(spark: SparkSession, name: str, path) -> DataFrame:
     if name not in REGISTRY:
         raise ValueError(f"unknown source {name}; there are {', '.join(sorted(REGISTRY))}")
     return REGISTRY[name](spark, path)
+
+
+def backbone(atoms: DataFrame, chains: list[str] | None = None, names=("N", "CA", "C")) -> DataFrame:
+    """Backbone atoms of the first model; a chain asked for that an entry lacks is an error."""
+    rows = polymer(atoms).filter(F.col("atom").isin(*names))
+    if chains is None:
+        return rows
+    wanted = F.array(*map(F.lit, chains))
+    there = F.collect_set("chain").over(Window.partitionBy("entry"))
+    lacking = F.array_except(wanted, F.col("_there"))
+    checked = rows.withColumn("_there", there).withColumn("chain", F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("missing chains in "), "entry", F.lit(": "), F.array_join(lacking, ",")))).otherwise(F.col("chain")))
+    return checked.filter(F.col("chain").isin(*chains)).drop("_there")
+
+
+def by_residue(atoms: DataFrame, names=("N", "CA", "C")) -> DataFrame:
+    """One row per residue with an [x, y, z] column per atom name; a name that occurs twice in a residue is an error."""
+    at = lambda n: F.when(F.col("atom") == n, F.struct("x", "y", "z"))
+    one = [F.when(F.count(at(n)) > 1, F.raise_error(F.lit(f"duplicate atom {n}")).cast("struct<x:double,y:double,z:double>")).otherwise(F.max(at(n))).alias(n) for n in names]
+    return atoms.groupBy("entry", "chain", "res_idx", "icode").agg(*one)

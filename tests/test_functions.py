@@ -138,3 +138,14 @@ def test_grammar(spark):
     ok = ["<seq>", "A", "</seq>", "<struct>", "<|s0001|>", "</struct>", "<eos>"]
     df = spark.createDataFrame([(ok,), (ok[:-1],), (["<seq>", "<|s0001|>", "</seq>", "<eos>"],), (ok + ["A"],)], "t array<string>")
     assert [r.g for r in df.select(sequence.grammatical(F.col("t")).alias("g")).collect()] == [True, False, False, False]
+
+
+def test_pocket_alignment(spark):
+    p = _cloud(7)
+    angle = 1.1
+    rot = np.array([[1, 0, 0], [0, math.cos(angle), -math.sin(angle)], [0, math.sin(angle), math.cos(angle)]])
+    q = p @ rot.T + [1.0, 2.0, 3.0]
+    df = _frame(spark, p, q).withColumn("pocket", F.col("idx") < 6).withColumn("ligand", F.col("idx") >= 6)
+    assert geometry.pocket_rmsd(df, "pocket", "ligand").first().pocket_rmsd < 1e-6
+    q[6:] += [0.0, 0.0, 2.0]
+    assert abs(geometry.pocket_rmsd(_frame(spark, p, q).withColumn("pocket", F.col("idx") < 6).withColumn("ligand", F.col("idx") >= 6), "pocket", "ligand").first().pocket_rmsd - 2.0) < 1e-6

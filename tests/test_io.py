@@ -111,3 +111,20 @@ def test_streams(spark, tmp_path):
     unique = streams.distinct_events(timed.select("ts", "user_id"), ["user_id"])
     streams.drain(unique, str(tmp_path / "u"), str(tmp_path / "cu"))
     assert spark.read.parquet(str(tmp_path / "u")).count() > 0
+
+
+def test_backbone_and_residue_coordinates(spark, tmp_path):
+    (tmp_path / "a.pdb").write_text(PDB)
+    atoms = structures.parse(structures.read_files(spark, str(tmp_path)))[0]
+    assert structures.backbone(atoms, ["B"]).count() == 1
+    with pytest.raises(Exception, match="missing chains"):
+        structures.backbone(atoms, ["Z"]).collect()
+    rows = {(r.chain, r.res_idx): r for r in structures.by_residue(structures.polymer(atoms)).collect()}
+    assert rows[("A", 5)].N.x == 0.5 and rows[("A", 5)].C is None
+    with pytest.raises(Exception, match="duplicate atom CA"):
+        structures.by_residue(atoms.filter("resname = 'ALA'")).collect()
+
+
+def test_trajectory(spark):
+    df = spark.createDataFrame([("s", "step_10", "B"), ("s", "step_9", "A")], "k string, n string, t string")
+    assert writers.trajectory_text(df, ["k"], "n", "t").first().text == "MODEL     1\nA\nENDMDL\nMODEL     2\nB\nENDMDL\nEND"
