@@ -79,10 +79,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **kw) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with the columns of docs."""
     sizes = docs.select(size_of(F.col(f"`{text_col}`")).alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"))
-    rates = _rates(sizes, **kw).select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), (F.col("target") / F.col("source_size")).alias("_rate"))
-    n = F.when(F.col("_size") > 0, copies(F.col("_rate"), F.col(f"`{id_col}`"), seed)).otherwise(F.lit(1)).cast("int")
+    rates = _rates(sizes, **kw).select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), (F.col("target") / F.col("source_size")).alias("_mix_rate"))
+    n = F.when(F.col("_mix_size") > 0, copies(F.col("_mix_rate"), F.col(f"`{id_col}`"), seed)).otherwise(F.lit(1)).cast("int")
     return (
-        docs.join(rates, docs[source_col].cast("string").eqNullSafe(rates._source))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n)))
+        docs.join(rates, docs[source_col].cast("string").eqNullSafe(rates._mix_source))
+        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), n)))
         .select(*[docs[c] for c in docs.columns])
     )

@@ -32,7 +32,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "lang", F.col("_chars").alias("n_scored"), F.col("_perplexity").alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept"))
+    return judged.select("doc_id", "lang", F.col("_kn_chars").alias("n_scored"), F.col("_kn_perplexity").alias("perplexity"), F.col("_kn_threshold").alias("threshold"), F.col("_kn_kept").alias("kept"))
 
 
 def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,12 @@ from helixmill.llm import ann, exact_dedup, katz, kneser_ney, license_scan, line
 DATA = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Extra columns whose names clash with those that operators add or use.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, component_id long, key string, _id long, _text string, id long, part int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, component_id long, key string, _id long, _text string, id long, part int, _size long, _s string, _kept boolean"
 
 
 def docs_of(spark, rows):
     """rows: (doc_id, text, source)."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 7, False, 3, "k", 9, "z", 5, 1) for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 7, False, 3, "k", 9, "z", 5, 1, 2, "q", True) for i, t, s in rows], SCHEMA)
 
 
 def words(n, seed=0):
@@ -342,8 +342,8 @@ def test_quality(spark, odd, empty, labels):
     df = docs_of(spark, rows)
     lab = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in kneser_ney.classify(df, lab).collect()}
-    assert sum(got[i]._kept for i in range(80)) >= 78 and not any(got[100 + i]._kept for i in range(10))
-    assert not got[1]._kept and not got[2]._kept and got[1]._perplexity is None
+    assert sum(got[i]._kn_kept for i in range(80)) >= 78 and not any(got[100 + i]._kn_kept for i in range(10))
+    assert not got[1]._kn_kept and not got[2]._kn_kept and got[1]._kn_perplexity is None
     assert kneser_ney.keep(df, lab).columns == df.columns
     assert kneser_ney.classify(empty, labels).count() == 0
     assert kneser_ney.classify(odd, labels).count() == len(ODD)
