@@ -6,10 +6,10 @@
 2. Texts of equal sets fall into one class first, so copies cost one row.
 3. Classes that share a band key are candidates. A bucket never becomes all its pairs:
    each member is tried against the bucket's smallest id, links are confirmed, and
-   linked classes merge. Of what is still in different components, shingles that one
-   set alone has are counted: they bound every intersection, and most members of a
-   large group of edited copies drop out. Pairs of the rest are tried one by one, inside a
-   join whose condition holds these bounds and counts equal bits.
+   linked classes merge. What a mixed bucket leaves in different components goes
+   through an exact prefix join on full sets, rarest shingles first: it brings together
+   only pairs that may be links, where a large group of edited copies would give the
+   square of its size.
 4. A candidate's similarity is estimated from the packed bits, corrected for chance
    agreement, (m - 2^-b) / (1 - 2^-b); pairs over ESTIMATE, six standard deviations
    below the threshold, are confirmed on full sets, which only these texts need.
@@ -144,11 +144,14 @@ def _sets(batches):
 def _lists(batches):
     import numpy as np
     import pyarrow as pa
+    import xxhash
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in shingle_sets(part.column(1))], pa.list_(pa.int64()))], names=["id", "hashes"])
+            sets = list(shingle_sets(part.column(1)))
+            keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "key", "hashes"])
 
 
 def _confirm(percent: int):
@@ -220,19 +223,24 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return members.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def shareable(apart: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """apart with `shared`, the shingles of a row's set that any other set of apart has; without rows that share too few.
+def apart_pairs(apart: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of apart in different components that may be similar enough; none that is, is left out.
 
-    A shingle found in one set only is in no intersection, so |x & y| is at most the
-    smaller `shared` of the two. Of a large group of edited copies this leaves out the
-    much edited ones, whose pairs would be as many as the group's size squared.
+    apart: id, key, component, n, signature. An exact prefix join: each set's shingles
+    are put in one order, rarest in apart first. A pair with n + m shingles needs an
+    overlap of t = percent (n + m) / (100 + percent), so its first common shingle has
+    place n - t at most in one set and m - t in the other. A much edited copy begins with
+    its own edits and meets nobody, where pairs of a bucket would grow with its square.
     """
-    ids = materialise(apart.select("id").distinct(), "near-apart-ids")
-    sets = docs.join(small(ids), "id", "left_semi").mapInArrow(_lists, "id long, hashes array<long>")
-    lone = sets.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
-    own = lone.groupBy("id").agg(F.count("*").alias("own"))
-    out = apart.join(own, "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    return out.filter(100 * F.col("shared") >= percent * F.col("n"))
+    sets = docs.join(small(materialise(apart.select("id").distinct(), "near-apart-ids")), "id", "left_semi").mapInArrow(_lists, "id long, key binary, hashes array<long>")
+    tokens = materialise(sets.select("id", "key", F.explode("hashes").alias("h")), "near-apart-tokens")
+    often = tokens.groupBy("h").agg(F.count("*").alias("c"))
+    ordered = tokens.join(often, "h").groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("r"))  # one text's shingles
+    rows = ordered.join(apart, ["id", "key"]).select("id", "component", "n", *SIGNATURE, F.posexplode(F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("i", "t"))
+    x, y = (rows.select(F.col("t.h").alias("h"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", "i", *SIGNATURE)]) for s in ("x", "y"))
+    room = lambda s: (F.col(f"{s}_n") - F.col(f"{s}_i")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    pairs = x.join(y, "h").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & room("x") & room("y") & _possible("x_", "y_", percent))
+    return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -252,13 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What the stars left apart: members of one bucket in different components.
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    apart = materialise(placed.filter("id <> hub").join(mixed, "band").join(classes.select("id", "n", *SIGNATURE), "id"), "near-apart")
-    apart = shareable(apart, rows, percent)
-    x, y = (apart.select("band", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", "shared", *SIGNATURE)]) for s in ("x", "y"))
-    most = F.least("x_shared", "y_shared")
-    enough = 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)
-    pairs = x.join(y, "band").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & enough & _possible("x_", "y_", percent))
-    more = confirmed(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), classes, rows, percent)
+    apart = materialise(placed.filter("id <> hub").join(mixed, "band").select("id", "component").distinct().join(classes.select("id", "key", "n", *SIGNATURE), "id"), "near-apart")
+    more = confirmed(apart_pairs(apart, rows, percent), classes, rows, percent)
     if not more.isEmpty():
         links = materialise(links.unionByName(more), "near-links")
         found = components(links)
