@@ -323,34 +323,71 @@ def backoff(profile, d):
     return np.log10(free / (1 - profile[:, K + 2]))
 
 
+def _by_unit(kind, gid, *columns):
+    """One row per chunk of documents: places in the chunk, and each column's values."""
+    import numpy as np
+
+    unit = gid >> 20
+    edges = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else []
+    for a, b in zip(edges, [*edges[1:], len(unit)]):
+        yield _row(0, kind, unit[a], (gid[a:b] & ((1 << 20) - 1)).astype(np.uint32), *[c[a:b] for c in columns])
+
+
 def _finish(d: list[float], hot: dict[int, float]):
+    """Discounts and backoff weights added to a shard's sums, packed by chunk of documents."""
+
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["gid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 get = lambda i, kind, r=r: np.frombuffer(r[f"b{i}"], kind)
                 if r["kind"] == DOCS:
-                    ids = get(0, np.int64)
-                    rows = [(r["unit"] << 20) + np.arange(len(ids)), pa.array(ids, mask=~get(1, bool)), get(3, bool), get(2, np.int64), None, None, None]
+                    rows = [_row(0, DOCS, r["unit"], *[get(i, np.uint8) for i in range(4)])]
                 elif r["kind"] == STATE:
                     met = get(4, np.uint32).reshape(-1, K)
-                    rows = [get(0, np.int64), None, None, None, get(3, np.uint32).astype(np.int64), get(1, np.float64), get(2, np.float64) + met @ np.log10(d)]
+                    rows = list(_by_unit(STATE, get(0, np.int64), get(3, np.uint32), get(1, np.float64), get(2, np.float64) + met @ np.log10(d)))
                 else:
                     gid, hi, n = get(0, np.int64), get(1, np.uint32), get(2, np.uint32)
                     weight, name = backoff(get(3, np.float64).reshape(-1, K + 3), d), get(4, np.uint64)
                     weight = np.array([hot.get(int(x), w) if x else w for x, w in zip(name, weight)])
                     docs, g = np.unique(gid, return_inverse=True)
-                    rows = [docs, None, None, None, None, None, np.bincount(g, weights=n * weight[hi], minlength=len(docs)) if len(docs) else np.empty(0)]
-                size = len(rows[0])
-                yield pa.RecordBatch.from_arrays([pa.nulls(size, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, type=k) for c, k in zip(rows, kinds)], names=names)
+                    rows = list(_by_unit(BIGRAMS, docs, np.bincount(g, weights=n * weight[hi], minlength=len(docs)))) if len(docs) else []
+                if rows:
+                    yield _batch(rows)
 
     return run
 
 
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _sum_unit(key, table):
+    """Scores of one chunk's documents; a chunk has at most CHUNK_DOCS."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids = valid = lens = held = None
+    sums = []
+    for i in range(table.num_rows):
+        r = table.slice(i, 1).to_pylist()[0]
+        get = lambda i, kind, r=r: np.frombuffer(r[f"b{i}"], kind)
+        if r["kind"] == DOCS:
+            ids, valid, lens, held = get(0, np.int64), get(1, bool), get(2, np.int64), get(3, bool)
+        elif r["kind"] == STATE:
+            sums.append((get(0, np.uint32), get(1, np.uint32), get(2, np.float64), get(3, np.float64)))
+        else:
+            sums.append((get(0, np.uint32), None, None, get(1, np.float64)))
+    known, base, score = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+    for at, k, b, s in sums:  # each document once in a row
+        score[at] += s
+        if k is not None:
+            known[at] += k
+            base[at] += b
+    return pa.table({"doc_id": pa.array(ids, mask=~valid), "held_out": pa.array(held), "n_tokens": pa.array(lens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_per_shard: int = CHARS_PER_SHARD, hot_count: int = HOT_COUNT) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     import numpy as np
@@ -385,10 +422,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
     for w, p in profiles.items():
         p[K + 1] = hot[w]
         weights[w] = float(backoff(p[None, :], d2)[0])
-    sums = state.filter(f"kind IN ({DOCS}, {STATE}, {BIGRAMS})").mapInArrow(_finish(d2, weights), "gid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    total_of = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return (
-        sums.groupBy("gid")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), total_of("n_known"), total_of("base_score"), total_of("score"))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    sums = state.filter(f"kind IN ({DOCS}, {STATE}, {BIGRAMS})").mapInArrow(_finish(d2, weights), SHIPPED)
+    scored = sums.groupBy("unit").applyInArrow(_sum_unit, RESULT)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
