@@ -198,24 +198,48 @@ def valid_permutation(df: DataFrame, keys, place: str) -> DataFrame:
     return df.groupBy(*keys).agg(((F.countDistinct(place) == F.count("*")) & (F.max(place) == F.count("*") - 1) & (F.min(place) == 0)).alias("valid"))
 
 
-def greedy_chain_match(df: DataFrame, keys=("entry",)) -> DataFrame:
-    """Predicted to true chains of one complex: (keys, pred, true, length, d) -> keys, pred, true; longest first, nearest first, each once.
+def greedy_chain_match(pred: DataFrame, true: DataFrame, keys=("entry",)) -> DataFrame:
+    """Predicted to true chains of one complex: (keys, pred, length, p) and (keys, true, t) -> keys, pred, true; longest first, nearest first, each once.
 
-    A group is one complex.
+    p and t are arrays of equal size, compared by squared distance. A group is one complex;
+    its task holds the chains but not their pairs: each predicted chain queues with its
+    nearest free true chain, and queues again if that one is taken before its turn.
     """
-    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in (*keys, "pred", "true"))
-
-    def match(g):
-        g = g.sort_values(["length", "d", "pred", "true"], ascending=[False, True, True, True])
-        used_p, used_t, rows = set(), set(), []
-        for i, r in enumerate(g.itertuples()):
-            if r.pred not in used_p and r.true not in used_t:
-                used_p.add(r.pred)
-                used_t.add(r.true)
-                rows.append(i)
-        return g.iloc[rows][[*keys, "pred", "true"]]
-
-    return df.groupBy(*keys).applyInPandas(match, schema)
+    schema = ", ".join([*(f"{k} {dict(pred.dtypes)[k]}" for k in keys), f"pred {dict(pred.dtypes)['pred']}", f"true {dict(true.dtypes)['true']}"])
+
+    def match(g, h):
+        import heapq
+
+        import numpy as np
+
+        if g.empty or h.empty:
+            return g.assign(true=None).iloc[:0][[*keys, "pred", "true"]]
+        g, h = g.sort_values("pred").reset_index(drop=True), h.sort_values("true").reset_index(drop=True)
+        p, t = np.stack(g["p"].to_list()), np.stack(h["t"].to_list())
+        free, rows = np.ones(len(h), bool), []
+
+        def nearest(i):
+            at = np.flatnonzero(free)
+            d = np.zeros(len(at))
+            for k in range(p.shape[1]):  # in order, as a fold adds
+                d += (p[i, k] - t[at, k]) ** 2
+            d[np.isnan(d)] = np.inf
+            j = int(d.argmin())
+            return -g["length"][i], float(d[j]), i, int(at[j])
+
+        queue = [nearest(i) for i in range(len(g))]
+        heapq.heapify(queue)
+        while queue and len(rows) < len(h):
+            _, _, i, j = heapq.heappop(queue)
+            if free[j]:
+                free[j] = False
+                rows.append((i, j))
+            else:
+                heapq.heappush(queue, nearest(i))
+        out = g.iloc[[i for i, _ in rows]].reset_index(drop=True)
+        return out.assign(true=h["true"].iloc[[j for _, j in rows]].to_numpy())[[*keys, "pred", "true"]]
+
+    return pred.groupBy(*keys).cogroup(true.groupBy(*keys)).applyInPandas(match, schema)
 
 
 def transforms(points: DataFrame, keys=("entry",), mask: str | None = None) -> DataFrame:
