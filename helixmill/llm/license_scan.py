@@ -1,7 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line. It matches a template T if at least CONTAINMENT of T's distinct
-tokens occur in it. Tokens are put in one global order, rarest first, by the number
+A block is a line, or a window of words that runs over line ends: a notice may be
+wrapped. It matches a template T if at least CONTAINMENT of T's distinct tokens occur
+in it. A window for T has as many words as T and a SLACK more, and starts at each of
+T's words; lines may be of any length. Tokens are put in one global order, rarest first, by the number
 of documents of the whole table that contain them; only tokens of templates can
 overlap, so only these are ranked. Then, for T with a least overlap of a:
 
@@ -13,6 +15,13 @@ overlap, so only these are ranked. Then, for T with a least overlap of a:
   is no candidate;
 * candidates are verified by intersecting the full sets.
 
+Windows go through the same filters in a form of their own. Of the text's words only
+those of T are kept, with their places; then, for the window from the j-th of them,
+
+* length: the (j + a - 1)-th must still stand in the window;
+* prefix: one of the first |T| - a + 1 tokens of T must stand in it;
+* verification counts the distinct tokens of T in it.
+
 Templates are a fixed list, so the index is a constant of the plan and the join
 happens inside the row: no shuffle, no row per block, and a hot source or a very
 common line costs what any other row costs. All steps are Spark SQL expressions.
@@ -33,6 +42,8 @@ from helixmill.llm._shared import ascii_lower
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.95
+#: Further words of a window, as a share of the template's: what stands between a wrapped notice's words.
+SLACK = 0.25
 #: Phrases and their labels.
 PHRASES = (
     ("under the mit license", "mit"),
@@ -79,7 +90,8 @@ def token_ranks(docs: DataFrame, text_col: str, templates) -> dict[str, int]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    blocks holds the matches: array of (block, label, containment), blocks from 0.
+    blocks holds the matches: array of (block, label, containment), blocks from 0. A window's
+    block is the line where it starts; a notice may be listed for several of its windows.
     """
     ranks = token_ranks(docs, text_col, templates)
     vocabulary = sorted(ranks, key=ranks.get)
@@ -118,9 +130,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     rows = rows.withColumn("_all", as_ranks(F.col("_words"))).withColumn("_joined", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
 
     # A text whose own set does not reach any template's least overlap has no block that does.
+    reached = [F.size(F.array_intersect("_all", F.expr(listed_(map(str, s))))) >= a for s, a in zip(sets, least)]
     possible = F.lit(False)
-    for s, a in zip(sets, least):
-        possible = possible | (F.size(F.array_intersect("_all", F.expr(listed_(map(str, s))))) >= a)
+    for x in reached:
+        possible = possible | x
     kind = "array<struct<block:int,label:string,containment:double>>"
     blocks = F.flatten(
         F.transform(
@@ -131,7 +144,36 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             lambda x: matches(x.b, x.k),
         )
     ).cast(kind)
-    rows = rows.withColumn("blocks", F.when((F.size("_all") >= min(least, default=1)) & possible, blocks).otherwise(F.array().cast(kind)))
+    spans = F.expr(listed_([str(len(text.split()) + math.ceil(SLACK * len(text.split()))) for _, text in templates]))
+    prefixes = F.expr(listed_([listed_(map(str, x[: len(x) - a + 1])) for x, a in zip(sets, least)]))
+
+    def wrapped(seen, t):
+        """Windows of T over line ends. seen: place, rank and line of each word that any template has."""
+        own = F.filter(seen, lambda h: F.array_contains(F.get(numbers, t), h.r))
+        starts = F.filter(
+            F.transform(own, lambda h, j: F.struct(h.alias("h"), j.alias("j"))),
+            lambda x: F.coalesce(F.get(own, x.j + F.get(alphas, t) - 1).i - x.h.i < F.get(spans, t), F.lit(False)),
+        )
+        windows = F.transform(
+            starts, lambda x: F.struct(x.h.k.alias("k"), F.filter(F.slice(own, x.j + 1, F.get(spans, t)), lambda e: e.i - x.h.i < F.get(spans, t)).alias("w"))
+        )
+        crossing = F.filter(windows, lambda x: (F.element_at(x.w, -1).k > x.k) & F.exists(x.w, lambda e: F.array_contains(F.get(prefixes, t), e.r)))
+        counted = F.transform(crossing, lambda x: F.struct(x.k.alias("k"), F.size(F.array_distinct(F.transform(x.w, lambda e: e.r))).alias("n")))
+        return F.array_distinct(
+            F.transform(
+                F.filter(counted, lambda x: x.n >= F.get(alphas, t)),
+                lambda x: F.struct(x.k.alias("block"), F.get(labels, t).alias("label"), (x.n / F.get(sizes, t)).alias("containment")),
+            )
+        )
+
+    able = F.filter(F.array(*[F.when(x, F.lit(t)) for t, x in enumerate(reached)]), lambda t: t.isNotNull())
+    placed = F.flatten(F.transform(F.split("_text", "\n"), lambda b, k: F.transform(words_of(b), lambda w: F.struct(w.alias("w"), k.alias("k")))))
+    ranked = F.transform(placed, lambda x, i: F.struct(i.alias("i"), (F.array_position(known, x.w) - 1).cast("int").alias("r"), x.k.alias("k")))
+    some = (F.size("_all") >= min(least, default=1)) & possible
+    none = F.array().cast(kind)
+    rows = rows.withColumn("_seen", F.when(some, F.filter(ranked, lambda x: x.r >= 0)))
+    over = F.flatten(F.transform(able, lambda t: wrapped(F.col("_seen"), t))).cast(kind)
+    rows = rows.withColumn("blocks", F.when(some, F.concat(blocks, over)).otherwise(none))
 
     places, base = [], []
     for phrase, label in phrases:
