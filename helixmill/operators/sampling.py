@@ -69,27 +69,64 @@ def global_rank(df: DataFrame, bucket, order, name: str) -> DataFrame:
 def diverse_rows(df: DataFrame, keys, key: str, seq: str, n: int, most: bool = True) -> DataFrame:
     """Greedy choice of n aligned rows per group, each the most (or least) distant on average from those chosen.
 
-    Starts from the row with the smallest key; ties go to the smaller key. A group is one
-    alignment and is held by one task.
+    Starts from the row with the smallest key; ties go to the smaller key. Key is unique in its
+    group and not null; rows shorter than the longest count as filled up with gaps. Each step scans
+    all rows: a task offers its best row of each group, and the best of these is chosen.
+    Distances are whole numbers of places, so no order of addition matters. Only chosen
+    rows, at most n a group, are held by the driver and sent to every task.
     """
-    schema = f"{', '.join(f'{k} {dict(df.dtypes)[k]}' for k in keys)}, {key} {dict(df.dtypes)[key]}, step int"
-
-    def pick(group):
+    spark, kinds = df.sparkSession, dict(df.dtypes)
+    rows = df.select(*keys, key, F.coalesce(F.col(seq), F.lit("")).alias("_seq"))
+    offer = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{key} {kinds[key]}", "_seq string", "_far long"])
+    order = F.struct((-F.col("_far") if most else F.col("_far")).alias("d"), F.col(key).alias("k"))
+    taken: dict[tuple, list] = {}
+    for _ in range(n):
+        sent = spark.sparkContext.broadcast(taken)
+        best = rows.mapInPandas(_offers(sent, most), offer).groupBy(*keys).agg(F.min_by(F.struct(key, "_seq"), order).alias("_best")).collect()
+        for r in best:
+            taken.setdefault(tuple(r[k] for k in keys), []).append((r["_best"][key], r["_best"]["_seq"]))
+        sent.destroy()
+        if not best:
+            break
+    chosen = [(*g, k, i) for g, them in taken.items() for i, (k, _) in enumerate(them)]
+    return spark.createDataFrame(chosen, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{key} {kinds[key]}", "step int"]))
+
+
+def _offers(sent, most: bool):
+    """The best row of each group among a task's rows, given those taken: {group: [(key, sequence)]}."""
+
+    def run(batches):
         import numpy as np
         import pandas as pd
 
-        g = group.sort_values(key).reset_index(drop=True)
-        a = np.array([list(s) for s in g[seq]])
-        chosen, left = [0], list(range(1, len(g)))
-        total = (a != a[0]).mean(1)
-        while left and len(chosen) < n:
-            at = max(left, key=lambda i: (total[i], -i)) if most else min(left, key=lambda i: (total[i], i))
-            chosen.append(at)
-            left.remove(at)
-            total = total + (a != a[at]).mean(1)
-        return pd.DataFrame({**{k: g[k].iloc[chosen].to_numpy() for k in keys}, key: g[key].iloc[chosen].to_numpy(), "step": range(len(chosen))})
-
-    return df.select(*keys, key, seq).groupBy(*keys).applyInPandas(pick, schema)
+        gap = ord("-")
+        codes = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        groups, best = {}, {}
+        for group, them in sent.value.items():
+            a = [codes(s) for _, s in them]
+            m = np.full((len(a), max(map(len, a))), gap, np.uint32)
+            for i, x in enumerate(a):
+                m[i, : len(x)] = x
+            solid = np.append(np.cumsum((m != gap).sum(0)[::-1])[::-1], 0)  # letters of those taken from a place on
+            groups[group] = {k for k, _ in them}, m, solid
+        for batch in batches:
+            for *group, key, seq in batch.itertuples(index=False, name=None):
+                group = tuple(group)
+                far = 0
+                if group in groups:
+                    keys, m, solid = groups[group]
+                    if key in keys:
+                        continue
+                    x = codes(seq)
+                    w = min(len(x), m.shape[1])
+                    far = int(np.count_nonzero(m[:, :w] != x[:w]) + solid[w] + len(m) * np.count_nonzero(x[w:] != gap))
+                rank = (-far if most else far, key)
+                if group not in best or rank < best[group][0]:
+                    best[group] = rank, seq, far
+        if best:
+            yield pd.DataFrame([(*g, rank[1], seq, far) for g, (rank, seq, far) in best.items()])
+
+    return run
 
 
 def masked_811(ids, key, seed, mask_id: int, vocabulary: int, special, p: float = 0.15):

@@ -206,8 +206,7 @@ def row_sample(spark, d):
 
 @query("SMP05")
 def msa_diverse_select(spark, d):
-    rows = table(spark, d, "documents").filter("length(text) >= 60").select("lang", "doc_id", F.rpad(F.substring("text", 1, 60), 60, "-").alias("seq"))
-    return S.diverse_rows(S.sample_rows(rows, ["lang"], "doc_id", 0, 200), ["lang"], "doc_id", "seq", 16)
+    return S.diverse_rows(table(spark, d, "documents").select("lang", "doc_id", F.col("text").alias("seq")), ["lang"], "doc_id", "seq", 16)
 
 
 @query("SMP06", f"SELECT CASE WHEN {U('42', 'doc_id')} < 0.8 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM documents GROUP BY 1")

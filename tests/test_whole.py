@@ -5,6 +5,7 @@ import math
 import random
 
 from helixmill.llm import license_scan
+from helixmill.operators import sampling
 from helixmill.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -69,3 +70,33 @@ def test_license_windows_equal_brute_force(spark):
                     best = max(best, len(t & set(block)) / len(t))
         base = set(filter(None, r.base_labels.split(",")))
         assert r.labels == ",".join(sorted(want | base)) and r.score == max(best, 1.0 if base else 0.0), texts[r.doc_id]
+
+
+def greedy(rows, n, most=True):
+    """rows: (key, text), padded with gaps to one width."""
+    rows = sorted((k, s or "") for k, s in rows)
+    width = max(len(s) for _, s in rows)
+    rows = [(k, s.ljust(width, "-")) for k, s in rows]
+    chosen = [0]
+    while len(chosen) < min(n, len(rows)):
+        far = {i: sum(x != y for j in chosen for x, y in zip(rows[i][1], rows[j][1])) for i in range(len(rows)) if i not in chosen}
+        chosen.append(min(far, key=lambda i: (-far[i] if most else far[i], i)))
+    return [rows[i][0] for i in chosen]
+
+
+def test_diverse_rows_looks_at_all_rows_and_places(spark):
+    rnd = random.Random(3)
+    rows = [(g, i, "".join(rnd.choice("AC-é") for _ in range(rnd.choice([0, 5, 60, 90])))) for g in "xy" for i in range(40)] + [("z", 7, None), ("z", 3, "A")]
+    df = spark.createDataFrame(rows, "g string, i int, s string").repartition(5)
+    for most in (True, False):
+        got = collections.defaultdict(list)
+        for r in sampling.diverse_rows(df, ["g"], "i", "s", 6, most).orderBy("step").collect():
+            got[r.g].append(r.i)
+        assert got == {g: greedy([(i, s) for h, i, s in rows if h == g], 6, most) for g in "xyz"}
+
+
+def test_msa_diverse_select_takes_the_farthest_of_a_language(spark, tmp_path):
+    rows = [("en", i, "A" * 60 + "C" * (i % 3)) for i in range(400)] + [("en", 400, "A" * 60 + "G" * 30), ("en", 401, "T")]
+    spark.createDataFrame(rows, "lang string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.doc_id for r in catalog.QUERIES["msa_diverse_select"](spark, str(tmp_path)).orderBy("step").collect()]
+    assert got == greedy([(i, s) for _, i, s in rows], 16) and got[:3] == [0, 401, 400]
