@@ -166,6 +166,6 @@ def forest_regression(spark, d):
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
-    v = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.slice(F.col("embedding").cast("array<double>"), 1, 16)).alias("features"), F.col("label").cast("double").alias("label"))
+    v = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
     model = RandomForestRegressor(numTrees=8, maxDepth=4, seed=1).fit(v.filter("vec_id % 5 <> 0"))
     return model.transform(v.filter("vec_id % 5 = 0")).select("vec_id", r6("prediction").alias("prediction"))

@@ -100,3 +100,13 @@ def test_msa_diverse_select_takes_the_farthest_of_a_language(spark, tmp_path):
     spark.createDataFrame(rows, "lang string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r.doc_id for r in catalog.QUERIES["msa_diverse_select"](spark, str(tmp_path)).orderBy("step").collect()]
     assert got == greedy([(i, s) for _, i, s in rows], 16) and got[:3] == [0, 401, 400]
+
+
+def test_forest_regression_reads_whole_vectors(spark, tmp_path):
+    rnd = random.Random(2)
+    vectors = [[rnd.uniform(-1, 1) for _ in range(64)] for _ in range(200)]
+    rows = [(i, v, 10 * int(v[40] > 0)) for i, v in enumerate(vectors)]  # the label hangs on component 40 alone
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.prediction for r in catalog.QUERIES["forest_regression"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(0, 200, 5))
+    assert sum((got[i] > 5) == (rows[i][2] > 5) for i in got) >= 36
