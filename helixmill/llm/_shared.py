@@ -35,16 +35,69 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Set while a table is written: its shuffle files go as soon as it stands.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder as Parquet and read it back.
 
-    A lost executor then costs a reread, not a recomputation. The folder belongs
-    to the job and goes with it.
+    A lost executor then costs a reread, not a recomputation; a failed write is
+    run again from the tables it reads, so shuffle files are of no further use
+    once it is over and are removed. `release` drops a table after its last reader;
+    what is left in the folder goes with the job.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables whose readers have all been materialised in their turn."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._materialised)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches, column: int, most: int):
+    """Arrow batches cut so that a text column holds at most so many bytes, or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, done + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def trim() -> None:
+    """Give memory that a finished task no longer uses back to the system; workers live on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

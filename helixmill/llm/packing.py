@@ -10,7 +10,8 @@ sequence holds, move on to the next chunk. What a partition has left over in the
 end meets that of up to TAIL_GROUP other partitions and is packed the same way,
 so padding is less than one sequence per TAIL_GROUP partitions.
 
-Texts are not shuffled. The table of pieces is written to the shared folder once, so
+A task holds one slice of texts, one chunk of ids and no table of words (see
+`words`), however large its partition is. Texts are not shuffled. The table of pieces is written to the shared folder once, so
 a lost executor costs the partitions it had. Sequence ids follow from partition
 numbers: a rerun over the same files gives the same ids.
 
@@ -21,83 +22,22 @@ empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import heapq
-import os
-import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm._shared import materialise
+from helixmill.llm._shared import materialise, slices, trim
+from helixmill.llm.words import encoder
 
 CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Tokens that a task packs at a time, and words whose ids a worker remembers.
-CHUNK_TOKENS, MEMO_WORDS = 4_000_000, 800_000
+#: Tokens that a task packs at a time, bytes of text that it encodes at a time, and rows of a batch that it gives back.
+CHUNK_TOKENS, SLICE_BYTES, PIECES = 2_000_000, 8 << 20, 1000
 TAIL_GROUP = 512
-SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
-
-
-class Words:
-    """Ids of texts. White space never lies within a token of this kind of vocabulary, so words are encoded once each."""
-
-    def __init__(self, file: str, memo: int = MEMO_WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        if not os.path.isabs(file):
-            import public_tokenizers
-
-            file = public_tokenizers.path(file)
-        self.tokenizer, self.most, self.memo = Tokenizer.from_file(file), memo, {}
-
-    def table(self, words: list[str]):
-        """Flat ids of words, and where each word's ids begin."""
-        import numpy as np
-
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        fresh = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                fresh[w] = struct.pack(f"<{len(ids)}I", *ids)
-        got = [fresh.get(w) or memo.get(w, b"") for w in words]
-        if len(memo) < self.most:
-            memo.update(list(fresh.items())[: self.most - len(memo)])
-        bounds = np.zeros(len(got) + 1, dtype=np.int64)
-        np.cumsum([len(x) // 4 for x in got], out=bounds[1:])
-        return np.frombuffer(b"".join(got), dtype="<u4"), bounds
-
-    def encode(self, texts):
-        """Arrow strings -> one array of ids per text, end token included."""
-        import numpy as np
-        import pyarrow.compute as pc
-
-        texts = pc.fill_null(texts, "")
-        lists = pc.ascii_split_whitespace(texts)
-        offsets, coded = np.asarray(lists.offsets), lists.flatten().dictionary_encode()
-        flat, bounds = self.table(coded.dictionary.to_pylist())
-        lens, first = np.diff(bounds), bounds[:-1]
-        codes = np.asarray(coded.indices)
-        base = offsets[0]
-        for a, b in zip(offsets[:-1] - base, offsets[1:] - base):
-            c = codes[a:b]
-            n = lens[c]
-            out = np.empty(int(n.sum()) + 1, dtype="<u4")
-            at = np.repeat(first[c] - (np.cumsum(n) - n), n)
-            out[:-1] = flat[at + np.arange(len(at))]
-            out[-1] = END_ID
-            yield out
-
-
-@functools.cache
-def _words(file: str) -> Words:
-    """One per worker and file: a worker's later tasks know the words of its earlier ones."""
-    return Words(file)
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, part long, ids_crc32 long, ids binary"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def pack(lengths, capacity: int = CAPACITY, last: bool = False):
@@ -133,74 +73,88 @@ def pack(lengths, capacity: int = CAPACITY, last: bool = False):
 class _Bundle:
     """Documents, or parts of documents, to be packed together."""
 
-    def __init__(self, part: int, capacity: int):
-        self.part, self.capacity, self.items, self.tokens, self.next = part, capacity, [], 0, 0
+    def __init__(self, part: int, capacity: int, digest: bool):
+        self.part, self.capacity, self.digest, self.items, self.tokens, self.next = part, capacity, digest, [], 0, 0
 
     def add(self, doc_id, start, total, ids):
         self.items.append((doc_id, start, total, ids))
         self.tokens += len(ids)
 
     def flush(self, last: bool, base: int):
-        """Arrow rows of all full sequences; leftovers stay as items."""
-        pieces, left, used = pack([len(x[3]) for x in self.items], self.capacity, last)
-        rows = [self.row(i, s, n, base + self.next + q, o) for i, s, n, q, o in pieces]
+        """Arrow batches of all full sequences; leftovers stay as items, with ids of their own."""
+        found, left, used = pack([len(x[3]) for x in self.items], self.capacity, last)
+        for k in range(0, len(found), PIECES):
+            yield self.batch([(i, s, n, base + self.next + q, o) for i, s, n, q, o in found[k : k + PIECES]], self.digest)
         self.next += used
-        self.items = [(d, a + s, t, ids[s : s + n]) for i, s, n in left for d, a, t, ids in [self.items[i]]]
+        self.items = [(d, a + s, t, ids[s : s + n].copy()) for i, s, n in left for d, a, t, ids in [self.items[i]]]
         self.tokens = sum(len(x[3]) for x in self.items)
-        return rows
 
-    def row(self, i, s, n, sequence, offset):
-        doc_id, start, total, ids = self.items[i]
-        return doc_id, start + s, n, total, sequence, offset, self.part, ids[s : s + n].tobytes()
-
-    def tail(self):
-        return [self.row(i, 0, len(x[3]), None, None) for i, x in enumerate(self.items)]
+    def batch(self, rows, digest: bool):
+        """rows: (item, start, length, sequence or None, offset or None). digest: ids become their checksum."""
+        import zlib
 
+        import numpy as np
+        import pyarrow as pa
 
-def _arrow(rows):
-    import pyarrow as pa
+        items = [self.items[r[0]] for r in rows]
+        ids = [x[3][r[1] : r[1] + r[2]] for x, r in zip(items, rows)]
+        long = lambda values: pa.array(values, type=pa.int64())
+        if digest:
+            blobs = pa.nulls(len(rows), pa.binary())
+        else:
+            bounds = np.zeros(len(rows) + 1, dtype=np.int32)
+            np.cumsum([4 * len(x) for x in ids], out=bounds[1:])
+            data = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        columns = [
+            long([x[0] for x in items]),
+            long([x[1] + r[1] for x, r in zip(items, rows)]),
+            long([r[2] for r in rows]),
+            long([x[2] for x in items]),
+            long([r[3] for r in rows]),
+            long([r[4] for r in rows]),
+            long([self.part] * len(rows)),
+            long([zlib.crc32(x) for x in ids]),
+            blobs,
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=COLUMNS)
 
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64()] * 7 + [pa.binary()]
-    columns = list(zip(*rows)) if rows else [[]] * 8
-    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
+    def tail(self):
+        """What is left, unplaced, with its ids."""
+        return self.batch([(i, 0, len(x[3]), None, None) for i, x in enumerate(self.items)], False)
 
 
-def _first(file: str, capacity: int, chunk: int):
+def _first(file: str, capacity: int, chunk: int, digest: bool):
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words, bundle = _words(file), _Bundle(part, capacity)
+        words, bundle = encoder(file), _Bundle(part, capacity, digest)
         base = part << 38
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i in range(0, batch.num_rows, 1000):
-                for doc_id, tokens in zip(ids[i : i + 1000], words.encode(batch.column(1).slice(i, 1000))):
-                    bundle.add(doc_id, 0, len(tokens), tokens)
-                    if bundle.tokens >= chunk:
-                        rows = bundle.flush(False, base)
-                        for k in range(0, len(rows), 2000):
-                            yield _arrow(rows[k : k + 2000])
-        rows = bundle.flush(False, base)
-        for k in range(0, len(rows), 2000):
-            yield _arrow(rows[k : k + 2000])
-        yield _arrow(bundle.tail())
+        for batch in slices(batches, 1, SLICE_BYTES):
+            flat, at = words.encode(batch.column(1), END_ID)
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                bundle.add(doc_id, 0, b - a, flat[a:b])
+                if bundle.tokens >= chunk:
+                    yield from bundle.flush(False, base)
+        yield from bundle.flush(False, base)
+        yield bundle.tail()
+        trim()
 
     return run
 
 
-def _second(capacity: int):
+def _second(capacity: int, digest: bool):
     def run(key, group):
         import numpy as np
         import pyarrow as pa
 
-        (number,) = (key[0].as_py(),)
-        bundle = _Bundle(number, capacity)
+        number = key[0].as_py()
+        bundle = _Bundle(number, capacity, digest)
         rows = group.sort_by([("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).to_pylist()
         for r in rows:
             bundle.add(r["doc_id"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], dtype="<u4"))
-        return pa.Table.from_batches([_arrow(bundle.flush(True, (1 << 62) + (number << 38)))])
+        return pa.Table.from_batches(bundle.flush(True, (1 << 62) + (number << 38)), schema=bundle.batch([], digest).schema)
 
     return run
 
@@ -211,12 +165,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     digest: ids are dropped as soon as their checksum is made.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    first = rows.mapInArrow(_first(tokenizer, capacity, chunk), SCHEMA).withColumn("ids_crc32", F.crc32("ids"))
-    if digest:
-        first = first.withColumn("ids", F.when(F.col("sequence_id").isNull(), F.col("ids")))
-    first = materialise(first, "packed")
-    tails = first.filter("sequence_id IS NULL").select(*[x.split()[0] for x in SCHEMA.split(", ")])
-    second = tails.groupBy(F.expr(f"part div {TAIL_GROUP}").alias("group")).applyInArrow(_second(capacity), SCHEMA).withColumn("ids_crc32", F.crc32("ids"))
-    if digest:
-        second = second.withColumn("ids", F.lit(None).cast("binary"))
+    first = materialise(rows.mapInArrow(_first(tokenizer, capacity, chunk, digest), SCHEMA), "packed")
+    # A partition's tail is less than one sequence, so a group of them is at most TAIL_GROUP sequences.
+    tails = first.filter("sequence_id IS NULL")
+    second = tails.groupBy(F.expr(f"part div {TAIL_GROUP}").alias("group")).applyInArrow(_second(capacity, digest), SCHEMA)
     return first.filter("sequence_id IS NOT NULL").unionByName(second).drop("part")
