@@ -30,11 +30,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm._shared import BROADCAST_ROWS, materialise, small
+from helixmill.llm._shared import BROADCAST_ROWS, materialise, slices, small, trim
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS, BITS = 128, 32, 2
 ESTIMATE = 0.5
+#: Text that a task takes at a time.
+SLICE_BYTES = 4 << 20
 SIGNATURE = ("s0", "s1", "s2", "s3")
 FEATURES = "doc_id long, n long, key binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
@@ -117,28 +119,26 @@ def _features(batches):
     import xxhash
 
     a, b = _constants()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            n, key, found = [], [], []
-            for s in shingle_sets(part.column(1)):
-                n.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                found.append(minima(s, a, b))
-            packed, bands = signatures(np.array(found))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *[pa.array(packed[:, i]) for i in range(4)], keys], names=[x.split()[0] for x in FEATURES.split(", ")]
-            )
+    for part in slices(batches, 1, SLICE_BYTES):
+        n, key, found = [], [], []
+        for s in shingle_sets(part.column(1)):
+            n.append(len(s))
+            key.append(xxhash.xxh3_128_digest(s.tobytes()))
+            found.append(minima(s, a, b))
+        packed, bands = signatures(np.array(found))
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *[pa.array(packed[:, i]) for i in range(4)], keys], names=[x.split()[0] for x in FEATURES.split(", ")]
+        )
+    trim()
 
 
 def _sets(batches):
     import pyarrow as pa
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["id", "set"])
+    for part in slices(batches, 1, SLICE_BYTES):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["id", "set"])
+    trim()
 
 
 def _lists(batches):
@@ -146,12 +146,11 @@ def _lists(batches):
     import pyarrow as pa
     import xxhash
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            sets = list(shingle_sets(part.column(1)))
-            keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "key", "hashes"])
+    for part in slices(batches, 1, SLICE_BYTES):
+        sets = list(shingle_sets(part.column(1)))
+        keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "key", "hashes"])
+    trim()
 
 
 def _confirm(percent: int):
