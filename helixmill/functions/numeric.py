@@ -7,6 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 
+def let(value, then):
+    """then(value), with value computed once a row: inside a lambda, an outer expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def total(xs):
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
@@ -17,21 +22,17 @@ def mean(xs):
 
 def stddev_pop(xs):
     """Population deviation; null for an empty array."""
-    m = mean(xs)
-    return F.when(F.size(xs) > 0, F.sqrt(total(F.transform(xs, lambda x: (x - m) * (x - m))) / F.size(xs)))
+    return F.when(F.size(xs) > 0, F.sqrt(let(mean(xs), lambda m: total(F.transform(xs, lambda x: (x - m) * (x - m)))) / F.size(xs)))
 
 
 def softmax(logits):
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    e = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(e, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def log_softmax(logits):
-    top = F.array_max(logits)
-    s = F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
-    return F.transform(logits, lambda x: x - top - s)
+    moved = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: x - top))
+    return let(moved, lambda m: let(F.log(total(F.transform(m, lambda x: F.exp(x)))), lambda s: F.transform(m, lambda x: x - s)))
 
 
 def cross_entropy(logits, target):
@@ -60,20 +61,22 @@ def top_k_top_p(logits, k: int = 0, p: float = 1.0):
         lambda acc: acc["keep"],
     )
     keep = F.slice(ranked, 1, k) if k else ranked
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(keep, i), x))
+    return let(keep, lambda keep: F.transform(logits, lambda x, i: F.when(F.array_contains(keep, i), x)))
 
 
 def lowest_mask(scores, n):
     """True where a score is below the score in place n of the ascending order."""
-    cut = F.get(F.sort_array(scores), n)
-    return F.transform(scores, lambda s: s < cut)
+    return let(F.get(F.sort_array(scores), n), lambda cut: F.transform(scores, lambda s: s < cut))
 
 
 def redistribute(p, old, ratio: float):
     """Probabilities with at most 1 - ratio left at index old; the rest grows in proportion."""
-    at = F.get(p, old)
-    rest = 1 - at
-    return F.when(at > 1 - ratio, F.transform(p, lambda x, i: F.when(i == old, F.lit(1 - ratio)).otherwise(x / rest * ratio))).otherwise(p)
+
+    def dealt(p):
+        capped = let(1 - F.get(p, old), lambda rest: F.transform(p, lambda x, i: F.when(i == old, F.lit(1 - ratio)).otherwise(x / rest * ratio)))
+        return F.when(F.get(p, old) > 1 - ratio, capped).otherwise(p)
+
+    return let(p, dealt)
 
 
 def bits_to_index(bits):

@@ -1,8 +1,9 @@
 """Length bucketing and batches under token budgets.
 
-Folds that depend on order run per (replica, bucket) group inside one task; groups
-are slices of bounded size, so the whole is parallel. Batches that follow from a
-row's place alone are window arithmetic.
+Folds that depend on order run per bucket of a bounded number of rows of about one
+length (`length_buckets`), each inside one task, so the whole is parallel. Batches that follow from
+a row's place in an order go through `sampling.global_rank`: no task sorts more than one
+coarse bucket of the order.
 """
 
 from __future__ import annotations
@@ -11,6 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import hashing
+from helixmill.operators.sampling import global_rank, global_sum
+
+
+def length_buckets(df: DataFrame, key: str, length: str, rows: int, by=()) -> DataFrame:
+    """Adds bucket: rows in order of length and key, so many to a bucket."""
+    return global_rank(df, F.col(length), [key], "_place", by).withColumn("bucket", F.floor((F.col("_place") - 1) / rows).cast("int")).drop("_place")
 
 
 def sortish(df: DataFrame, key: str, length: str, bucket: int, replicas: int, seed) -> DataFrame:
@@ -19,13 +26,13 @@ def sortish(df: DataFrame, key: str, length: str, bucket: int, replicas: int, se
     Adds bucket, place (from 0) and replica. The order is padded by wrapping round, so
     every replica gets equally many rows.
     """
-    by_len = Window.orderBy(length, key)
-    ranked = df.withColumn("bucket", F.floor((F.row_number().over(by_len) - 1) / bucket).cast("int"))
+    ranked = length_buckets(df, key, length, bucket)
     dealt = ranked.withColumn("_bh", hashing.digest(f"{seed}-bucket", F.col("bucket"))).withColumn("_rh", hashing.digest(f"{seed}-row", F.col(key)))
-    placed = dealt.withColumn("place", F.row_number().over(Window.orderBy("_bh", "bucket", "_rh", key)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    placed = global_rank(dealt, F.substring("_bh", 1, 4), ["_bh", "bucket", "_rh", key], "place").withColumn("place", F.col("place") - 1)
+    placed = placed.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
     each = F.ceil(F.col("_n") / replicas)
     extra = each * replicas - F.col("_n")
-    again = placed.filter(F.col("place") < extra).withColumn("place", F.col("place") + F.col("_n").cast("int"))
+    again = placed.filter(F.col("place") < extra).withColumn("place", F.col("place") + F.col("_n"))
     return placed.unionByName(again).withColumn("replica", F.floor(F.col("place") / F.ceil(F.col("_n") / replicas)).cast("int")).drop("_bh", "_rh", "_n")
 
 
@@ -85,16 +92,14 @@ def same_length_batches(df: DataFrame, key: str, length: str, most: int, square:
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / cap).cast("int"))
 
 
-def chunks(df: DataFrame, keys, order, n: int) -> DataFrame:
-    """Fixed-size chunks in order."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / n).cast("int"))
+def chunks(df: DataFrame, keys, order, n: int, bucket) -> DataFrame:
+    """Fixed-size chunks in order. bucket: a coarse key whose order agrees with `order`."""
+    return global_rank(df, bucket, order, "_place", keys).withColumn("chunk", F.floor((F.col("_place") - 1) / n).cast("int")).drop("_place")
 
 
-def packed_blocks(df: DataFrame, keys, order, length: str, block: int) -> DataFrame:
+def packed_blocks(df: DataFrame, keys, order, length: str, block: int, bucket) -> DataFrame:
     """Documents laid end to end, each with a separator; adds first and last block of each and its offset there."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col(length) + 1).over(w), F.lit(0))
-    out = df.withColumn("_start", start)
+    out = global_sum(df, bucket, order, F.col(length) + 1, "_start", keys)
     return (
         out.withColumn("first_block", F.floor(F.col("_start") / block).cast("long"))
         .withColumn("last_block", F.floor((F.col("_start") + F.col(length)) / block).cast("long"))

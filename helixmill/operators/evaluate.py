@@ -28,9 +28,15 @@ def two_level(df: DataFrame, inner, outer, inner_agg, name: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, name: str, by=()) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(column)
-    ties = Window.partitionBy(*by, column)
-    return df.withColumn(name, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
+    """Ranks with ties at their mean; values are counted first, so only distinct values are put in order."""
+    counts = df.groupBy(*by, column).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.withColumn(name, F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
+    ranks = ranks.select(F.col(column).alias("_x"), name, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)])
+    same = F.col(column).eqNullSafe(F.col("_x"))
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(ranks, same).drop("_x", *[f"_k{i}" for i in range(len(by))])
 
 
 def spearman(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
@@ -71,7 +77,7 @@ def distribution(df: DataFrame, item: str, by=()) -> DataFrame:
 def hellinger(p: DataFrame, q: DataFrame, item: str, by=()) -> DataFrame:
     """Distance of each group's distribution p to one reference q; items missing on a side count as 0."""
     # sum (sqrt p - sqrt q)^2 = 2 - 2 sum sqrt(pq) when both add up to 1
-    both = p.join(q.select(item, F.col("p").alias("_q")), item)
+    both = p.join(q.select(item, F.col("p").alias("_q")), item, "left").withColumn("_q", F.coalesce("_q", F.lit(0.0)))
     inner = both.groupBy(*by).agg(F.sum(F.sqrt(F.col("p") * F.col("_q"))).alias("_b"))
     return inner.select(*by, F.sqrt(F.greatest(2 - 2 * F.col("_b"), F.lit(0.0))).alias("hellinger"))
 

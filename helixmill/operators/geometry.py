@@ -165,13 +165,10 @@ def angle(a, b, c):
 
 
 def dihedral(a, b, c, d):
-    """Torsion about b-c."""
-    b0, b1, b2 = _sub(a, b), _sub(c, b), _sub(d, c)
-    norm = F.sqrt(_dot(b1, b1))
-    unit = [x / norm for x in b1]
-    v = [x - _dot(b0, unit) * u for x, u in zip(b0, unit)]
-    w = [x - _dot(b2, unit) * u for x, u in zip(b2, unit)]
-    return F.atan2(_dot(_cross(unit, v), w), _dot(v, w))
+    """Torsion about the bond b-c: the angle between the planes (a, b, c) and (b, c, d), signed by the triple product of the three bonds."""
+    first, middle, last = _sub(b, a), _sub(c, b), _sub(d, c)
+    plane, next_plane = _cross(first, middle), _cross(middle, last)
+    return F.atan2(F.sqrt(_dot(middle, middle)) * _dot(first, next_plane), _dot(plane, next_plane))
 
 
 def contact_precision(scored: DataFrame, keys, score: str, hit: str, length: str, gap: str, bands=None) -> DataFrame:

@@ -52,18 +52,27 @@ def task_mix(df: DataFrame, key: str, seed, ratios: dict[str, float]) -> DataFra
     return placed.crossJoin(F.broadcast(n)).withColumn("task", task).drop("_h", "_place", "_n")  # n is one row
 
 
-def global_rank(df: DataFrame, bucket, order, name: str) -> DataFrame:
-    """Place (from 1) of each row in a global order, without one task sorting all rows.
+def global_rank(df: DataFrame, bucket, order, name: str, by=()) -> DataFrame:
+    """Place (from 1) of each row in a global order, or in that of its group `by`, without one task sorting all rows.
 
     bucket: a coarse key whose order agrees with `order`. Buckets are counted, their
     running totals are made over that small table, and rows are ranked inside buckets.
     """
-    keyed = df.withColumn("_b", bucket)
-    counts = keyed.groupBy("_b").agg(F.count("*").alias("_c"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
-    inside = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    return inside.join(before, "_b").withColumn(name, (F.col("_before") + F.col("_r"))).drop("_b", "_r", "_before")
+    return global_sum(df, bucket, order, F.lit(1), name, by).withColumn(name, F.col(name) + 1)
+
+
+def global_sum(df: DataFrame, bucket, order, value, name: str, by=()) -> DataFrame:
+    """Sum of value over the rows before each row in a global order; see global_rank."""
+    keyed = df.withColumn("_b", bucket).withColumn("_v", value)
+    totals = keyed.groupBy(*by, "_b").agg(F.sum("_v").alias("_t"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("_r", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    same = F.col("_b").eqNullSafe(F.col("_kb"))
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(totals, same).withColumn(name, F.col("_before") + F.col("_r")).drop("_b", "_v", "_r", "_before", "_kb", *[f"_k{i}" for i in range(len(by))])
 
 
 def diverse_rows(df: DataFrame, keys, key: str, seq: str, n: int, most: bool = True) -> DataFrame:

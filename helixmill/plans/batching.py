@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from helixmill.operators import batching as B
 from helixmill.plans.registry import R, query, r6, table  # noqa: F401
 
-DOCS = "SELECT doc_id, lang, source, CAST(least(n_chars, 4000) AS INTEGER) AS len FROM documents"
+DOCS = "SELECT doc_id, lang, source, CAST(n_chars AS INTEGER) AS len FROM documents"
+CLIPPED = DOCS.replace("CAST(n_chars", "CAST(least(n_chars, 4000)")
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", "source", F.least("n_chars", F.lit(4000)).cast("int").alias("len"))
+    return table(spark, d, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("int").alias("len"))
 
 
 @query(
@@ -25,36 +26,41 @@ def sortish_order(spark, d):
     return B.sortish(_docs(spark, d).select("doc_id", "len"), "doc_id", "len", 50, 4, 4).select("doc_id", "bucket", F.col("place").cast("int").alias("place"), "replica")
 
 
-FOLD = """WITH RECURSIVE d AS ({docs}), o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY len, doc_id) AS rn FROM d WHERE {fits}),
+FOLD = """WITH RECURSIVE d0 AS ({docs}), d AS (SELECT *, CAST((row_number() OVER (PARTITION BY {by} ORDER BY len, doc_id) - 1) // 100 AS INTEGER) AS bucket FROM d0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY len, doc_id) AS rn FROM d WHERE {fits}),
     f AS (SELECT {key}, doc_id, rn, len, {first}, 0 AS batch FROM o WHERE rn = 1
-      UNION ALL SELECT o.{key}, o.doc_id, o.rn, o.len, {step}, CASE WHEN {ok} THEN f.batch ELSE f.batch + 1 END FROM f JOIN o ON o.{key} = f.{key} AND o.rn = f.rn + 1)
-    SELECT d.doc_id, CAST(f.batch AS INTEGER) AS batch FROM d LEFT JOIN f ON d.doc_id = f.doc_id"""
+      UNION ALL SELECT {okey}, o.doc_id, o.rn, o.len, {step}, CASE WHEN {ok} THEN f.batch ELSE f.batch + 1 END FROM f JOIN o ON {same} AND o.rn = f.rn + 1)
+    SELECT d.doc_id, d.bucket, CAST(f.batch AS INTEGER) AS batch FROM d LEFT JOIN f ON d.doc_id = f.doc_id"""
 
+_BUCKET = {"by": "1", "key": "bucket", "okey": "o.bucket", "same": "o.bucket = f.bucket"}
+_SOURCE = {"by": "source", "key": "source, bucket", "okey": "o.source, o.bucket", "same": "o.source = f.source AND o.bucket = f.bucket"}
 _OK = "(f.n + 1) * greatest(f.top, o.len) <= 20000 AND CAST(f.n + 1 AS BIGINT) * greatest(f.top, o.len) * greatest(f.top, o.len) < 40000000"
 
 
 @query(
     "BAT01",
-    FOLD.format(docs=DOCS, key="source", fits="len <= 20000 AND CAST(len AS BIGINT) * len < 40000000", first="1 AS n, len AS top", ok=f"{_OK} AND f.n < 16", step=f"CASE WHEN {_OK} AND f.n < 16 THEN f.n + 1 ELSE 1 END, CASE WHEN {_OK} AND f.n < 16 THEN greatest(f.top, o.len) ELSE o.len END"),
+    FOLD.format(docs=CLIPPED, **_BUCKET, fits="len <= 20000 AND CAST(len AS BIGINT) * len < 40000000", first="1 AS n, len AS top", ok=f"{_OK} AND f.n < 16", step=f"CASE WHEN {_OK} AND f.n < 16 THEN f.n + 1 ELSE 1 END, CASE WHEN {_OK} AND f.n < 16 THEN greatest(f.top, o.len) ELSE o.len END"),
 )
 def token_budget_batches(spark, d):
-    return B.token_batches(_docs(spark, d), ["source"], ["len", "doc_id"], "len", budget=20000, square=40_000_000, most=16).select("doc_id", "batch")
+    docs = B.length_buckets(_docs(spark, d).withColumn("len", F.least("len", F.lit(4000))), "doc_id", "len", 100)  # lengths are clipped here, as the operator's own rule
+    return B.token_batches(docs, ["bucket"], ["len", "doc_id"], "len", budget=20000, square=40_000_000, most=16).select("doc_id", "bucket", "batch")
 
 
 @query(
     "BAT03 BAT06",
-    FOLD.format(docs=DOCS, key="source", fits="len <= 8192", first="len AS total", ok="f.total + o.len <= 8192", step="CASE WHEN f.total + o.len <= 8192 THEN f.total + o.len ELSE o.len END"),
+    FOLD.format(docs=DOCS, **_SOURCE, fits="len <= 8192", first="len AS total", ok="f.total + o.len <= 8192", step="CASE WHEN f.total + o.len <= 8192 THEN f.total + o.len ELSE o.len END"),
 )
 def running_sum_batches(spark, d):
-    return B.token_batches(_docs(spark, d), ["source"], ["len", "doc_id"], "len", budget=8192, by="sum").select("doc_id", "batch")
+    docs = B.length_buckets(_docs(spark, d), "doc_id", "len", 100, ["source"])
+    return B.token_batches(docs, ["source", "bucket"], ["len", "doc_id"], "len", budget=8192, by="sum").select("doc_id", "bucket", "batch")
 
 
 @query(
     "BAT05",
-    FOLD.format(docs=DOCS, key="lang", fits="len <= 16384", first="1 AS n, len AS top", ok="(f.n + 1) * greatest(f.top, o.len) <= 16384", step="CASE WHEN (f.n + 1) * greatest(f.top, o.len) <= 16384 THEN f.n + 1 ELSE 1 END, CASE WHEN (f.n + 1) * greatest(f.top, o.len) <= 16384 THEN greatest(f.top, o.len) ELSE o.len END"),
+    FOLD.format(docs=DOCS, **_BUCKET, fits="len <= 16384", first="1 AS n, len AS top", ok="(f.n + 1) * greatest(f.top, o.len) <= 16384", step="CASE WHEN (f.n + 1) * greatest(f.top, o.len) <= 16384 THEN f.n + 1 ELSE 1 END, CASE WHEN (f.n + 1) * greatest(f.top, o.len) <= 16384 THEN greatest(f.top, o.len) ELSE o.len END"),
 )
 def fasta_batches(spark, d):
-    return B.token_batches(_docs(spark, d), ["lang"], ["len", "doc_id"], "len", budget=16384).select("doc_id", "batch")
+    return B.token_batches(B.length_buckets(_docs(spark, d), "doc_id", "len", 100), ["bucket"], ["len", "doc_id"], "len", budget=16384).select("doc_id", "bucket", "batch")
 
 
 @query(
@@ -76,7 +82,7 @@ def equal_length_batches(spark, d):
 
 @query("BAT07", "SELECT doc_id, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 32 AS INTEGER) AS chunk FROM documents")
 def fixed_chunks(spark, d):
-    return B.chunks(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"], 32).select("doc_id", "chunk")
+    return B.chunks(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"], 32, F.expr("doc_id div 10000")).select("doc_id", "chunk")
 
 
 @query(
@@ -84,4 +90,4 @@ def fixed_chunks(spark, d):
     "WITH s AS (SELECT doc_id, n_chars, CAST(coalesce(sum(n_chars + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at0 FROM documents) SELECT doc_id, at0 // 8192 AS first_block, (at0 + n_chars) // 8192 AS last_block, at0 % 8192 AS \"offset\" FROM s",
 )
 def sequence_packing(spark, d):
-    return B.packed_blocks(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 8192).select("doc_id", "first_block", "last_block", "offset")
+    return B.packed_blocks(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 8192, F.expr("doc_id div 10000")).select("doc_id", "first_block", "last_block", "offset")

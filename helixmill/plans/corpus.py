@@ -33,13 +33,11 @@ def reject_reasons(spark, d):
 
 
 @query(
-    "FLT01 FLT02 FLT03 FLT04 FLT04b FLT07 FLT15 SRC16",
-    f"""WITH {META} SELECT k, modeled_seq_len, split FROM meta WHERE split IN (SELECT DISTINCT split FROM meta WHERE split LIKE '%a%') AND modeled_seq_len BETWEEN 5 AND 40 AND helix_percent < 0.9 AND coil_percent < 0.8 AND strand_percent > 0.1 AND lddt_ca IS NOT NULL AND lddt_ca > 0.2""",
+    "FLT01 FLT02 FLT03 FLT04 FLT07 FLT15",
+    f"""WITH {META} SELECT k, modeled_seq_len, split FROM meta WHERE split IN ('LARGE', 'SMALL', 'STANDARD') AND modeled_seq_len BETWEEN 5 AND 40 AND helix_percent < 0.9 AND coil_percent < 0.8 AND strand_percent > 0.1 AND lddt_ca IS NOT NULL AND lddt_ca > 0.2""",
 )
 def metadata_filter(spark, d):
-    m = meta(spark, d)
-    kinds = tuple(r.split for r in m.select("split").distinct().collect() if "a" in r.split)  # an enumerated column
-    return C.metadata_scan(m, C.MetadataFilter(splits=kinds or ("",), min_len=5, max_len=40, max_helix=0.9, max_coil=0.8, min_strand=0.1, min_lddt=0.2), "k").select("k", "modeled_seq_len", "split")
+    return C.metadata_scan(meta(spark, d), C.MetadataFilter(splits=("LARGE", "SMALL", "STANDARD"), min_len=5, max_len=40, max_helix=0.9, max_coil=0.8, min_strand=0.1, min_lddt=0.2), "k").select("k", "modeled_seq_len", "split")
 
 
 @query(
@@ -115,7 +113,7 @@ def residue_range(spark, d):
     return points(spark, d).filter("idx BETWEEN 3 AND 9 AND idx % 3 = 0").join(chosen, "entry", "left_semi").select("entry", "idx", r6("x").alias("x"))
 
 
-@query("FLT17 SRC09 SET02", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("FLT17 SET02", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def purge_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_anti")
 
@@ -128,9 +126,9 @@ def repetition_screen(spark, d):
     return counts.groupBy("doc_id").agg(F.max("n").alias("most"), F.sum("n").alias("total")).withColumn("repetitive", F.col("most") > F.col("total") * 0.25)
 
 
-@query("PRJ01", "SELECT doc_id, list_aggregate(list_transform(string_split(translate(substr(text, 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ''), lambda c: CASE WHEN position(c IN 'ARNDCQEGHILKMFPSTWYV') > 0 THEN c ELSE 'X' END), 'string_agg', '') AS seq FROM documents WHERE length(text) > 0")
+@query("PRJ01", "SELECT doc_id, list_aggregate(list_transform(string_split(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ''), lambda c: CASE WHEN position(c IN 'ARNDCQEGHILKMFPSTWYV') > 0 THEN c ELSE 'X' END), 'string_agg', '') AS seq FROM documents WHERE length(text) > 0")
 def sequence_round_trip(spark, d):
-    return table(spark, d, "documents").filter("length(text) > 0").select("doc_id", sequence.sequence_of(sequence.aatype(F.translate(F.substring("text", 1, 60), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).alias("seq"))
+    return table(spark, d, "documents").filter("length(text) > 0").select("doc_id", sequence.sequence_of(sequence.aatype(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).alias("seq"))
 
 
 @query("PRJ02", f"WITH {POINTS} SELECT entry, {R('coalesce(max(CASE WHEN idx = 4 AND x > 0 THEN x END), max(CASE WHEN idx = 1 THEN x END), 0)')} AS beta_x FROM points GROUP BY entry")
@@ -172,7 +170,7 @@ def inherit_metadata(spark, d):
     return out.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), (F.coalesce("b", "text") == F.col("text")).alias("own"))
 
 
-@query("PRJ10 SRC08 SRC17", "SELECT CAST(conv_id AS VARCHAR) || '@' || role AS entry, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id, role")
+@query("PRJ10", "SELECT CAST(conv_id AS VARCHAR) || '@' || role AS entry, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id, role")
 def split_by_chain(spark, d):
     return table(spark, d, "conversations").groupBy(F.concat_ws("@", F.col("conv_id").cast("string"), "role").alias("entry")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -238,19 +236,19 @@ def gaps_islands(spark, d):
     return C.islands(table(spark, d, "events"), ["user_id"], "event_id")
 
 
-@query("SRT02", "SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT) AS number FROM customer ORDER BY number, c_custkey LIMIT 100")
+@query("SRT02", "SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT) AS number FROM customer")
 def natural_sort(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.regexp_extract("c_name", "([0-9]+)", 1).cast("long").alias("number")).orderBy("number", "c_custkey").limit(100)
+    return table(spark, d, "customer").select("c_custkey", F.regexp_extract("c_name", "([0-9]+)", 1).cast("long").alias("number")).orderBy("number", "c_custkey")
 
 
-@query("SET01 SNK03 SRC26", "SELECT 'label' AS kind, doc_id AS id FROM labels UNION ALL SELECT 'bench', item_id FROM benchmark")
+@query("SET01", "SELECT 'label' AS kind, doc_id AS id FROM labels UNION ALL SELECT 'bench', item_id FROM benchmark")
 def union_frames(spark, d):
     return table(spark, d, "labels").select(F.lit("label").alias("kind"), F.col("doc_id").alias("id")).unionByName(table(spark, d, "benchmark").select(F.lit("bench").alias("kind"), F.col("item_id").alias("id")))
 
 
-@query("SET02", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SET02", "SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("k")).subtract(table(spark, d, "labels").select("doc_id"))
 
 
 @query("SET03", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
@@ -279,7 +277,7 @@ def atoms_by_residue(spark, d):
     return wide.select("o_custkey", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
 
 
-@query("SRC25 SRC27 FN15", r"SELECT page_id, 'data/' || url AS path, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, TRY_CAST(regexp_extract(url, '/([0-9]+)(?:[?#].*)?$', 1) AS INTEGER) AS number FROM pages")
+@query("SRC27 FN15", r"SELECT page_id, 'data/' || url AS path, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, TRY_CAST(regexp_extract(url, '/([0-9]+)(?:[?#].*)?$', 1) AS INTEGER) AS number FROM pages")
 def key_from_path(spark, d):
     url = F.col("url")
     return table(spark, d, "pages").select("page_id", F.concat_ws("/", F.lit("data"), url).alias("path"), F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("host"), F.expr("try_cast(regexp_extract(url, '/([0-9]+)(?:[?#].*)?$', 1) AS int)").alias("number"))
@@ -304,8 +302,8 @@ def section_flags(spark, d):
     return table(spark, d, "events").select("user_id", F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).over(w).alias("section")).groupBy("user_id", "section").agg(F.count("*").alias("n"))
 
 
-@query("FN26", f"SELECT vec_id, CAST(list_position(g, list_max(g)) - 1 AS INTEGER) AS choice FROM (SELECT vec_id, list_transform(range(8), lambda i: CAST(embedding[i + 1] AS DOUBLE) * 5 - ln(-ln(CAST(('0x' || substr(md5('g:' || CAST(vec_id AS VARCHAR) || '-' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 * (1 - 2e-12) + 1e-12))) AS g FROM embeddings)")
+@query("FN26", f"SELECT vec_id, CAST(list_position(g, list_max(g)) - 1 AS INTEGER) AS choice FROM (SELECT vec_id, list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * 5 - ln(-ln(CAST(('0x' || substr(md5('g:' || CAST(vec_id AS VARCHAR) || '-' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 * (1 - 2e-12) + 1e-12))) AS g FROM embeddings)")
 def gumbel_choice(spark, d):
-    logits = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
+    logits = F.col("embedding").cast("array<double>")
     g = F.transform(logits, lambda x, i: x * 5 + hashing.gumbel("g", F.concat(F.col("vec_id").cast("string"), F.lit("-"), i.cast("string"))))
     return table(spark, d, "embeddings").select("vec_id", g.alias("g")).select("vec_id", (F.array_position("g", F.array_max("g")) - 1).cast("int").alias("choice"))

@@ -19,7 +19,7 @@ def _rounded(df, keys, names):
     return df.select(*keys, *[r6(n).alias(n) if n not in ("n", "n_pass") else F.col(n) for n in names])
 
 
-@query("AGG01 AGG20", f"WITH {EVAL} SELECT split, {R('avg(tm)')} AS tm_vq, {R('avg(rmsd)')} AS rmsd_vq, {R('avg(plddt)')} AS exposure FROM ev GROUP BY split")
+@query("AGG01", f"WITH {EVAL} SELECT split, {R('avg(tm)')} AS tm_vq, {R('avg(rmsd)')} AS rmsd_vq, {R('avg(plddt)')} AS exposure FROM ev GROUP BY split")
 def eval_means(spark, d):
     return _rounded(E.means(_eval(spark, d), {"tm_vq": "tm", "rmsd_vq": "rmsd", "exposure": "plddt"}, ["split"]), ["split"], ["tm_vq", "rmsd_vq", "exposure"])
 
@@ -76,11 +76,11 @@ def designability_first_best(spark, d):
     return g.agg(r6(F.avg(F.when(F.col("a") > 0.5, 1).otherwise(0))).alias("first_rate"), r6(F.avg(F.when(F.col("b") > 0.5, 1).otherwise(0))).alias("best_rate"))
 
 
-LETTERS = "c AS (SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(lower(substr(text, 1, 400)), '')) AS ch FROM documents) WHERE ch BETWEEN 'a' AND 'z' GROUP BY ALL), p AS (SELECT lang, ch, n / sum(n) OVER (PARTITION BY lang) AS p FROM c), q AS (SELECT ch, sum(n) / (SELECT sum(n) FROM c) AS q FROM c GROUP BY ch)"
+LETTERS = "c AS (SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(lower(text), '')) AS ch FROM documents) WHERE ch BETWEEN 'a' AND 'z' GROUP BY ALL), p AS (SELECT lang, ch, n / sum(n) OVER (PARTITION BY lang) AS p FROM c), q AS (SELECT ch, sum(n) / (SELECT sum(n) FROM c) AS q FROM c GROUP BY ch)"
 
 
 def _letters(spark, d):
-    rows = table(spark, d, "documents").select("lang", F.explode(F.split(F.lower(F.substring("text", 1, 400)), "")).alias("ch")).filter(F.col("ch").between("a", "z"))
+    rows = table(spark, d, "documents").select("lang", F.explode(F.split(F.lower("text"), "")).alias("ch")).filter(F.col("ch").between("a", "z"))
     return E.distribution(rows, "ch", ["lang"]), E.distribution(rows, "ch")
 
 
@@ -90,11 +90,11 @@ def composition_hellinger(spark, d):
     return E.hellinger(p, q, "ch", ["lang"]).select("lang", r6("hellinger").alias("hellinger"))
 
 
-@query("AGG12", f"WITH g AS (SELECT lang, lower(substr(text, CAST(i AS INTEGER), 2)) AS gram FROM documents, range(1, 200) r(i) WHERE i + 1 <= length(text)), c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT lang, gram, n / sum(n) OVER (PARTITION BY lang) AS p FROM c), q AS (SELECT gram, p AS q FROM p WHERE lang = 'en') SELECT lang, {R('sum(p * ln(p / coalesce(q, 1e-5)))')} AS kl FROM p LEFT JOIN q ON p.gram = q.gram GROUP BY lang")
+@query("AGG12", f"WITH s AS (SELECT lang, string_split(lower(text), '') AS s FROM documents WHERE length(text) >= 2), g AS (SELECT lang, unnest(list_transform(list_zip(s[1:len(s) - 1], s[2:]), lambda x: x[1] || x[2])) AS gram FROM s), c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT lang, gram, n / sum(n) OVER (PARTITION BY lang) AS p FROM c), q AS (SELECT gram, p AS q FROM p WHERE lang = 'en') SELECT lang, {R('sum(p * ln(p / coalesce(q, 1e-5)))')} AS kl FROM p LEFT JOIN q ON p.gram = q.gram GROUP BY lang")
 def ngram_kl(spark, d):
-    n = F.least(F.length("text") - 1, F.lit(199))
-    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.lower(F.substring(F.col("text"), i, F.lit(2))))
-    rows = table(spark, d, "documents").filter("length(text) >= 2").select("lang", F.explode(grams).alias("gram"))
+    n = F.size("s") - 1
+    grams = F.zip_with(F.slice("s", F.lit(1), n), F.slice("s", F.lit(2), n), lambda x, y: F.concat(x, y))
+    rows = table(spark, d, "documents").filter("length(text) >= 2").select("lang", F.split(F.lower("text"), "").alias("s")).select("lang", F.explode(grams).alias("gram"))
     p = E.distribution(rows, "gram", ["lang"])
     return E.kl_divergence(p, p.filter("lang = 'en'"), "gram", ["lang"]).select("lang", r6("kl").alias("kl"))
 

@@ -27,9 +27,9 @@ def lddt(spark, d):
     return G.lddt(G.two_model_pairs(models(spark, d)), cutoff=4.0).select("entry", r6("lddt").alias("lddt"))
 
 
-@query("MET05", f"WITH {MPAIRS}, u AS (SELECT entry, a_idx AS idx, d, p FROM mp UNION ALL SELECT entry, b_idx, d, p FROM mp) SELECT entry, idx, {R(f'(sum(CASE WHEN d < 4 THEN {LDDT} ELSE 0 END) + 1e-10) / (sum(CASE WHEN d < 4 THEN 1 ELSE 0 END) + 1e-10)')} AS lddt FROM u WHERE entry < 200 GROUP BY entry, idx")
+@query("MET05", f"WITH {MPAIRS}, u AS (SELECT entry, a_idx AS idx, d, p FROM mp UNION ALL SELECT entry, b_idx, d, p FROM mp) SELECT entry, idx, {R(f'(sum(CASE WHEN d < 4 THEN {LDDT} ELSE 0 END) + 1e-10) / (sum(CASE WHEN d < 4 THEN 1 ELSE 0 END) + 1e-10)')} AS lddt FROM u GROUP BY entry, idx")
 def lddt_per_residue(spark, d):
-    return G.lddt_per_point(G.two_model_pairs(models(spark, d).filter("entry < 200")), cutoff=4.0).select("entry", "idx", r6("lddt").alias("lddt"))
+    return G.lddt_per_point(G.two_model_pairs(models(spark, d)), cutoff=4.0).select("entry", "idx", r6("lddt").alias("lddt"))
 
 
 @query("MET01", f"WITH {MODELS}, q AS (SELECT entry, pow(x - px, 2) + pow(y - py, 2) + pow(z - pz, 2) AS d2 FROM models) SELECT entry, {R('sqrt(avg(d2))')} AS rmsd, {R('avg(sqrt(d2))')} AS mean_dist FROM q GROUP BY entry")
@@ -37,7 +37,7 @@ def rmsd_unaligned(spark, d):
     return G.rmsd(models(spark, d)).select("entry", r6("rmsd").alias("rmsd"), r6("mean_dist").alias("mean_dist"))
 
 
-@query("MET02 MET03 MET07")
+@query("MET02 MET03")
 def rmsd_aligned(spark, d):
     return G.aligned(models(spark, d)).select("entry", "n", r6("rmsd_aligned").alias("rmsd_aligned"))
 
@@ -85,17 +85,17 @@ def radius_join(spark, d):
 
 @query(
     "WIN06",
-    f"""WITH {MPAIRS}, s AS (SELECT *, CASE WHEN b_idx - a_idx BETWEEN 3 AND 5 THEN 'local' WHEN b_idx - a_idx BETWEEN 6 AND 11 THEN 'short' WHEN b_idx - a_idx >= 12 THEN 'medium' END AS band FROM mp WHERE b_idx - a_idx >= 3 AND entry < 300),
+    f"""WITH {MPAIRS}, s AS (SELECT *, CASE WHEN b_idx - a_idx BETWEEN 3 AND 5 THEN 'local' WHEN b_idx - a_idx BETWEEN 6 AND 11 THEN 'short' WHEN b_idx - a_idx >= 12 THEN 'medium' END AS band FROM mp WHERE b_idx - a_idx >= 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY entry, band ORDER BY -round(p, 9) DESC, a_idx, b_idx) AS rn FROM s)
     SELECT entry, band, {R('avg(CASE WHEN rn <= 21 THEN CASE WHEN d < 2 THEN 1.0 ELSE 0 END END)')} AS p_l, {R('avg(CASE WHEN rn <= 10 THEN CASE WHEN d < 2 THEN 1.0 ELSE 0 END END)')} AS p_l2, {R('avg(CASE WHEN rn <= 4 THEN CASE WHEN d < 2 THEN 1.0 ELSE 0 END END)')} AS p_l5 FROM r GROUP BY entry, band""",
 )
 def contact_precision(spark, d):
-    rows = G.two_model_pairs(models(spark, d).filter("entry < 300")).withColumn("gap", F.col("b_idx") - F.col("a_idx")).withColumn("score", -F.round("p", 9)).withColumn("hit", F.col("d") < 2).withColumn("len", F.lit(21))
+    rows = G.two_model_pairs(models(spark, d)).withColumn("gap", F.col("b_idx") - F.col("a_idx")).withColumn("score", -F.round("p", 9)).withColumn("hit", F.col("d") < 2).withColumn("len", F.lit(21))
     out = G.contact_precision(rows, ["entry"], "score", "hit", "len", "gap")
     return out.select("entry", "band", *[r6(c).alias(c) for c in ("p_l", "p_l2", "p_l5")])
 
 
-@query("FN37 FN38", f"WITH {POINTS}, w AS (SELECT entry, max(CASE WHEN idx=0 THEN x END) ax, max(CASE WHEN idx=0 THEN y END) ay, max(CASE WHEN idx=0 THEN z END) az, max(CASE WHEN idx=1 THEN x END) bx, max(CASE WHEN idx=1 THEN y END) by_, max(CASE WHEN idx=1 THEN z END) bz, max(CASE WHEN idx=2 THEN x END) cx, max(CASE WHEN idx=2 THEN y END) cy, max(CASE WHEN idx=2 THEN z END) cz FROM points GROUP BY entry), v AS (SELECT entry, ax-bx ux, ay-by_ uy, az-bz uz, cx-bx vx, cy-by_ vy, cz-bz vz FROM w) SELECT entry, {R('acos(greatest(-1, least(1, (ux*vx+uy*vy+uz*vz)/sqrt((ux*ux+uy*uy+uz*uz)*(vx*vx+vy*vy+vz*vz)))))')} AS angle FROM v")
+@query("FN37", f"WITH {POINTS}, w AS (SELECT entry, max(CASE WHEN idx=0 THEN x END) ax, max(CASE WHEN idx=0 THEN y END) ay, max(CASE WHEN idx=0 THEN z END) az, max(CASE WHEN idx=1 THEN x END) bx, max(CASE WHEN idx=1 THEN y END) by_, max(CASE WHEN idx=1 THEN z END) bz, max(CASE WHEN idx=2 THEN x END) cx, max(CASE WHEN idx=2 THEN y END) cy, max(CASE WHEN idx=2 THEN z END) cz FROM points GROUP BY entry), v AS (SELECT entry, ax-bx ux, ay-by_ uy, az-bz uz, cx-bx vx, cy-by_ vy, cz-bz vz FROM w) SELECT entry, {R('acos(greatest(-1, least(1, (ux*vx+uy*vy+uz*vz)/sqrt((ux*ux+uy*uy+uz*uz)*(vx*vx+vy*vy+vz*vz)))))')} AS angle FROM v")
 def planar_angles(spark, d):
     rows = points(spark, d).filter("idx < 4").groupBy("entry").agg(*[F.max(F.when(F.col("idx") == i, F.col(c))).alias(f"{c}{i}") for i in range(4) for c in "xyz"])
     at = lambda i: [F.col(f"{c}{i}") for c in "xyz"]
@@ -111,7 +111,7 @@ def backbone_angles(spark, d):
 
 
 @query(
-    "MET15 MET17",
+    "MET15",
     f"""WITH {MODELS}, perm AS (SELECT unnest([0, 1, 2]) AS perm), s AS (SELECT m.entry, p.perm, sqrt(avg(pow(m.x - o.px, 2) + pow(m.y - o.py, 2) + pow(m.z - o.pz, 2))) AS dev FROM models m, perm p JOIN models o ON o.entry = m.entry AND o.idx = (m.idx + p.perm) % 21 GROUP BY ALL)
     SELECT entry, arg_min(perm, (round(dev, 9), perm)) AS perm, {R('min(round(dev, 9))')} AS dev FROM s GROUP BY entry""",
 )
@@ -143,12 +143,12 @@ def steric_violations(spark, d):
     return p.groupBy("entry").agg(F.sum(F.when((gap == 1) & (dist > 3.8 + 1.5), 1).otherwise(0)).alias("stretched"), F.sum(F.when(close, 1).otherwise(0)).alias("overlaps"), r6(F.sum(F.when(close, 0.8 - dist).otherwise(0.0))).alias("overlap"))
 
 
-@query("MET11", f"SELECT a.doc_id, {R('list_sum(list_transform(range(1, 51), lambda i: CASE WHEN substr(a.text, CAST(i AS INTEGER), 1) = substr(b.text, CAST(i AS INTEGER), 1) THEN 1 ELSE 0 END)) / 50')} AS identity FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE length(a.text) >= 50 AND length(b.text) >= 50")
+@query("MET11", f"WITH t AS (SELECT doc_id, string_split(text, '') AS s FROM documents WHERE length(text) > 0) SELECT a.doc_id, {R('list_sum(list_transform(list_zip(a.s, b.s), lambda x: CASE WHEN x[1] = x[2] THEN 1 ELSE 0 END)) / greatest(len(a.s), len(b.s))')} AS identity FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
 def sequence_identity(spark, d):
-    t = table(spark, d, "documents").filter("length(text) >= 50").select("doc_id", F.split(F.substring("text", 1, 50), "").alias("s"))
+    t = table(spark, d, "documents").filter("length(text) > 0").select("doc_id", F.split("text", "").alias("s"))
     other = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("o"))
-    same = F.aggregate(F.zip_with(F.slice("s", 1, 50), F.slice("o", 1, 50), lambda x, y: F.when(x == y, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    return t.join(other, "doc_id").select("doc_id", r6(same / 50).alias("identity"))
+    same = F.aggregate(F.zip_with("s", "o", lambda x, y: F.when(x == y, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    return t.join(other, "doc_id").select("doc_id", r6(same / F.greatest(F.size("s"), F.size("o"))).alias("identity"))
 
 
 @query("MET13")

@@ -11,21 +11,27 @@ from helixmill.plans.registry import R, U, query, r6, table
 
 ESM_MAP = "map {" + ", ".join(f"'{t}': {i}" for i, t in enumerate(sequence.ESM_TOKENS)) + "}"
 CHAR_MAP = "map {" + ", ".join(f"'{t}': {i}" for i, t in enumerate(sequence.CHAR_TOKENS)) + "}"
-UP = "translate(substr(text, 1, 200), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
-CODES = "list_transform(embedding[1:16], lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 4096) AS INTEGER))"
+UP = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+CODES = "list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 4096) AS INTEGER))"
 IDS = f"list_transform(regexp_extract_all({UP}, '<[a-z_0-9]+>|[^\\s]'), lambda t: CAST(coalesce({ESM_MAP}[t], 3) AS INTEGER))"
 
 
 def _letters(spark, d):
-    up = F.translate(F.substring("text", 1, 200), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    up = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return table(spark, d, "documents").select("doc_id", up.alias("seq"))
 
 
 def _codes(spark, d):
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 16)
+    e = F.col("embedding").cast("array<double>")
     return table(spark, d, "embeddings").select("vec_id", F.transform(e, lambda x: F.floor((x + 1) * 4096).cast("int")).alias("codes"))
 
 
+def _groups(spark, d, n):
+    """Each vector's components, n at a time."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(64 // n - 1))).alias("k"))
+    return rows.select("vec_id", "k", F.slice("embedding", F.col("k") * n + 1, F.lit(n)).alias("part"))
+
+
 def _joined(ids):
     return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
 
@@ -33,9 +39,9 @@ def _joined(ids):
 J = "array_to_string({}, ',')"
 
 
-@query("FN06 FN07 FN08", f"SELECT doc_id, {J.format(f'list_concat([0], ({IDS})[1:100], [2])')} AS ids FROM documents")
+@query("FN06 FN07 FN08", f"SELECT doc_id, {J.format(f'list_concat([0], {IDS}, [2])')} AS ids FROM documents")
 def esm_tokenize(spark, d):
-    return _letters(spark, d).select("doc_id", _joined(sequence.wrapped(sequence.esm_ids(F.col("seq")), limit=100)).alias("ids"))
+    return _letters(spark, d).select("doc_id", _joined(sequence.wrapped(sequence.esm_ids(F.col("seq")))).alias("ids"))
 
 
 @query("FN05", f"SELECT doc_id, coalesce({J.format(f'list_filter(list_transform(string_split({UP}, {chr(39)*2}), lambda c: {CHAR_MAP}[c]), lambda i: i IS NOT NULL)')}, '') AS ids FROM documents")
@@ -44,7 +50,7 @@ def char_tokenize(spark, d):
 
 
 @query(
-    "FN01 FN02 FN04 FN12 SRC23",
+    "FN01 FN02 FN04 FN12",
     f"""SELECT vec_id, '<seq>' || array_to_string(list_transform({CODES}, lambda c: substr('ARNDCQEGHILKMFPSTWYV', c % 20 + 1, 1)), ' ') || '</seq><struct>' || array_to_string(list_transform({CODES}, lambda c: '<|s' || lpad(CAST(c AS VARCHAR), 4, '0') || '|>'), '') || '</struct>' AS text,
     array_to_string(list_transform({CODES}, lambda c: lpad(CAST(c AS VARCHAR), 4, '0')), ',') AS codes FROM embeddings""",
 )
@@ -59,10 +65,10 @@ def parse_struct_codes(spark, d):
     return _codes(spark, d).select("vec_id", parsed.alias("p")).select("vec_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, c: a + c).alias("total"), F.size("p").alias("n"))
 
 
-@query("COL01 COL02 COL05 FN08", f"WITH t AS (SELECT vec_id, {CODES} AS c, CAST(vec_id % 16 AS INTEGER) AS n FROM embeddings) SELECT vec_id, {J.format('list_concat(c[1:n], list_transform(range(16 - n), lambda i: 1))')} AS input_ids, {J.format('list_concat(c[1:n], list_transform(range(16 - n), lambda i: -100))')} AS labels, CAST(n AS INTEGER) AS attended FROM t")
+@query("COL01 COL02 COL05 FN08", f"WITH t AS (SELECT vec_id, list_filter({CODES}, lambda x: x % 2 = 0) AS c FROM embeddings) SELECT vec_id, {J.format('list_concat(c, list_transform(range(64 - len(c)), lambda i: 1))')} AS input_ids, {J.format('list_concat(c, list_transform(range(64 - len(c)), lambda i: -100))')} AS labels, CAST(len(c) AS INTEGER) AS attended FROM t")
 def padded_labels(spark, d):
-    part = F.slice("codes", F.lit(1), (F.col("vec_id") % 16).cast("int"))
-    return _codes(spark, d).select("vec_id", part.alias("c")).select("vec_id", _joined(sequence.padded(F.col("c"), F.lit(16), sequence.PAD)).alias("input_ids"), _joined(sequence.padded(F.col("c"), F.lit(16), sequence.IGNORE)).alias("labels"), F.size("c").alias("attended"))
+    even = F.filter("codes", lambda c: c % 2 == 0)  # of each vector's codes, so lengths differ
+    return _codes(spark, d).select("vec_id", even.alias("c")).select("vec_id", _joined(sequence.padded(F.col("c"), F.lit(64), sequence.PAD)).alias("input_ids"), _joined(sequence.padded(F.col("c"), F.lit(64), sequence.IGNORE)).alias("labels"), F.size("c").alias("attended"))
 
 
 @query("FN11", f"WITH t AS (SELECT vec_id, {CODES} AS c FROM embeddings) SELECT vec_id, CAST(len(list_filter(c, lambda x: x % 66 < 33)) AS INTEGER) AS residues, CAST(len(list_filter(c, lambda x: x % 66 >= 33)) AS INTEGER) AS structure FROM t")
@@ -97,20 +103,19 @@ def interval_overlaps(spark, d):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("o").alias("overlaps"))
 
 
-@query("FN19 FN20", f"SELECT doc_id, repeat('#', 10 + CAST(floor({U('sp', 'doc_id')} * 20) AS INTEGER)) || substr(text, 1, 12) || repeat('#', 5) AS scaffold FROM documents WHERE length(text) >= 12")
+@query("FN19 FN20", f"SELECT doc_id, repeat('#', 10 + CAST(floor({U('sp', 'doc_id')} * 20) AS INTEGER)) || text || repeat('#', 5) AS scaffold FROM documents WHERE length(text) >= 12")
 def inpaint_template(spark, d):
     lead = 10 + F.floor(hashing.uniform("sp", F.col("doc_id")) * 20).cast("int")
-    motif = F.substring("text", 1, 12)
-    return table(spark, d, "documents").filter("length(text) >= 12").select("doc_id", sequence.fill_template(lead + 17, lead + 1, motif).alias("scaffold"))
+    return table(spark, d, "documents").filter("length(text) >= 12").select("doc_id", sequence.fill_template(lead + F.length("text") + 5, lead + 1, F.col("text")).alias("scaffold"))
 
 
 @query(
     "FN21",
-    f"""WITH t AS (SELECT doc_id, substr(text, 1, 40) AS s, CAST(floor({U('op', 'doc_id')} * length(substr(text, 1, 40))) AS INTEGER) AS p, {U('kind', 'doc_id')} AS k FROM documents WHERE length(text) >= 2)
+    f"""WITH t AS (SELECT doc_id, text AS s, CAST(floor({U('op', 'doc_id')} * length(text)) AS INTEGER) AS p, {U('kind', 'doc_id')} AS k FROM documents WHERE length(text) >= 2)
     SELECT doc_id, CASE WHEN k < 0.6 THEN substr(s, 1, p) || '@' || substr(s, p + 2) WHEN k < 0.8 THEN substr(s, 1, p) || substr(s, p + 2) ELSE substr(s, 1, p) || '@' || substr(s, p + 1) END AS mutated FROM t""",
 )
 def mutate_sequence(spark, d):
-    rows = table(spark, d, "documents").filter("length(text) >= 2").select("doc_id", F.substring("text", 1, 40).alias("s"))
+    rows = table(spark, d, "documents").filter("length(text) >= 2").select("doc_id", F.col("text").alias("s"))
     p, k, s = hashing.below("op", F.col("doc_id"), F.length("s")), hashing.uniform("kind", F.col("doc_id")), F.col("s")
     return rows.select("doc_id", F.when(k < 0.6, sequence.substitute(s, p, F.lit("@"))).when(k < 0.8, sequence.delete(s, p)).otherwise(sequence.insert(s, p, F.lit("@"))).alias("mutated"))
 
@@ -139,10 +144,10 @@ def absorbing_noise(spark, d):
     return _codes(spark, d).select("vec_id", _joined(S.absorbed(F.col("codes"), F.col("vec_id"), 17, t, sequence.MASK, (0, 1, 2))).alias("noised"), r6(1 - t).alias("weight"))
 
 
-@query("FN27 FN40", "WITH t AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE) * 8)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p, CAST(vec_id % 8 AS INTEGER) AS o FROM t) " f"SELECT vec_id, {R('CASE WHEN p[o + 1] > 0.7 THEN 0.7 ELSE p[o + 1] END')} AS kept, {R('CASE WHEN p[o + 1] > 0.7 THEN list_max(list_filter(p, lambda x: x <> p[o + 1])) / (1 - p[o + 1]) * 0.3 ELSE list_max(list_filter(p, lambda x: x <> p[o + 1])) END')} AS rest, {R('-ln(p[o + 1])')} AS nll FROM p")
+@query("FN27 FN40", "WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) * 32)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p, CAST(vec_id % 64 AS INTEGER) AS o FROM t) " f"SELECT vec_id, {R('CASE WHEN p[o + 1] > 0.7 THEN 0.7 ELSE p[o + 1] END')} AS kept, {R('CASE WHEN p[o + 1] > 0.7 THEN list_max(list_filter(p, lambda x: x <> p[o + 1])) / (1 - p[o + 1]) * 0.3 ELSE list_max(list_filter(p, lambda x: x <> p[o + 1])) END')} AS rest, {R('-ln(p[o + 1])')} AS nll FROM p")
 def explore_ratio(spark, d):
-    logits = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 8), lambda x: x * 8)
-    old = (F.col("vec_id") % 8).cast("int")
+    logits = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 32)
+    old = (F.col("vec_id") % 64).cast("int")
     rows = table(spark, d, "embeddings").select("vec_id", old.alias("o"), numeric.redistribute(numeric.softmax(logits), old, 0.3).alias("p"), numeric.cross_entropy(logits, old).alias("nll"))
     return rows.select("vec_id", r6(F.get("p", F.col("o"))).alias("kept"), r6(F.array_max(F.filter("p", lambda x, i: i != F.col("o")))).alias("rest"), r6("nll").alias("nll"))
 
@@ -161,21 +166,22 @@ def fsq_roundtrip(spark, d):
     return rows.select("code", *[F.get("g", F.lit(i)).alias(f"d{i}") for i in range(3)], numeric.fsq_index(F.col("g"), levels).alias("back"), r6(F.get(numeric.fsq_codes(F.col("g"), levels), F.lit(0))).alias("c0"))
 
 
-@query("FN29", "WITH z AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE) * 10) AS z FROM embeddings) SELECT vec_id, CAST(round_even(tanh(z[1] + atanh(0.5 / (7 * 1.001 / 2))) * (7 * 1.001 / 2) - 0.5, 0) + 4 AS INTEGER) AS a, CAST(round_even(tanh(z[2]) * (4 * 1.001 / 2), 0) + 2 AS INTEGER) AS b, CAST(round_even(tanh(z[3]) * (4 * 1.001 / 2), 0) + 2 AS INTEGER) AS c FROM z")
+@query("FN29", "WITH z AS (SELECT vec_id, k, list_transform(embedding[3 * k + 1:3 * k + 3], lambda x: CAST(x AS DOUBLE) * 10) AS z FROM embeddings, range(21) t(k)) SELECT vec_id, CAST(k AS INTEGER) AS k, CAST(round_even(tanh(z[1] + atanh(0.5 / (7 * 1.001 / 2))) * (7 * 1.001 / 2) - 0.5, 0) + 4 AS INTEGER) AS a, CAST(round_even(tanh(z[2]) * (4 * 1.001 / 2), 0) + 2 AS INTEGER) AS b, CAST(round_even(tanh(z[3]) * (4 * 1.001 / 2), 0) + 2 AS INTEGER) AS c FROM z")
 def fsq_quantize(spark, d):
-    z = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 3), lambda x: x * 10)
-    return table(spark, d, "embeddings").select("vec_id", numeric.fsq_quantise(z, (8, 5, 5)).alias("q")).select("vec_id", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate("abc")])
+    z = F.transform(F.slice(F.col("embedding").cast("array<double>"), F.col("k") * 3 + 1, F.lit(3)), lambda x: x * 10)
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"))
+    return rows.select("vec_id", "k", numeric.fsq_quantise(z, (8, 5, 5)).alias("q")).select("vec_id", "k", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate("abc")])
 
 
-@query("FN30", "WITH t AS (SELECT vec_id, CAST(list_sum(list_transform(embedding[1:12], lambda x, i: CASE WHEN x > 0 THEN 1 << (12 - i) ELSE 0 END)) AS BIGINT) AS code FROM embeddings) SELECT vec_id, code, CAST(bit_count(code) AS INTEGER) AS ones FROM t")
+@query("FN30", "WITH t AS (SELECT vec_id, CAST(k AS INTEGER) AS k, CAST(list_sum(list_transform(embedding[16 * k + 1:16 * k + 16], lambda x, i: CASE WHEN x > 0 THEN 1 << (16 - i) ELSE 0 END)) AS BIGINT) AS code FROM embeddings, range(4) r(k)) SELECT vec_id, k, code, CAST(bit_count(code) AS INTEGER) AS ones FROM t")
 def lfq_bits(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", numeric.lfq(F.slice("embedding", 1, 12)).alias("code"))
-    return rows.select("vec_id", "code", F.aggregate(numeric.index_to_bits(F.col("code"), 12), F.lit(0), lambda a, b: a + b).alias("ones"))
+    rows = _groups(spark, d, 16).select("vec_id", "k", numeric.lfq(F.col("part")).alias("code"))
+    return rows.select("vec_id", "k", "code", F.aggregate(numeric.index_to_bits(F.col("code"), 16), F.lit(0), lambda a, b: a + b).alias("ones"))
 
 
-@query("AGG14", f"WITH c AS (SELECT CAST(list_sum(list_transform(embedding[1:8], lambda x, i: CASE WHEN x > 0 THEN 1 << (8 - i) ELSE 0 END)) AS BIGINT) AS code, count(*) AS n FROM embeddings GROUP BY 1), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT {R('exp(-sum(p * ln(p + 1e-10)))')} AS perplexity, {R('count(*) / 256')} AS usage FROM p")
+@query("AGG14", f"WITH c AS (SELECT CAST(list_sum(list_transform(embedding[8 * k + 1:8 * k + 8], lambda x, i: CASE WHEN x > 0 THEN 1 << (8 - i) ELSE 0 END)) AS BIGINT) AS code, count(*) AS n FROM embeddings, range(8) r(k) GROUP BY 1), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT {R('exp(-sum(p * ln(p + 1e-10)))')} AS perplexity, {R('count(*) / 256')} AS usage FROM p")
 def codebook_perplexity(spark, d):
-    out = E.codebook_usage(table(spark, d, "embeddings").select(numeric.lfq(F.slice("embedding", 1, 8)).alias("code")), "code", 256)
+    out = E.codebook_usage(_groups(spark, d, 8).select(numeric.lfq(F.col("part")).alias("code")), "code", 256)
     return out.select(r6("perplexity").alias("perplexity"), r6("usage").alias("usage"))
 
 
@@ -196,9 +202,9 @@ def distogram_bins(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numeric.bin_index(F.col("l_quantity"), 2.3125, 21.6875, 64).alias("bin"))
 
 
-@query("FN34 FN35", f"SELECT event_id, {R('exp(-pow((value / 10 - 0.001) / (22.0 - 0.001) * 16, 2))')} AS first, {R('sin(event_id * pi())')} AS sine FROM events WHERE event_id < 1000")
+@query("FN34 FN35", f"SELECT event_id, {R('exp(-pow((value / 10 - 0.001) / (22.0 - 0.001) * 16, 2))')} AS first, {R('sin(event_id * pi())')} AS sine FROM events")
 def radial_and_sinusoid(spark, d):
-    e = table(spark, d, "events").filter("event_id < 1000")
+    e = table(spark, d, "events")
     return e.select("event_id", r6(F.get(numeric.rbf(F.col("value") / 10, 0.001, 22.0, 16), F.lit(0))).alias("first"), r6(F.get(numeric.sinusoid(F.col("event_id"), 8), F.lit(0))).alias("sine"))
 
 
@@ -219,7 +225,7 @@ def predicted_tm(spark, d):
     return table(spark, d, "embeddings").select("vec_id", r6(numeric.predicted_tm(logits, F.lit(100))).alias("ptm"))
 
 
-@query("FN42 SRC24", "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY event_type")
+@query("FN42", "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY event_type")
 def json_fields(spark, d):
     k = F.from_json("props", "k long")["k"]
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("k"), F.count("*").alias("n"))
@@ -231,9 +237,9 @@ def date_parts(spark, d):
     return table(spark, d, "orders").groupBy(F.year(at).alias("y"), F.month(at).alias("m")).agg(F.count("*").alias("n"), F.max(F.datediff(at, F.lit("1992-01-01").cast("date"))).alias("last_day"))
 
 
-@query("WIN07", "WITH t AS (SELECT vec_id, unnest(range(16)) AS i, unnest(embedding[1:16]) AS x FROM embeddings), e AS (SELECT vec_id, i, exp(CAST(x AS DOUBLE) * 8) AS e FROM t), p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e), c AS (SELECT vec_id, i, p, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p AS before FROM p) SELECT vec_id, count(*) FILTER (before <= 0.8) AS kept FROM c GROUP BY vec_id")
+@query("WIN07", "WITH t AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings), e AS (SELECT vec_id, i, exp(CAST(x AS DOUBLE) * 8) AS e FROM t), p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e), c AS (SELECT vec_id, i, p, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p AS before FROM p) SELECT vec_id, count(*) FILTER (before <= 0.8) AS kept FROM c GROUP BY vec_id")
 def top_p_filter(spark, d):
-    logits = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 16), lambda x: x * 8)
+    logits = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 8)
     return table(spark, d, "embeddings").select("vec_id", F.size(F.filter(numeric.top_k_top_p(logits, p=0.8), lambda x: x.isNotNull())).cast("long").alias("kept"))
 
 
@@ -242,7 +248,7 @@ def lowest_k_mask(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(F.filter(numeric.lowest_mask(F.col("embedding"), 10), lambda x: x)).alias("masked"))
 
 
-@query("ML05 SNK11", f"SELECT conv_id, CAST(count(*) AS BIGINT) AS n, {R('avg(length(text))')} AS pooled FROM conversations WHERE turn >= 1 GROUP BY conv_id")
+@query("ML05", f"SELECT conv_id, CAST(count(*) AS BIGINT) AS n, {R('avg(length(text))')} AS pooled FROM conversations WHERE turn >= 1 GROUP BY conv_id")
 def mean_pooling(spark, d):
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.length("text").cast("double").alias("x")))).alias("r"))  # one conversation's turns
     kept = F.filter("r", lambda s: s["turn"] >= 1)
@@ -257,9 +263,9 @@ def header_fields(spark, d):
     return table(spark, d, "part").select("p_partkey", part(1).alias("name"), part(2).cast("int").alias("length"))
 
 
-@query("FN09 SRC19 SRC20", r"SELECT doc_id, regexp_replace(substr(text, 1, 300), '[a-z.*]', '', 'g') AS aligned, upper(regexp_replace(regexp_replace(substr(text, 1, 300), '-', '', 'g'), '[^A-Za-z]', '', 'g')) AS letters FROM documents")
+@query("FN09 SRC19 SRC20", r"SELECT doc_id, regexp_replace(text, '[a-z.*]', '', 'g') AS aligned, upper(regexp_replace(regexp_replace(text, '-', '', 'g'), '[^A-Za-z]', '', 'g')) AS letters FROM documents")
 def a3m_clean(spark, d):
-    s = F.substring("text", 1, 300)
+    s = F.col("text")
     return table(spark, d, "documents").select("doc_id", sequence.without_insertions(s).alias("aligned"), F.upper(F.regexp_replace(sequence.clean_alignment(s, keep_gaps=False), "[^A-Za-z]", "")).alias("letters"))
 
 
