@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of short rows is broadcast; larger tables are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes as written, up to which a table is broadcast; larger tables are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -52,7 +52,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
@@ -66,8 +66,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete materialised tables whose readers have all been materialised in their turn."""
     for t in tables:
-        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._materialised)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = _located(t)
+        fs.delete(path, True)
+
+
+def _located(table: DataFrame):
+    """Path and file system of a materialised table."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table._materialised)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
 
 
 def slices(batches, column: int, most: int):
@@ -101,14 +108,17 @@ def trim() -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows; else left to a shuffled join.
-
-    Counts df, so pass a materialised table.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A materialised table, marked for broadcast if it is small in rows and bytes; else left to a shuffled join."""
+    path, fs = _located(df)
+    return F.broadcast(df) if fs.getContentSummary(path).getLength() <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
 
 
 def uniform(key, seed: str):
     """A number in [0, 1) from 52 bits of the md5 of seed and key; equal in any engine."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """df, written first if it comes out of a shuffle: a task run again then sees its rows in the same order."""
+    return materialise(df, "input") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df

@@ -14,6 +14,7 @@ smallest ids can be among k nearest with ties to the smaller id.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows with a null id, or of a length other than the most common one;
+rows that repeat an id are one row, that with the least vector, so no neighbour comes twice;
 a query with fewer than k candidates gets all; an empty table gives an empty
 table; other columns are not read.
 """
@@ -29,7 +30,8 @@ K, EVERY = 20, 20
 #: Vectors that the partition is learned from, at most; neighbours in its graph; rows per part, aimed at; parts at most.
 SAMPLE, GRAPH_K, PART_ROWS, PARTS = 8192, 10, 4000, 256
 RECALL = 0.95
-BLOCK = 4096
+#: Rows of a block of a part, and of the queries that meet it. What is moved for a score falls with it.
+BLOCK = 32768
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -191,8 +193,8 @@ def _rerank(k: int):
             keep = np.sort(by[place <= k])
             ids, x = ids[keep], x[keep]
             asked, q = np.asarray(queries["query_id"]), _matrix(queries["q"].combine_chunks())
-            for a in range(0, len(q), 512):
-                rough = q[a : a + 512] @ x.T
+            for a in range(0, len(q), 128):
+                rough = q[a : a + 128] @ x.T
                 cut = np.partition(rough, max(0, rough.shape[1] - k - 1), axis=1)[:, max(0, rough.shape[1] - k - 1)] if rough.shape[1] > k + 1 else np.full(len(rough), -np.inf)
                 slack = 1e-9 * (1 + np.abs(cut))
                 for i in range(len(rough)):
@@ -222,6 +224,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """Nearest k of each query, a row that query_filter (default: id divisible by EVERY) takes: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
+    if not rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        rows = materialise(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "ann-rows")
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -232,8 +236,9 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     sizes = {r.part: r.n for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per part
     blocks = F.expr("array(" + ",".join(str(-(-sizes.get(p, 0) // BLOCK)) for p in range(w.shape[1])) + ")")
     asked = rows.filter(query_filter if query_filter is not None else F.col("vec_id") % EVERY == 0)
+    many = asked.count()
     routed = asked.mapInArrow(_route(w, probes, sizes, k + 1), "query_id long, q array<double>, part int")
-    groups = max(1, -(-n // EVERY * probes // w.shape[1] // BLOCK))
+    groups = max(1, -(-many * probes // w.shape[1] // BLOCK))
     queries = routed.withColumn("qb", F.pmod(F.hash("query_id"), F.lit(groups))).withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("part")) - 1)))
     stored = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.greatest(F.get(blocks, F.col("part")), F.lit(1))).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = queries.filter(F.get(blocks, F.col("part")) > 0)

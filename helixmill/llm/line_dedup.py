@@ -2,12 +2,15 @@
 
 Pages are grouped by host; for each line the pages of the host that contain it are
 divided by the pages of the host, and lines above `ratio` are boilerplate and go.
-A page counts once for a line, however often it repeats it. Hosts with fewer than
-`min_pages` pages say nothing about frequency and keep all lines.
+A page counts once for a line, however often it repeats it, and a line has to stand
+on two pages to be a repetition at all.
 
 A host of P pages with L distinct lines a page on average has at most L / ratio
 boilerplate lines, whatever P is, so these are carried as one array per host, and
 the cleaned page is made in place: no line is moved twice and no page reassembled.
+A page's own lines are looked up in that array by hash, so a very long page costs
+what its lines cost. The arrays are broadcast if they are small in bytes, else
+joined by host, where the engine splits a host with many pages.
 Counting is combined on the map side by (host, line), which no single host or line
 can overload.
 
@@ -23,7 +26,6 @@ from pyspark.sql import functions as F
 from helixmill.llm._shared import materialise, small
 
 RATIO = 0.3
-MIN_PAGES = 5
 #: Patterns are held to what RE2 and Java read alike.
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BREAKS = r"(?i)<br[^>]*>|</?(?:p|div|li|ul|ol|h[1-6]|tr|table|nav|article|section|header|footer|title)(?:\s[^>]*)?>"
@@ -41,13 +43,12 @@ def lines_of(html):
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(lines: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(lines: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(host, lines) -> (host, drop: array of boilerplate lines)."""
-    pages = lines.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
-    least = int(ratio * min_pages) + 1  # n > ratio * pages >= ratio * min_pages
+    pages = lines.groupBy("host").agg(F.count("*").alias("pages"))
     counts = lines.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     return (
-        counts.filter(F.col("n") >= least)
+        counts.filter("n > 1")
         .join(pages, "host")
         .filter(F.col("n") / F.col("pages") > ratio)
         .groupBy("host")
@@ -55,15 +56,16 @@ def boilerplate(lines: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     )
 
 
-def clean(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def clean(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = RATIO) -> DataFrame:
     """One row per page: page_id, host, lines kept (array), n_lines, n_dropped."""
     lines = materialise(
         pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), lines_of(F.col(f"`{html_col}`")).alias("lines")), "site-lines"
     )
-    drop = small(materialise(boilerplate(lines, ratio, min_pages), "site-boilerplate"), 20_000)
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), x)))
+    drop = small(materialise(boilerplate(lines, ratio), "site-boilerplate"), 20_000)
+    kept = F.when(F.size("own") > 0, F.filter("lines", lambda x: ~F.array_contains(F.col("own"), x))).otherwise(F.col("lines"))
     return (
         lines.join(drop, "host", "left")
+        .withColumn("own", F.array_intersect("lines", "drop"))
         .withColumn("kept", kept)
         .select("page_id", "host", F.col("kept").alias("lines"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
     )

@@ -8,7 +8,8 @@ hash of seed and id is below the fraction, so reruns agree.
 
 Edge cases: null source is a source of its own, after all others; null or empty
 text has size 0 and is emitted like any other; rows that repeat an id share its
-draw; an empty table gives an empty table.
+draw; an empty table gives an empty table; other columns, whatever their names, come
+out as they went in. Sources are few: one row of each meets in one task.
 """
 
 from __future__ import annotations
@@ -78,11 +79,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **kw) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with the columns of docs."""
-    sizes = docs.select(size_of(F.col(f"`{text_col}`")).alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"))
-    rates = _rates(sizes, **kw).select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), (F.col("target") / F.col("source_size")).alias("_mix_rate"))
-    n = F.when(F.col("_mix_size") > 0, copies(F.col("_mix_rate"), F.col(f"`{id_col}`"), seed)).otherwise(F.lit(1)).cast("int")
-    return (
-        docs.join(rates, docs[source_col].cast("string").eqNullSafe(rates._mix_source))
-        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), n)))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    source = F.col(f"`{source_col}`").cast("string")
+    rates = _rates(docs.select(size_of(F.col(f"`{text_col}`")).alias("size"), source.alias("source")), **kw).withColumnRenamed("source", "of")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), source.alias("source"))
+    n = F.when(F.col("source_size") > 0, copies(F.col("target") / F.col("source_size"), F.col("id"), seed)).otherwise(F.lit(1)).cast("int")
+    taken = rows.join(rates, F.col("source").eqNullSafe(F.col("of"))).select("row", F.explode(F.array_repeat(F.lit(1), n)))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm._shared import materialise, slices, trim
+from helixmill.llm._shared import materialise, repeatable, slices, trim
 from helixmill.llm.words import encoder
 
 CAPACITY, END_ID = 2048, 1
@@ -164,7 +164,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     digest: ids are dropped as soon as their checksum is made.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = repeatable(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     first = materialise(rows.mapInArrow(_first(tokenizer, capacity, chunk, digest), SCHEMA), "packed")
     # A partition's tail is less than one sequence, so a group of them is at most TAIL_GROUP sequences.
     tails = first.filter("sequence_id IS NULL")

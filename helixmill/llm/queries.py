@@ -32,7 +32,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "lang", F.col("_kn_chars").alias("n_scored"), F.col("_kn_perplexity").alias("perplexity"), F.col("_kn_threshold").alias("threshold"), F.col("_kn_kept").alias("kept"))
+    return judged.select("doc_id", "lang", F.col("_kn_chars").alias("n_scored"), F.col("_kn_perplexity").alias("perplexity"), F.col("_kn_drawn").alias("drawn"), F.col("_kn_threshold").alias("threshold"), F.col("_kn_kept").alias("kept"))
 
 
 def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +107,11 @@ WITH p AS (
       lambda x: trim(x)), lambda x: x <> '') AS lines
   FROM pages
 ), hosts AS (
-  SELECT host, count(*) AS pages FROM p GROUP BY host HAVING count(*) >= 5
+  SELECT host, count(*) AS pages FROM p GROUP BY host
 ), counts AS (
   SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line
 ), gone AS (
-  SELECT c.host, list(c.line) AS gone FROM counts c JOIN hosts h ON c.host = h.host WHERE c.n / h.pages > CAST(0.3 AS DOUBLE) GROUP BY c.host
+  SELECT c.host, list(c.line) AS gone FROM counts c JOIN hosts h ON c.host = h.host WHERE c.n > 1 AND c.n / h.pages > CAST(0.3 AS DOUBLE) GROUP BY c.host
 ), kept AS (
   SELECT page_id, p.host, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(gone, x)) END AS kept FROM p LEFT JOIN gone ON p.host = gone.host
 )

@@ -181,6 +181,11 @@ def test_mix(spark, odd, empty):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", 1, 2, "r"), (2, "c", None, 3, 4, "s")], "doc_id long, text string, `so.urce` string, _mix_size int, source_size int, row string")
+    assert {tuple(r) for r in mixing.mix(rows, source_col="so.urce").collect()} <= {tuple(r) for r in rows.collect()}
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(3000)]
     got = mixing.plan(docs_of(spark, rows)).collect()
@@ -255,8 +260,11 @@ def test_ann(spark):
         hit += len({v for _, v, _ in found} & set(order))
         assert [r for r, *_ in found] == list(range(1, 21))
         assert all(abs(sc - d[q] @ d[v]) < 1e-9 for _, v, sc in found)
-        assert found == sorted(found, key=lambda t: (-t[2], t[1])) or found == sorted(found)
+        assert found == sorted(found, key=lambda t: (-t[2], t[1]))  # ties to the smaller id
     assert hit / (20 * len(got)) >= 0.9
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0]), (2, [0.5, 3.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(twice).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 20, 1.0), (0, 3, 2, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 0.5)]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id, r.score) for r in ann.search(few).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, 0.5)]
     assert ann.search(few.limit(0)).count() == 0
@@ -281,8 +289,9 @@ def brute_katz(rows):
 
     d1, d2 = factors(c1), factors(c2)
     f = lambda d, c: d[c - 1] if c <= 5 else 1.0
-    unknown = 1 - sum(f(d1, c) * c for c in c1.values()) / n if n else 1.0
-    p = lambda w: f(d1, c1[w]) * c1[w] / n if w in c1 else unknown
+    bare = n > 0 and min(c1.values()) > 5  # nothing is discounted
+    unknown = 1.0 if not n else 1 / (n + 1) if bare else 1 - sum(f(d1, c) * c for c in c1.values()) / n
+    p = lambda w: f(d1, c1[w]) * c1[w] / (n + bare) if w in c1 else unknown
     after = collections.defaultdict(dict)
     for (h, w), c in c2.items():
         after[h][w] = c
@@ -306,14 +315,50 @@ def brute_katz(rows):
     return out
 
 
+def check_katz(spark, rows, hot, parts=3):
+    model = katz.fit(docs_of(spark, rows).repartition(parts), chars_per_shard=500, hot_count=hot)
+    key = lambda r: (str(r[0]), round(r[5], 6), round(r[6], 6))
+    for g, w in zip(sorted(map(tuple, model.scores().collect()), key=key), sorted(brute_katz(rows), key=key), strict=True):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and abs(g[6] - w[6]) < 1e-6 and math.isfinite(g[6])
+    return model
+
+
 @pytest.mark.parametrize("hot", [10**9, 20])
-def test_katz(spark, hot, monkeypatch):
-    monkeypatch.setattr(katz, "HOT_COUNT", hot)
+def test_katz(spark, hot):
+    """Random words, and histories with one frequent successor: hot or not, the scores are the same."""
     rows = ODD[:7] + [(10 + i, words(120, i % 9).replace("a", "the "), "s") for i in range(60)] + [(90, "rare hapax words here", "s")]
-    got = katz.score(docs_of(spark, rows).repartition(3), chars_per_shard=500, hot_count=hot).collect()
-    key = lambda r: (str(r[0]), round(r[5], 6), round(r[6], 6))
-    for g, w in zip(sorted(map(tuple, got), key=key), sorted(brute_katz(rows), key=key), strict=True):
-        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and abs(g[6] - w[6]) < 1e-6
+    rows += [(100 + i, "only one way " * 3 + f"x{i % 7}", "s") for i in range(60)]
+    model = check_katz(spark, rows, hot)
+    assert bool(model.hot) == (hot == 20)
+    unique = [r for r in {i: (i, t, s) for i, t, s in rows if i is not None}.values()]
+    want = {r[0]: r[6] for r in brute_katz(rows)}
+    for r in model.evaluate(docs_of(spark, unique)).collect():  # from the stored tables alone
+        if r.doc_id != 4:
+            assert abs(r.score - want[r.doc_id]) < 1e-6
+
+
+@pytest.mark.parametrize("hot", [10**9, 3])
+def test_katz_start_with_frequent_words_only(spark, hot):
+    """START is followed by words that occur more than 5 times each, so nothing of it is discounted."""
+    rows = [(i, f"{'abc'[i % 3]} {words(6, i)}", "s") for i in range(60)] + [(60 + i, f"never{i} seen", "s") for i in range(20)]
+    rows = [r for r in rows if r[0] < 60 or katz.held_out(r[0])]
+    model = check_katz(spark, rows, hot)
+    total = model.histories().filter(f"history = {katz.START}").first()
+    assert total.room == 1
+
+
+def trained(i):
+    return not katz.held_out(i)
+
+
+@pytest.mark.parametrize("texts", [["a"], [""], ["the cat"], ["hello world hello"], [None] * 20, ["same words always"] * 40, ["x y"] * 12 + ["z"] * 0])
+def test_katz_small_tables(spark, texts):
+    """Single texts, no text, and vocabularies where nothing is discounted; held-out texts have unknown words."""
+    train, held = ([i for i in range(200) if trained(i) == want] for want in (True, False))
+    rows = [(i, t, "s") for i, t in zip(train, texts)] + [(held[0], "quite unknown words", "s"), (held[1], texts[0], "s")]
+    for hot in (10**9, 2):
+        check_katz(spark, rows, hot, 2)
+    check_katz(spark, rows[: len(texts)], 10**9, 1)
 
 
 def test_katz_empty(empty, spark):
@@ -331,12 +376,64 @@ def test_kneser_ney_paths_agree_and_add_up(spark):
     p = np.exp(table.reshape(kneser_ney.SIZE**2, kneser_ney.SIZE))
     assert np.allclose(p.sum(1), 1, atol=1e-4)
     sample = words(80, 77) + " zz?"
-    codes = kneser_ney._codes(sample, kneser_ney._lut(alphabet))
+    codes = kneser_ney._all_codes([sample], kneser_ney._lut(alphabet))[0]
     grams = spark.createDataFrame([(1, int(c) // kneser_ney.SIZE**2, int(c) // kneser_ney.SIZE % kneser_ney.SIZE, int(c) % kneser_ney.SIZE, 1) for c in codes], "doc int, a int, b int, c int, n int")
     r = kneser_ney.by_join(grams, model).first()
     assert r.chars == len(sample) and abs(r.nll + table[codes].sum()) < 1e-2
 
 
+def brute_kneser_ney(texts, alphabet):
+    """Interpolated modified Kneser-Ney by dictionaries, from its definition; returns p(a, b, c)."""
+    code = {c: i + 2 for i, c in enumerate(alphabet)}
+    c3 = collections.Counter()
+    for t in texts:
+        x = [0, 0, *[code.get(c, 1) for c in t]]
+        c3.update(zip(x, x[1:], x[2:]))
+    c2 = collections.Counter((b, c) for _, b, c in c3)
+    c1 = collections.Counter(c for _, c in c2)
+
+    def level(counts):
+        n = [sum(v == i for v in counts.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        d = [0.0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i - 0.1) if n[i] else i * 0.5 for i in (1, 2, 3)]
+        total, off = collections.Counter(), collections.Counter()
+        for g, v in counts.items():
+            h = g[:-1] if isinstance(g, tuple) else ()
+            total[h] += v
+            off[h] += d[min(v, 3)]
+        return lambda g, h, lower: (max(counts[g] - d[min(counts[g], 3)], 0) + off[h] * lower) / total[h] if total[h] else lower
+
+    p3, p2, p1 = level(c3), level(c2), level(c1)
+    return lambda a, b, c: p3((a, b, c), (a, b), p2((b, c), (b,), p1(c, (), 1 / kneser_ney.SIZE)))
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    texts = [words(60, i) + " é" * i for i in range(5)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    alphabet = kneser_ney.alphabet_of(df)
+    table = np.exp(kneser_ney.dense(kneser_ney.train(kneser_ney.trigrams(df, alphabet))).astype(float)).reshape((kneser_ney.SIZE,) * 3)
+    p = brute_kneser_ney(texts, alphabet)
+    n = len(alphabet) + 2
+    for a in range(n):
+        for b in range(n):
+            for c in range(n):
+                assert abs(table[a, b, c] / p(a, b, c) - 1) < 1e-5
+
+
+def test_quality_thresholds():
+    import pandas as pd
+
+    rnd = np.random.default_rng(0)
+    chars = rnd.integers(200, 4000, 600)
+    held = pd.DataFrame({"lang": ["a"] * 500 + ["b"] * 98 + ["c", None], "nll": chars * (2 + 0.1 * rnd.normal(size=600)), "chars": chars})
+    mean, most = kneser_ney.thresholds(held, 0.9, 0, 1.0)
+    a = held[held.lang == "a"]
+    want = float(np.quantile(a.nll / a.chars, 0.9))
+    assert abs(mean["a"] - a.nll.sum() / a.chars.sum()) < 1e-12 and abs(most["a"] - want) < 0.02
+    assert set(most) == {None, "a", "b", "c"} and all(0 < most[k] - mean[k] < 0.4 for k in most)
+    assert kneser_ney.weighted_quantile([3.0, 1.0, 2.0], [1, 1, 1], 1 / 3) == 1.0 and kneser_ney.weighted_quantile([3.0, 1.0, 2.0], [1, 1, 1], 1) == 3.0
+
+
 def test_quality(spark, odd, empty, labels):
     rows = [(i, words(200, i), "a") for i in range(80)] + [(100 + i, "".join(random.Random(i).choice("#@!%&") for _ in range(300)), "a") for i in range(10)] + ODD[:2]
     df = docs_of(spark, rows)
@@ -345,6 +442,10 @@ def test_quality(spark, odd, empty, labels):
     assert sum(got[i]._kn_kept for i in range(80)) >= 78 and not any(got[100 + i]._kn_kept for i in range(10))
     assert not got[1]._kn_kept and not got[2]._kn_kept and got[1]._kn_perplexity is None
     assert kneser_ney.keep(df, lab).columns == df.columns
+    clash = df.withColumns({"_kn_s": F.lit(1), "_kn_chars": F.lit("x"), "row": F.lit(2), "s.chars": F.lit(3)})
+    kept = kneser_ney.keep(clash, lab)
+    assert kept.columns == clash.columns and kept.first()._kn_chars == "x" and "_kn_kept" in kneser_ney.classify(clash, lab).columns
+    assert abs(got[5]._kn_perplexity - got[5]._kn_drawn) < 1
     assert kneser_ney.classify(empty, labels).count() == 0
     assert kneser_ney.classify(odd, labels).count() == len(ODD)
     assert kneser_ney.keep(odd, labels.limit(0)).count() == sum(bool(t) for _, t, _ in ODD)
@@ -431,11 +532,12 @@ def test_secret_scan(spark, odd, empty, labels):
 
 def test_line_dedup(spark):
     page = lambda i: f"<html><script>x()</script><p>Menu</p><p>own {i}</p><br>Menu<div>often {i % 2}</div></html>"
-    rows = [(i, f"http://Hot.example/{i}", page(i)) for i in range(20)] + [(30, "http://few.example/1", page(1)), (31, None, None), (31, "ftp://u@x.y:8/", ""), (32, "no url", "text only")]
+    rows = [(i, f"http://Hot.example/{i}", page(i)) for i in range(20)] + [(30, "http://few.example/1", page(1)), (31, None, None), (31, "ftp://u@x.y:8/", ""), (32, "no url", "text only"), (40, "http://pair.example/a", page(5)), (41, "http://pair.example/b", "<p>Menu</p><p>own 6</p><p>often 1</p>")]
+    rows += [(50, "http://long.example/a", "<br>".join(f"line {i}" for i in range(4000))), (51, "http://long.example/b", "<br>".join(f"line {i}" for i in range(5000)))]
     df = spark.createDataFrame([(*r, "h", ["l"]) for r in rows], "page_id long, url string, html string, host string, lines array<string>")
     got = {(r.page_id, r.host): r for r in line_dedup.clean(df).collect()}
     assert got[(3, "hot.example")].lines == ["own 3"] and got[(3, "hot.example")].n_dropped == 3
-    assert got[(30, "few.example")].lines == ["Menu", "own 1", "Menu", "often 1"] and got[(31, "")].lines == [] and got[(32, "")].lines == ["text only"]
+    assert got[(30, "few.example")].lines == ["Menu", "own 1", "Menu", "often 1"] and got[(41, "pair.example")].lines == ["own 6"] and got[(50, "long.example")].n_dropped == 4000 and got[(31, "")].lines == [] and got[(32, "")].lines == ["text only"]
     assert (31, "x.y") in got
     assert line_dedup.clean(df.limit(0)).count() == 0
 
@@ -460,6 +562,21 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_of_odd_rows(spark, odd, empty, labels, tmp_path):
+    """Null and empty texts, null ids, repeated rows, clashing columns, very long texts; and no rows at all."""
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, empty):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            if name != "pack":
+                assert docs.columns == columns
+                docs = queries.kneser_ney.materialise(docs, name)
+        assert (docs.count() > 0) == (columns == odd.columns and docs.count() > 0)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0

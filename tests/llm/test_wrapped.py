@@ -49,15 +49,3 @@ def test_license_windows_equal_brute_force(spark):
                     best = max(best, len(t & set(block)) / len(t))
         base = set(filter(None, r.base_labels.split(",")))
         assert r.labels == ",".join(sorted(want | base)) and r.score == max(best, 1.0 if base else 0.0), texts[r.doc_id]
-
-
-def greedy(rows, n, most=True):
-    """rows: (key, text), padded with gaps to one width."""
-    rows = sorted((k, s or "") for k, s in rows)
-    width = max(len(s) for _, s in rows)
-    rows = [(k, s.ljust(width, "-")) for k, s in rows]
-    chosen = [0]
-    while len(chosen) < min(n, len(rows)):
-        far = {i: sum(x != y for j in chosen for x, y in zip(rows[i][1], rows[j][1])) for i in range(len(rows)) if i not in chosen}
-        chosen.append(min(far, key=lambda i: (-far[i] if most else far[i], i)))
-    return [rows[i][0] for i in chosen]
