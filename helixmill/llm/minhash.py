@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm._shared import BROADCAST_ROWS, materialise, slices, small, trim
+from helixmill.llm._shared import BROADCAST_ROWS, materialise, release, slices, small, trim
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS, BITS = 128, 32, 2
@@ -189,14 +189,17 @@ def _side(table: DataFrame, name: str) -> DataFrame:
     return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *SIGNATURE)])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) -> the pairs whose full sets are similar enough, as a table. docs: (id, text)."""
-    close = pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").filter(_possible("a_", "b_", percent)).select("a", "b")
-    close = materialise(close, "near-close")
+def confirmed(pairs: DataFrame, classes: DataFrame | None, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) -> the pairs whose full sets are similar enough, as a table. docs: (id, text); no classes: pairs are screened already."""
+    if classes is not None:
+        pairs = pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").filter(_possible("a_", "b_", percent)).select("a", "b")
+    close = materialise(pairs, "near-close")
     needed = materialise(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-needed")
     sets = materialise(docs.join(small(needed), "id", "left_semi").mapInArrow(_sets, "id long, set binary"), "near-sets")
     rows = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return materialise(rows.mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+    links = materialise(rows.mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+    release(close, needed, sets)
+    return links
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -211,7 +214,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.unionByName(both.filter("v < u").groupBy("u").agg(F.min("v").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
-        edges = materialise(star.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), "star")
+        before, edges = edges, materialise(star.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), "star")
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -260,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
     apart = materialise(placed.filter("id <> hub").join(mixed, "band").select("id", "component").distinct().join(classes.select("id", "key", "n", *SIGNATURE), "id"), "near-apart")
-    more = confirmed(apart_pairs(apart, rows, percent), classes, rows, percent)
+    more = confirmed(apart_pairs(apart, rows, percent), None, rows, percent)  # these were screened where they met
     if not more.isEmpty():
         links = materialise(links.unionByName(more), "near-links")
         found = components(links)
