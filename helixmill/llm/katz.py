@@ -45,9 +45,9 @@ from helixmill.llm._shared import materialise, release, repeatable, slices, trim
 
 #: Counts up to this one are discounted.
 K = 5
-CHARS_PER_SHARD, MIN_SHARDS = 24_000_000, 8
+CHARS_PER_SHARD, MIN_SHARDS = 18_000_000, 8
 #: Documents' tokens that a task gathers at a time, their number, and bytes of text read at a time.
-CHUNK_TOKENS, CHUNK_DOCS, SLICE_BYTES = 3_500_000, 1 << 20, 4 << 20
+CHUNK_TOKENS, CHUNK_DOCS, SLICE_BYTES = 3_000_000, 1 << 20, 4 << 20
 #: A history is hot, and so counted by word, with HOT_COUNT tokens and 1 / (4 * shards) of all: at most 4 * shards are.
 HOT_COUNT = 20_000
 START, END = 1, 2
@@ -127,6 +127,21 @@ def _row(shard, kind, unit, *blobs):
     return (int(shard), kind, int(unit), *[b.tobytes() for b in blobs], *[None] * (len(BLOBS) - len(blobs)))
 
 
+def _squeezed(array):
+    """Small numbers, compressed better than a shuffle does."""
+    import numpy as np
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdCompressor(level=1).compress(array.tobytes()), dtype=np.uint8)
+
+
+def _unsqueezed(blob: bytes, kind):
+    import numpy as np
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
 def _batch(rows):
     import pyarrow as pa
 
@@ -205,7 +220,10 @@ def _join_unigrams(shards: int, hot_count: int):
         out.append(_row(shard, MODEL, shard, words[seen], total[seen]))
         out.append(_row(-1, HOT, shard, words[often], total[often]))
         out.append(_row(-1, HISTOGRAM, shard, np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3).astype(np.int64), np.array([total.sum(), seen.sum(), total[words == END].sum()], dtype=np.int64)))
-        return pa.Table.from_batches([_batch(out)])
+        del rows, w, n, words, code, pairs, at, to, known, order
+        out = pa.Table.from_batches([_batch(out)])
+        trim()
+        return out
 
     return run
 
@@ -275,7 +293,7 @@ def _ship_bigrams(shards: int, hot: list[int]):
                 p, d = by_pair[a:b], by_doc[ends[a] : ends[b]]
                 h = ph[p]
                 run_start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                yield _batch([_row(s, BIGRAMS, unit, h[run_start], np.diff(np.r_[run_start, len(p)]).astype(np.uint32), pw[p], docs_of[p], tag[d], count[d])])
+                yield _batch([_row(s, BIGRAMS, unit, h[run_start], _squeezed(np.diff(np.r_[run_start, len(p)]).astype(np.uint32)), pw[p], _squeezed(docs_of[p]), _squeezed(tag[d]), _squeezed(count[d]))])
         trim()
 
     return run
@@ -308,11 +326,12 @@ def _score_shard(total: int, distinct: int, d1: list[float], unknown: float, hot
             elif r["kind"] == DOCS:
                 out.append(_row(shard, DOCS, r["unit"], *[get(i, np.uint8) for i in range(4)]))
             else:
-                h.append(np.repeat(get(0, np.uint64), get(1, np.uint32)))
+                h.append(np.repeat(get(0, np.uint64), _unsqueezed(r["b1"], np.uint32)))
                 w.append(get(2, np.uint64))
-                n.append(get(3, np.uint32))
-                count.append(get(5, np.uint32))
-                tag = get(4, np.uint16 if len(r["b4"]) == 2 * len(count[-1]) else np.uint32)
+                n.append(_unsqueezed(r["b3"], np.uint32))
+                count.append(_unsqueezed(r["b5"], np.uint32))
+                tag = _unsqueezed(r["b4"], np.uint8)
+                tag = tag.view(np.uint16 if len(tag) == 2 * len(count[-1]) else np.uint32)
                 gid.append((np.int64(r["unit"]) << 20) + (tag >> 1))
                 held.append((tag & 1).astype(bool))
         del table
@@ -373,7 +392,10 @@ def _score_shard(total: int, distinct: int, d1: list[float], unknown: float, hot
             hots = np.flatnonzero(is_hot)
             out.append(_row(shard, HOT, 0, names[hots], np.stack([*[s[hots] for s in small], big[hots], ch[hots], mass[hots]], 1).astype(np.float64)))
             out.append(_row(shard, HISTOGRAM, 0, np.bincount(np.minimum(c, K + 2), minlength=K + 3).astype(np.int64)))
-        return pa.Table.from_batches([_batch(out)])
+            del hs, at, c, cw, p1, hist, hist_at, g, gid, count, seen, value, base, sums, met, miss, hi
+        out = pa.Table.from_batches([_batch(out)])
+        trim()
+        return out
 
     return run
 
