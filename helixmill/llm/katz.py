@@ -45,9 +45,9 @@ from helixmill.llm._shared import materialise, release, repeatable, slices, trim
 
 #: Counts up to this one are discounted.
 K = 5
-CHARS_PER_SHARD, MIN_SHARDS = 18_000_000, 8
+CHARS_PER_SHARD, MIN_SHARDS = 16_000_000, 8
 #: Documents' tokens that a task gathers at a time, their number, and bytes of text read at a time.
-CHUNK_TOKENS, CHUNK_DOCS, SLICE_BYTES = 3_000_000, 1 << 20, 4 << 20
+CHUNK_TOKENS, CHUNK_DOCS, SLICE_BYTES = 2_500_000, 1 << 20, 4 << 20
 #: A history is hot, and so counted by word, with HOT_COUNT tokens and 1 / (4 * shards) of all: at most 4 * shards are.
 HOT_COUNT = 20_000
 START, END = 1, 2
