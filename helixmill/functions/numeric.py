@@ -150,13 +150,39 @@ def expected_bin(logits, centre0: float, step: float):
     return F.aggregate(F.transform(softmax(logits), lambda p, i: p * (centre0 + i * step)), F.lit(0.0), lambda a, x: a + x)
 
 
+def error_centre(i, bins, max_bin: float = 31.0):
+    """Centre of error bin i (from 0): bins - 1 edges from 0 to max_bin, the last bin beyond the last edge."""
+    return (i + 0.5) * (F.lit(max_bin) / (bins - 2))
+
+
+def predicted_error(logits, max_bin: float = 31.0):
+    """Aligned error expected from bin logits."""
+    return total(F.transform(softmax(logits), lambda p, i: p * error_centre(i, F.size(logits), max_bin)))
+
+
 def predicted_tm(logits, length, max_bin: float = 31.0):
     """TM-score expected from error-bin logits of one alignment."""
-    bins = F.size(logits)
-    step = F.lit(max_bin) / (bins - 1)
     d0 = tm_d0(F.greatest(length, F.lit(19)))
-    p = softmax(logits)
-    return F.aggregate(F.transform(p, lambda q, i: q / (1 + F.pow((i + 0.5) * step / d0, 2))), F.lit(0.0), lambda a, x: a + x)
+    return total(F.transform(softmax(logits), lambda p, i: p / (1 + F.pow(error_centre(i, F.size(logits), max_bin) / d0, 2))))
+
+
+def sequence_log_likelihood(logits, tokens, first: int, last: int, terminals=(), mean: bool = True):
+    """Log-likelihood of tokens 1.. of a sequence, each from the logits one place before, among classes first .. last.
+
+    A terminal token at the end is not scored; one elsewhere after the start is an error.
+    """
+    ends = F.element_at(tokens, -1).isin(*terminals) if terminals else F.lit(False)
+    n = F.size(tokens) - 1 - F.when(ends, 1).otherwise(0)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    score = lambda i: F.get(log_softmax(F.slice(F.get(logits, i - 1), first + 1, last - first + 1)), F.get(tokens, i) - first)
+    checked = lambda i: F.when(F.get(tokens, i).isin(*terminals), F.raise_error(F.lit("terminal token inside a sequence")).cast("double")).otherwise(score(i)) if terminals else score(i)
+    whole = total(F.transform(places, checked))
+    return whole / F.nullif(F.size(places), F.lit(0)) if mean else whole
+
+
+def both_ways(forward, backward):
+    """Mean of a sequence's score read from left to right and reversed."""
+    return (forward + backward) / 2
 
 
 def tm_d0(length):

@@ -137,11 +137,6 @@ def chain_number(name):
     return F.aggregate(F.transform(chars(name), lambda c: F.instr(F.lit(CHAIN_ALPHABET), c)), F.lit(0), lambda acc, d: acc * 62 + d) - 1
 
 
-def lossy_chain_code(name):
-    """Sum of character code + place * length; kept for readers of old files. Different names can meet."""
-    return F.aggregate(F.transform(chars(name), lambda c, i: F.ascii(c) + i * F.length(name)), F.lit(0), lambda a, b: a + b)
-
-
 def stem(file_name):
     """File name without .gz and structure suffixes, and nothing more."""
     return F.regexp_replace(file_name, r"(\.(cif|mmcif|pdb))?(\.gz)?$", "")
@@ -165,6 +160,19 @@ def mutation(code):
     return F.struct(part(1).alias("wild"), F.nullif(part(2), F.lit("")).cast("int").alias("place"), part(3).alias("mutant"))
 
 
+def mutation_score(seq, code, log_probs, alphabet: str, offset: int = 1):
+    """Log-probability of the mutant less that of the wild type; log_probs has a row per token, the first for the start.
+
+    A wild type that is not what the sequence has there is an error, as is a code of another form.
+    """
+    m = mutation(code)
+    place = m["place"] - offset
+    row = F.get(log_probs, place + 1)
+    at = lambda letter: F.get(row, F.instr(F.lit(alphabet), letter) - 1)
+    fits = F.coalesce((place >= 0) & (F.substring(seq, place + 1, F.lit(1)) == m["wild"]), F.lit(False))
+    return F.when(fits, at(m["mutant"]) - at(m["wild"])).otherwise(F.raise_error(F.concat(F.lit("wild type does not match: "), code)).cast("double"))
+
+
 def fill_template(length, start, segment, mask: str = "#"):
     """A run of mask characters with a segment laid over it at start (from 1)."""
     return F.overlay(F.repeat(F.lit(mask), length), segment, start)

@@ -88,6 +88,29 @@ def kl_divergence(p: DataFrame, q: DataFrame, item: str, by=(), floor: float = 1
     return both.groupBy(*by).agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("_q"))).alias("kl"))
 
 
+def merged(frames, keys) -> DataFrame:
+    """Frames with different metrics in one, by name: per key, each metric's values in ascending order; none where a frame lacks it."""
+    from functools import reduce
+
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.groupBy(*keys).agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in rows.columns if c not in keys])
+
+
+def quantised(vectors: DataFrame, key: str, vector: str, books) -> DataFrame:
+    """Residual quantisation: key, a code per book in order, and the squared length of what is left.
+
+    books: frames (code, centre) of a few codewords each, the next applied to what the one before left.
+    A codebook belongs to a model, not to the data, so it is broadcast. Ties go to the smaller code.
+    """
+    rows = vectors.select(key, F.col(vector).alias("_r"), F.array().cast("array<bigint>").alias("codes"))
+    for book in books:
+        tried = rows.crossJoin(F.broadcast(book)).withColumn("_left", F.zip_with("_r", "centre", lambda x, y: x - y))
+        tried = tried.withColumn("_d", F.round(F.aggregate("_left", F.lit(0.0), lambda a, x: a + x * x), 9))
+        best = tried.groupBy(key).agg(F.min_by(F.struct("_left", "codes", "code"), F.struct("_d", "code")).alias("_b"))
+        rows = best.select(key, F.col("_b._left").alias("_r"), F.concat("_b.codes", F.array(F.col("_b.code").cast("long"))).alias("codes"))
+    return rows.select(key, "codes", F.aggregate("_r", F.lit(0.0), lambda a, x: a + x * x).alias("left"))
+
+
 def masked_mean(df: DataFrame, value: str, mask, by=()) -> DataFrame:
     m = F.when(mask, 1.0).otherwise(0.0)
     return df.groupBy(*by).agg((F.sum(F.col(value) * m) / F.nullif(F.sum(m), F.lit(0.0))).alias("masked_mean"))

@@ -139,7 +139,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 
 def virtual_beta(n, ca, c):
-    """Beta carbon from backbone points given as arrays [x, y, z]."""
+    """Beta carbon from backbone points given as arrays [x, y, z]. The three constants are fixed values."""
     v = lambda a, b: F.array(*[F.get(a, F.lit(i)) - F.get(b, F.lit(i)) for i in range(3)])
     b, d = v(ca, n), v(c, ca)
     cross = F.array(*[F.get(b, F.lit((i + 1) % 3)) * F.get(d, F.lit((i + 2) % 3)) - F.get(b, F.lit((i + 2) % 3)) * F.get(d, F.lit((i + 1) % 3)) for i in range(3)])
@@ -171,6 +171,54 @@ def dihedral(a, b, c, d):
     return F.atan2(F.sqrt(_dot(middle, middle)) * _dot(first, next_plane), _dot(plane, next_plane))
 
 
+def unit(v, eps: float = 1e-8):
+    """A vector over its length; what is not finite becomes 0."""
+    size = F.sqrt(_dot(v, v) + eps)
+    return [F.when(F.isnan(x / size) | (x / size).isNull(), 0.0).otherwise(x / size) for x in v]
+
+
+def frame(n, ca, c):
+    """Rows of the local frame of a residue: along ca-c, the part of ca-n at right angles to it, and their cross product."""
+    first, toward = unit(_sub(c, ca)), _sub(n, ca)
+    along = _dot(first, toward)
+    second = unit([t - f * along for t, f in zip(toward, first)])
+    return [first, second, _cross(first, second)]
+
+
+def extend(a, b, c, length: float, angle_bc: float, torsion: float):
+    """A fourth atom at a given length from c, angle at c and torsion about b-c."""
+    import math
+
+    back = unit(_sub(b, c), 0.0)
+    normal = unit(_cross(_sub(b, a), back), 0.0)
+    across = _cross(normal, back)
+    x, y, z = length * math.cos(angle_bc), length * math.sin(angle_bc) * math.cos(torsion), -length * math.sin(angle_bc) * math.sin(torsion)
+    return [p + x * u + y * v + z * w for p, u, v, w in zip(c, back, across, normal)]
+
+
+def coordinates_6d(residues: DataFrame, most: float, keys=("entry",)) -> DataFrame:
+    """Ordered pairs of residues whose beta carbons lie within `most`: keys, i, j, d, omega, theta, phi.
+
+    residues: keys, idx, and n, ca, c as arrays [x, y, z]. Pairs are made inside an entry by an equi-join.
+    """
+    beta = residues.select(*keys, "idx", "n", "ca", virtual_beta(F.col("n"), F.col("ca"), F.col("c")).alias("cb"))
+    one = beta.select(*keys, F.col("idx").alias("i"), *[F.col(x).alias(f"i_{x}") for x in ("n", "ca", "cb")])
+    two = beta.select(*keys, F.col("idx").alias("j"), *[F.col(x).alias(f"j_{x}") for x in ("ca", "cb")])
+    at = lambda x: [F.get(F.col(x), F.lit(k)) for k in range(3)]
+    apart = _sub(at("i_cb"), at("j_cb"))
+    near = one.join(two, list(keys)).filter("i <> j").withColumn("d", F.sqrt(_dot(apart, apart))).filter(F.col("d") <= most)
+    omega = dihedral(at("i_ca"), at("i_cb"), at("j_cb"), at("j_ca"))
+    theta = dihedral(at("i_n"), at("i_ca"), at("i_cb"), at("j_cb"))
+    return near.select(*keys, "i", "j", "d", omega.alias("omega"), theta.alias("theta"), angle(at("i_ca"), at("i_cb"), at("j_cb")).alias("phi"))
+
+
+def chain_means(points: DataFrame, chain: str = "chain", keys=("entry",)) -> DataFrame:
+    """Mean over an entry's chains of TM-score and deviation as they lie, and deviation after each chain is superposed."""
+    by = [*keys, chain]
+    scores = fixed_scores(points, by).join(rmsd(points, by), by).join(aligned(points, by), by)
+    return scores.groupBy(*keys).agg(F.count("*").alias("chains"), F.avg("tm").alias("tm"), F.avg("rmsd").alias("rmsd"), F.avg("rmsd_aligned").alias("rmsd_aligned"))
+
+
 def contact_precision(scored: DataFrame, keys, score: str, hit: str, length: str, gap: str, bands=None) -> DataFrame:
     """Precision of the best L, L/2, L/5 scored pairs of each entry and separation band, and the mean over ten cut points."""
     bands = bands or {"local": (3, 6), "short": (6, 12), "medium": (12, 24), "long": (24, None)}

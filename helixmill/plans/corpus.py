@@ -89,7 +89,7 @@ def confidence_trim(spark, d):
 
 
 @query(
-    "FLT12 SRC22 SET01",
+    "FLT12 SET01",
     f"""WITH c AS ({CONF}) SELECT vec_id, {R('list_stddev_pop(conf)')} AS spread, {R('list_avg(conf)')} AS mean FROM c WHERE list_stddev_pop(conf) < 6.2 AND list_avg(conf) > 49.5""",
 )
 def confidence_spread(spark, d):

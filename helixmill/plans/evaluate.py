@@ -56,7 +56,7 @@ def novelty_max_sim(spark, d):
     return E.two_level(_eval(spark, d), ["len", "sample"], ["len"], F.max("tm"), "novelty").select("len", r6("novelty").alias("novelty"))
 
 
-@query("AGG08 JON05 JON01", f"WITH {EVAL}, h AS (SELECT len, split, count(*) AS n FROM ev WHERE rmsd < 0.5 AND tm > 0.95 GROUP BY ALL), k AS (SELECT DISTINCT len, split FROM ev) SELECT k.len, k.split, coalesce(h.n, 0) AS n FROM k LEFT JOIN h ON k.len = h.len AND k.split = h.split")
+@query("AGG08 JON05", f"WITH {EVAL}, h AS (SELECT len, split, count(*) AS n FROM ev WHERE rmsd < 0.5 AND tm > 0.95 GROUP BY ALL), k AS (SELECT DISTINCT len, split FROM ev) SELECT k.len, k.split, coalesce(h.n, 0) AS n FROM k LEFT JOIN h ON k.len = h.len AND k.split = h.split")
 def success_rate_zero_fill(spark, d):
     e = _eval(spark, d)
     hits = e.filter("rmsd < 0.5 AND tm > 0.95").groupBy("len", "split").agg(F.count("*").alias("n"))

@@ -67,7 +67,7 @@ def conversation_template(spark, d):
     return rows.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("text"), F.size("r").cast("long").alias("turns"))
 
 
-@query("SRC07", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs FROM pages")
+@query("", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs FROM pages")
 def html_parse(spark, d):
     n = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0)))
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), n("<a href=").alias("links"), n("<p[ >]").alias("paragraphs"))

@@ -219,7 +219,7 @@ def expected_plddt(spark, d):
     return table(spark, d, "embeddings").select("vec_id", r6(numeric.expected_bin(logits, 0.01, 0.02)).alias("plddt"))
 
 
-@query("FN41", f"WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) * 4)) AS e FROM embeddings) SELECT vec_id, {R('list_sum(list_transform(e, lambda x, i: x / list_sum(e) / (1 + pow((i - 0.5) * (31.0 / 63) / (1.24 * cbrt(CAST(100 - 15 AS DOUBLE)) - 1.8), 2))))')} AS ptm FROM t")
+@query("FN41", f"WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) * 4)) AS e FROM embeddings) SELECT vec_id, {R('list_sum(list_transform(e, lambda x, i: x / list_sum(e) / (1 + pow((i - 0.5) * (31.0 / 62) / (1.24 * cbrt(CAST(100 - 15 AS DOUBLE)) - 1.8), 2))))')} AS ptm FROM t")
 def predicted_tm(spark, d):
     logits = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 4)
     return table(spark, d, "embeddings").select("vec_id", r6(numeric.predicted_tm(logits, F.lit(100))).alias("ptm"))
