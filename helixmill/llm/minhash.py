@@ -240,6 +240,7 @@ def apart_pairs(apart: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     often = tokens.groupBy("h").agg(F.count("*").alias("c"))
     ordered = tokens.join(often, "h").groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("r"))  # one text's shingles
     rows = ordered.join(apart, ["id", "key"]).select("id", "component", "n", *SIGNATURE, F.posexplode(F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("i", "t"))
+    rows = rows.filter("t.c > 1")  # a shingle of one set has nobody to meet
     x, y = (rows.select(F.col("t.h").alias("h"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", "i", *SIGNATURE)]) for s in ("x", "y"))
     room = lambda s: (F.col(f"{s}_n") - F.col(f"{s}_i")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
     pairs = x.join(y, "h").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & room("x") & room("y") & _possible("x_", "y_", percent))
