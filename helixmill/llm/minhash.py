@@ -35,6 +35,8 @@ from helixmill.llm._shared import BROADCAST_ROWS, materialise, release, slices,
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS, BITS = 128, 32, 2
 ESTIMATE = 0.5
+#: Earlier shingles in a row of the prefix join; beyond them a pair may meet again, which changes no result.
+REMEMBERED = 32
 #: Text that a task takes at a time.
 SLICE_BYTES = 4 << 20
 SIGNATURE = ("s0", "s1", "s2", "s3")
@@ -234,16 +236,22 @@ def apart_pairs(apart: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     overlap of t = percent (n + m) / (100 + percent), so its first common shingle has
     place n - t at most in one set and m - t in the other. A much edited copy begins with
     its own edits and meets nobody, where pairs of a bucket would grow with its square.
+    A pair meets at its first common shingle only: each row carries up to REMEMBERED
+    shingles that stand before its own, and rows that share one of these met there.
     """
     sets = docs.join(small(materialise(apart.select("id").distinct(), "near-apart-ids")), "id", "left_semi").mapInArrow(_lists, "id long, key binary, hashes array<long>")
     tokens = materialise(sets.select("id", "key", F.explode("hashes").alias("h")), "near-apart-tokens")
     often = tokens.groupBy("h").agg(F.count("*").alias("c"))
     ordered = tokens.join(often, "h").groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("r"))  # one text's shingles
-    rows = ordered.join(apart, ["id", "key"]).select("id", "component", "n", *SIGNATURE, F.posexplode(F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("i", "t"))
-    rows = rows.filter("t.c > 1")  # a shingle of one set has nobody to meet
-    x, y = (rows.select(F.col("t.h").alias("h"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", "i", *SIGNATURE)]) for s in ("x", "y"))
+    head = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    placed = ordered.join(apart, ["id", "key"]).select("id", "component", "n", *SIGNATURE, head.alias("head"))
+    shared = F.filter("head", lambda t: t["c"] > 1)["h"]  # a shingle of one set has nobody to meet
+    rows = placed.select("*", F.slice(shared, 1, REMEMBERED).alias("first"), F.posexplode("head").alias("i", "t")).filter("t.c > 1")
+    at = F.array_position("first", F.col("t.h")).cast("int")
+    rows = rows.withColumn("before", F.when(at == 0, F.col("first")).otherwise(F.slice("first", F.lit(1), F.greatest(at - 1, F.lit(0)))))
+    x, y = (rows.select(F.col("t.h").alias("h"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", "i", "before", *SIGNATURE)]) for s in ("x", "y"))
     room = lambda s: (F.col(f"{s}_n") - F.col(f"{s}_i")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
-    pairs = x.join(y, "h").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & room("x") & room("y") & _possible("x_", "y_", percent))
+    pairs = x.join(y, "h").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & room("x") & room("y") & _possible("x_", "y_", percent) & ~F.arrays_overlap("x_before", "y_before"))
     return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -580,3 +581,24 @@ def test_pipeline_of_odd_rows(spark, odd, empty, labels, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_prefix_join_loses_no_link(spark):
+    """All linked pairs of much edited copies, short and longer than what a row remembers."""
+    rng = random.Random(5)
+    texts = {}
+    for size in (12, 60, 700):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for _ in range(14):
+            words = list(base)
+            for _ in range(rng.randrange(1 + size // 40)):
+                words[rng.randrange(size)] = f"e{rng.randrange(30)}"
+            texts[len(texts)] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    features = docs.mapInArrow(minhash._features, minhash.FEATURES)
+    classes = features.groupBy("key", "n", *minhash.SIGNATURE).agg(F.min("doc_id").alias("id"))
+    apart = classes.withColumn("component", F.col("id")).cache()
+    found = [(r.a, r.b) for r in minhash.apart_pairs(apart, docs, 75).collect()]
+    shingles = {r.id: {tuple(texts[r.id].split()[i : i + 5]) for i in range(max(1, len(texts[r.id].split()) - 4))} for r in apart.collect()}
+    links = {(a, b) for a, b in itertools.combinations(sorted(shingles), 2) if 100 * len(shingles[a] & shingles[b]) >= 75 * len(shingles[a] | shingles[b])}
+    assert len(links) > 20 and links <= set(found)
