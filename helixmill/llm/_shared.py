@@ -113,6 +113,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fs.getContentSummary(path).getLength() <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
 
 
+#: A key with this share of all rows or more is hot; so there are at most as many hot keys as its inverse.
+HOT_SHARE = 1000
+
+
+def join_skewed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row a key; `size` says how many rows have it), whatever share one key has.
+
+    At most HOT_SHARE keys can each hold total / HOT_SHARE rows or more: those are
+    broadcast, so their rows stay where they are. All others meet by a shuffle in
+    which no key has more than that share.
+    """
+    hot = F.col(size) * HOT_SHARE >= total
+    few = groups.filter(hot)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(groups.filter(~hot), key, how)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
 def uniform(key, seed: str):
     """A number in [0, 1) from 52 bits of the md5 of seed and key; equal in any engine."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))

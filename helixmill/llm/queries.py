@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, with production parameters, and their SQL."""
+"""The operators over their whole tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import ann, exact_dedup, katz, kneser_ney, license_scan, line_dedup, minhash, mixing, packing, secrets
+from helixmill.llm import ann, exact_dedup, filter_audit, katz, kneser_ney, license_scan, line_dedup, minhash, mixing, packing, prefix_trie, secrets, vector_dedup
 from helixmill.llm._shared import table
 
 
@@ -53,6 +53,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.array_join("lines", "\n"), 256).alias("text_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_katz_backoff": op2_katz_backoff,
@@ -64,6 +76,9 @@ QUERIES = {
     "op8_cost_packing": op8_cost_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_dedup": op12_vector_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE = {
@@ -117,4 +132,84 @@ WITH p AS (
 )
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256
 FROM kept""",
+    "op11_prefix_trie": r"""
+WITH RECURSIVE table_of AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crcs FROM range(256) r(b)
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda crc, b: xor(crc >> 8, crcs[1 + (xor(crc, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) % 6 AS h
+  FROM t, table_of
+), rows AS (
+  SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base WHERE t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.pos > c.h
+), keyed AS (
+  SELECT conv_id, row_number() OVER w AS d, string_agg(md5(role) || md5(text), '') OVER w AS k, CAST(length(text) AS BIGINT) AS points FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), lengths AS (
+  SELECT conv_id, max(d) AS length FROM keyed GROUP BY conv_id
+), nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(points) AS points, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = length), '') AS ends
+  FROM keyed JOIN lengths USING (conv_id) GROUP BY k, d
+), kids AS (
+  SELECT n.k, count(x.k) AS n_children FROM nodes n LEFT JOIN nodes x ON x.d = n.d + 1 AND left(x.k, 64 * n.d) = n.k GROUP BY n.k
+), above AS (
+  SELECT a.k, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n.n_convs - 1) * n.points) AS BIGINT) AS saved_tokens
+  FROM nodes n JOIN kids USING (k) JOIN keyed a ON a.conv_id = n.conv_id AND a.d <= n.d GROUP BY a.k
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN kids USING (k) JOIN above USING (k) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = left(n.k, 64 * (n.d - 1))""",
+    "op12_vector_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), fine AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.9
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS m FROM reach GROUP BY a
+)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(v.vec_id, m) AS component_id, v.vec_id = least(v.vec_id, m) AS kept
+FROM v LEFT JOIN counted c ON c.a = v.vec_id LEFT JOIN least l ON l.a = v.vec_id""",
+    "op13_filter_audit": r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), judged AS (
+  SELECT doc_id, part, concat(
+    CASE WHEN len(w) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails
+  FROM words
+), said AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM judged LEFT JOIN said USING (doc_id) GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT part, fails, n, good, bad, o, step, substr(o, step, 1) AS f, contains(fails, substr(o, step, 1)) AS here,
+    len(list_filter(string_split(substr(o, 1, step - 1), ''), lambda x: x <> '' AND contains(fails, x))) > 0 AS earlier
+  FROM cells, orders, (SELECT unnest(range(1, 6)) AS step)
+), summed AS (
+  SELECT part, o, step, f, sum(CASE WHEN NOT here AND NOT earlier THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT earlier THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN here AND earlier THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN here AND NOT earlier THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT earlier THEN bad ELSE 0 END) AS toxic_lost
+  FROM steps GROUP BY part, o, step, f
+)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed""",
 }
