@@ -196,7 +196,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame | None, docs: DataFrame, perc
     if classes is not None:
         pairs = pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").filter(_possible("a_", "b_", percent)).select("a", "b")
     close = materialise(pairs, "near-close")
-    needed = materialise(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-needed")
+    needed = materialise(close.select(F.col("a").alias("id")).distinct().unionByName(close.select(F.col("b").alias("id")).distinct()).distinct(), "near-needed")
     sets = materialise(docs.join(small(needed), "id", "left_semi").mapInArrow(_sets, "id long, set binary"), "near-sets")
     rows = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     links = materialise(rows.mapInArrow(_confirm(percent), "a long, b long"), "near-links")
@@ -205,7 +205,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame | None, docs: DataFrame, perc
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, b) -> (id, component): the smallest id reachable, for ids that have links."""
+    """(a, b) -> (id, component): the smallest id reachable, for ids that have links.
+
+    Settles in about log(n) rounds; beyond `rounds` it raises rather than give a result that is not whole.
+    """
     edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
     state = None
     for _ in range(rounds):
