@@ -77,8 +77,8 @@ def _located(table: DataFrame):
     return path, path.getFileSystem(context._jsc.hadoopConfiguration())
 
 
-def slices(batches, column: int, most: int):
-    """Arrow batches cut so that a text column holds at most so many bytes, or one text."""
+def slices(batches, column: int, most: int, rows: int = 1 << 16):
+    """Arrow batches cut so that a text column holds at most so many bytes, or one text, in so many rows at most."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -87,7 +87,7 @@ def slices(batches, column: int, most: int):
         at = 0
         while at < batch.num_rows:
             done = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, done + most, "right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(size, done + most, "right"))))
             yield batch.slice(at, to - at)
             at = to
 

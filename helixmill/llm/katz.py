@@ -28,7 +28,8 @@ recursion over these tables, token by token.
 
 Words are told apart by 64-bit hashes.
 
-Edge cases: null or empty text is the end token alone; a null id is hashed as '';
+Edge cases: null or empty text is the end token alone, and any number of such rows may
+share a task; a text of any length is taken whole, if need be in a chunk of its own; a null id is hashed as '';
 rows that repeat an id are scored one by one; with no training document every token
 has the unknown word's probability 1, logarithm 0; an empty table gives an empty
 table; other columns are not read.
@@ -79,13 +80,17 @@ def word_hash(word: str) -> int:
     return 0 if word == "" else max(3, xxhash.xxh3_64_intdigest(word))
 
 
-def _chunks(batches):
-    """Tasks' documents in bounded chunks: ids, lengths, word hashes with each text's end."""
+def _chunks(batches, most_docs: int = CHUNK_DOCS, most_tokens: int = CHUNK_TOKENS):
+    """Tasks' documents in bounded chunks: ids, lengths, word hashes with each text's end.
+
+    A chunk ends before a slice that would give it more documents than it may have, or so
+    many words that its (history, word, document) numbers would not fit 63 bits.
+    """
     import numpy as np
     import pyarrow.compute as pc
 
     ids, lens, words, total = [], [], [], 0
-    for part in slices(batches, 1, SLICE_BYTES):
+    for part in slices(batches, 1, SLICE_BYTES, min(most_docs, 1 << 16)):
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column(1), "")))
         coded = lists.flatten().dictionary_encode()
         hashes = np.array([word_hash(w) for w in coded.dictionary.to_numpy(zero_copy_only=False)], dtype=np.uint64)
@@ -97,11 +102,14 @@ def _chunks(batches):
         inner = np.ones(len(out), dtype=bool)
         inner[np.cumsum(n + 1) - 1] = False
         out[inner] = h[real]
+        if ids and (len(ids) + part.num_rows > most_docs or (total + len(out) + 1) ** 2 * (len(ids) + part.num_rows) >= 1 << 63):
+            yield ids, np.concatenate(lens), np.concatenate(words)
+            ids, lens, words, total = [], [], [], 0
         ids += part.column(0).to_pylist()
         lens.append(n + 1)
         words.append(out)
         total += len(out)
-        if total >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
+        if total >= most_tokens or len(ids) >= most_docs:
             yield ids, np.concatenate(lens), np.concatenate(words)
             ids, lens, words, total = [], [], [], 0
     if ids:
@@ -244,6 +252,17 @@ def _hot_words(least: int):
     return run
 
 
+def _hot_profiles(batches):
+    """A row per hot history and shard: what the shard holds of its distribution."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for r in batch.select(["b0", "b1"]).to_pylist():
+            p = np.frombuffer(r["b1"], np.float64).reshape(-1, K + 3)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["b0"], np.int64)), *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(K + 3)]], names=["word", *[f"p{i}" for i in range(K + 3)]])
+
+
 def _ship_bigrams(shards: int, hot: list[int]):
     """Per shard: histories, their words, and the documents of each pair; and the chunk's documents."""
 
@@ -258,8 +277,7 @@ def _ship_bigrams(shards: int, hot: list[int]):
             vocabulary = np.unique(np.r_[words, np.array([START], np.uint64)])
             # One number per (history, word, document), sorted in place.
             size, many = len(vocabulary), len(ids)
-            if size * size * many >= 1 << 63:
-                raise ValueError("lower CHUNK_TOKENS: its documents' bigrams do not fit 63 bits")
+            assert many <= CHUNK_DOCS and size * size * many < 1 << 63  # _chunks sees to it
             key = np.searchsorted(vocabulary, words)
             before = np.empty_like(key)
             before[1:] = key[:-1]
@@ -580,16 +598,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_p
     pairs = rows.mapInArrow(_ship_bigrams(shards, list(hot)), SHIPPED).unionByName(dealt.filter(f"kind = {UNIGRAMS}")).repartition(shards, "shard")
     state = materialise(pairs.groupBy("shard").applyInArrow(_score_shard(total, distinct, d1, unknown, hot), SHIPPED), "katz-state")
     release(dealt)
-    n2, profiles = np.zeros(K + 3), {}
-    for r in state.filter(f"kind IN ({HISTOGRAM}, {HOT})").toLocalIterator():
-        if r.kind == HISTOGRAM:
-            n2 += np.frombuffer(r.b0, np.int64)
-        else:
-            for w, p in zip(np.frombuffer(r.b0, np.uint64).tolist(), np.frombuffer(r.b1, np.float64).reshape(-1, K + 3)):
-                profiles[w] = profiles[w] + p if w in profiles else p.copy()
+    n2 = np.zeros(K + 3)
+    for r in state.filter(f"kind = {HISTOGRAM}").toLocalIterator():  # a few numbers per shard
+        n2 += np.frombuffer(r.b0, np.int64)
+    columns = [f"p{i}" for i in range(K + 3)]
+    profiles = state.filter(f"kind = {HOT}").mapInArrow(_hot_profiles, "word long, " + ", ".join(f"{c} double" for c in columns))
     d2 = discounts(list(n2))
     weights = {}
-    for w, p in profiles.items():
+    for r in profiles.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]).collect():  # at most 4 * shards
+        w, p = r["word"] % 2**64, np.array(r[1:])
         p[K + 1] = hot[w]
         lost = 0.0 if p[:K].any() else math.log10(hot[w] / (hot[w] + 1))
         weights[w] = (float(backoff(p[None, :], d2)[0]), lost)

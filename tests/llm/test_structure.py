@@ -234,3 +234,46 @@ def test_first_failures():
     for mask, order in itertools.product(range(32), range(120)):
         fails = [f for f in filter_audit.ORDERS[order] if mask >> "ABCDE".index(f) & 1]
         assert first[mask, order] == (filter_audit.ORDERS[order].index(fails[0]) if fails else 5)
+
+
+# --- chunks of the language model
+
+
+def batches_of(texts, at_a_time=7):
+    import pyarrow as pa
+
+    for lo in range(0, len(texts), at_a_time):
+        part = texts[lo : lo + at_a_time]
+        yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(part))), pa.array(part, pa.string())], names=["doc_id", "text"])
+
+
+@pytest.mark.parametrize("texts", [[""] * 40, [None, "a b"] * 30, ["x"] * 25 + [" ".join(map(str, range(5000)))] + ["y z"] * 9, ["a b c"]])
+def test_chunks_hold_their_bounds(texts):
+    from helixmill.llm import katz
+
+    chunks = list(katz._chunks(batches_of(texts), most_docs=10, most_tokens=50))
+    assert [i for ids, _, _ in chunks for i in ids] == list(range(len(texts)))
+    assert all(len(ids) <= 10 and len(ids) == len(lens) and lens.sum() == len(words) for ids, lens, words in chunks)
+    assert [n for _, lens, _ in chunks for n in lens] == [len((t or "").split()) + 1 for t in texts]
+
+
+def test_chunks_fit_their_numbers():
+    """A huge text after many short ones gets a chunk of its own where one number would not hold both."""
+    from helixmill.llm import katz
+
+    texts = [""] * 1_000_000 + [" ".join(f"{i:x}" for i in range(3_200_000))] + ["a"]
+    for ids, lens, words in katz._chunks(batches_of(texts, 10_000)):
+        assert len(ids) <= katz.CHUNK_DOCS and (len(words) + 1) ** 2 * len(ids) < 1 << 63
+
+
+def test_katz_beyond_a_chunk_of_documents(spark):
+    """One task with more rows than a chunk may hold: every row has its own sums."""
+    from pyspark.sql import functions as F
+
+    from helixmill.llm import katz
+
+    n = katz.CHUNK_DOCS + 12_000
+    docs = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 7, F.lit("a b")).otherwise(F.lit("")).alias("text"))
+    got = katz.score(docs).groupBy("n_tokens", "n_known").agg(F.count("*").alias("n"), F.countDistinct("score").alias("scores")).collect()
+    long = sum(i % 1000 == 7 for i in range(n))
+    assert sorted(map(tuple, got)) == [(1, 1, n - long, 1), (3, 3, long, 1)]
