@@ -1,4 +1,4 @@
-"""Structure files to atoms: fixed-column text, minimal mmCIF, gzip, and tar members.
+"""Structure files to atoms and features: fixed-column text, mmCIF, gzip, and tar members.
 
 Files are read as binary rows and parsed inside Arrow batches; a file that cannot be
 parsed gives one row with its error instead of an exception.
@@ -7,90 +7,123 @@ parsed gives one row with its error instead of an exception.
 from __future__ import annotations
 
 import gzip
-import io
-import tarfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixmill.functions import mmcif
 from helixmill.functions.sequence import RESIDUE_NAMES, RESIDUES, stem
 from helixmill.session import ATOMS
+from helixmill.sources import archives
+from helixmill.sources.text import read_manifest
 
 #: Residue names that are read as another.
 MODIFIED = {"MSE": "MET"}
 WATER = ("HOH", "WAT", "DOD")
 NUCLEIC = ("A", "C", "G", "U", "DA", "DC", "DG", "DT", "DU", "N")
+ATOM37 = (
+    "N", "CA", "C", "CB", "O", "CG", "CG1", "CG2", "OG", "OG1", "SG", "CD", "CD1", "CD2", "ND1", "ND2", "OD1", "OD2", "SD", "CE", "CE1", "CE2", "CE3", "NE", "NE1", "NE2", "OE1", "OE2",
+    "CH2", "NH1", "NH2", "OH", "CZ", "CZ2", "CZ3", "NZ", "OXT",
+)
 GLOBS = {"afdb": "*-F1-model_v4.cif.gz", "swissprot": "AF-*-F1-model_v4.cif.gz", "rcsb": "*.cif", "casp": "*.pdb"}
 
 
 def parse_pdb(text: str):
-    """Atom rows of fixed-column records: (model, chain, res_idx, icode, resname, atom, altloc, x, y, z, bfactor, hetatm)."""
+    """Atom rows of fixed-column records: (model, chain, res_idx, icode, resname, atom, altloc, x, y, z, bfactor, hetatm, label chain)."""
     model = 1
     for line in text.splitlines():
         kind = line[:6].strip()
         if kind == "MODEL":
             model = int(line[10:14])
         elif kind in ("ATOM", "HETATM"):
-            name = line[17:20].strip()
-            yield (model, line[21].strip(), int(line[22:26]), line[26].strip(), MODIFIED.get(name, name), line[12:16].strip(), line[16].strip(), float(line[30:38]), float(line[38:46]), float(line[46:54]), float(line[60:66] or 0), kind == "HETATM" and name not in MODIFIED)
+            name, chain = line[17:20].strip(), line[21].strip()
+            yield (model, chain, int(line[22:26]), line[26].strip(), MODIFIED.get(name, name), line[12:16].strip(), line[16].strip(), float(line[30:38]), float(line[38:46]), float(line[46:54]), float(line[60:66] or 0), kind == "HETATM" and name not in MODIFIED, chain)
 
 
 def parse_cif(text: str):
-    """Atom rows of the atom_site loop of an mmCIF text."""
-    columns, inside = [], False
-    for line in text.splitlines():
-        if line.startswith("_atom_site."):
-            columns.append(line.strip().split(".", 1)[1])
-            inside = True
-        elif inside:
-            if not line.strip() or line[0] in "#_" or line.startswith("loop_"):
-                break
-            v = dict(zip(columns, _fields(line)))
-            clean = lambda k, default="", v=v: default if v.get(k, "?") in (".", "?") else v[k]
-            name = clean("auth_comp_id", clean("label_comp_id"))
-            yield (int(clean("pdbx_PDB_model_num", "1")), clean("auth_asym_id", clean("label_asym_id")), int(clean("auth_seq_id", clean("label_seq_id", "0"))), clean("pdbx_PDB_ins_code"), MODIFIED.get(name, name), clean("auth_atom_id", clean("label_atom_id")), clean("label_alt_id"), float(v["Cartn_x"]), float(v["Cartn_y"]), float(v["Cartn_z"]), float(clean("B_iso_or_equiv", "0")), v.get("group_PDB") == "HETATM" and name not in MODIFIED)
-
-
-def _fields(line: str) -> list[str]:
-    out, i = [], 0
-    while i < len(line):
-        if line[i].isspace():
-            i += 1
-        elif line[i] in "'\"":
-            j = line.find(line[i] + " ", i + 1)
-            j = len(line.rstrip()) - 1 if j < 0 else j
-            out.append(line[i + 1 : j])
-            i = j + 1
-        else:
-            j = i
-            while j < len(line) and not line[j].isspace():
-                j += 1
-            out.append(line[i:j])
-            i = j
-    return out
+    """Atom rows of the atom_site category of an mmCIF text."""
+    return atom_site(mmcif.categories(text))
+
+
+def atom_site(cats: dict):
+    site = cats.get("_atom_site", {})
+    n = len(site.get("Cartn_x", ()))
+
+    def column(*names: str, default: str = ""):
+        """Of each row, the first of the items that is known."""
+        at = [site[x] for x in names if x in site]
+        return [next((c[i] for c in at if c[i] not in (".", "?")), default) for i in range(n)]
+
+    names = column("auth_comp_id", "label_comp_id")
+    rows = zip(
+        column("pdbx_PDB_model_num", default="1"), column("auth_asym_id", "label_asym_id"), column("auth_seq_id", "label_seq_id", default="0"), column("pdbx_PDB_ins_code"), names,
+        column("auth_atom_id", "label_atom_id"), column("label_alt_id"), *[column(f"Cartn_{x}", default="nan") for x in "xyz"], column("B_iso_or_equiv", default="0"), column("group_PDB"), column("label_asym_id", "auth_asym_id"),
+    )
+    for model, chain, number, icode, name, atom, alt, x, y, z, b, group, label in rows:
+        yield (int(model), chain, int(number), icode, MODIFIED.get(name, name), atom, alt, float(x), float(y), float(z), float(b), group == "HETATM" and name not in MODIFIED, label)
+
+
+def _text(name: str, content: bytes) -> str:
+    raw = gzip.decompress(content) if name.endswith(".gz") else content
+    return raw.decode("utf-8", "replace")
+
+
+#: Atoms after which a batch is given on.
+ATOM_ROWS = 1 << 16
 
 
 def _parse(batches):
     import pyarrow as pa
 
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 4, *[pa.float64()] * 4, pa.bool_(), pa.string(), pa.string()]
+    names = ["file", *[f.name for f in ATOMS.fields if f.name != "entry"], "label_chain", "error"]
+
+    def out(rows):
+        columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
+
     for batch in batches:
         rows = []
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             name = path.rsplit("/", 1)[-1]
             try:
-                raw = gzip.decompress(content) if name.endswith(".gz") else content
-                text = raw.decode("utf-8", "replace")
-                parse = parse_cif if "_atom_site." in text else parse_pdb
-                atoms = [(name, *a, None) for a in parse(text)]
-                rows += atoms or [(name, *[None] * 12, "no atoms")]
-            except (ValueError, KeyError, OSError, IndexError) as e:
-                rows.append((name, *[None] * 12, f"{type(e).__name__}: {e}"))
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 4, *[pa.float64()] * 4, pa.bool_(), pa.string()]
-        columns = list(zip(*rows)) if rows else [[]] * 14
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["file", *[f.name for f in ATOMS.fields if f.name != "entry"], "error"])
+                text = _text(name, content)
+                atoms = [(name, *a, None) for a in (parse_cif(text) if CIF_MARK in text else parse_pdb(text))]
+                rows += atoms or [(name, *[None] * 13, "no atoms")]
+            except (ValueError, KeyError, OSError, EOFError, IndexError, TypeError) as e:
+                rows.append((name, *[None] * 13, f"{type(e).__name__}: {e}"))
+            if len(rows) >= ATOM_ROWS:
+                yield out(rows)
+                rows = []
+        if rows:
+            yield out(rows)
 
 
-SCHEMA = "file string, model int, chain string, res_idx int, icode string, resname string, atom string, altloc string, x double, y double, z double, bfactor double, hetatm boolean, error string"
+CIF_MARK = "_atom_site."
+SCHEMA = "file string, model int, chain string, res_idx int, icode string, resname string, atom string, altloc string, x double, y double, z double, bfactor double, hetatm boolean, label_chain string, error string"
+HEADER = "file string, resolution double, method string, oligomeric_count string, oligomeric_details string, error string"
+
+
+def _headers(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            name = path.rsplit("/", 1)[-1]
+            try:
+                text = _text(name, content)
+                rows.append((name, *(mmcif.header(mmcif.categories(text)) if CIF_MARK in text else (None,) * 4), None))
+            except (ValueError, KeyError, OSError, EOFError, TypeError) as e:
+                rows.append((name, *[None] * 4, f"{type(e).__name__}: {e}"))
+        kinds = [pa.string(), pa.float64(), *[pa.string()] * 4]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in HEADER.split(", ")])
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """(path, content) -> (entry, resolution, method, oligomeric_count, oligomeric_details, error). Resolution is null for PDB text, 0 where an mmCIF has none."""
+    return files.mapInArrow(_headers, HEADER).select(stem(F.col("file")).alias("entry"), "resolution", "method", "oligomeric_count", "oligomeric_details", "error")
 
 
 def read_files(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
@@ -100,28 +133,41 @@ def read_files(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
 
 
 def read_tars(spark: SparkSession, path, suffix: str = "-F1-model_v4.cif.gz") -> DataFrame:
-    """(path, content) of members of tar files; one that is broken gives what could be read."""
+    """(path, content) of members of tar files; what cannot be read is logged by `tar_rejects`."""
+    return _tars(spark, path, suffix).filter("error IS NULL").select(F.col("member").alias("path"), "content")
+
+
+def tar_rejects(spark: SparkSession, path, suffix: str = "-F1-model_v4.cif.gz") -> DataFrame:
+    """(archive, member, offset, error) of what `read_tars` leaves out."""
+    return _tars(spark, path, suffix).filter("error IS NOT NULL").select("archive", "member", "offset", "error")
 
-    def members(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        for m in tar:
-                            if m.isfile() and m.name.endswith(suffix):
-                                yield pa.RecordBatch.from_arrays([pa.array([m.name]), pa.array([tar.extractfile(m).read()], pa.binary())], names=["path", "content"])
-                except (tarfile.TarError, EOFError):
-                    continue
+def _tars(spark: SparkSession, path, suffix: str) -> DataFrame:
+    mounted = "://" not in path or path.startswith("file://")
+    return archives.scan(spark, path, suffix) if mounted else archives.members(spark, path, suffix)
 
-    return read_files(spark, path, "*.tar").select("content").mapInArrow(members, "path string, content binary")
+
+def listed(spark: SparkSession, folder: str, manifest: str, glob: str | None = None) -> DataFrame:
+    """(path, content) of the files that a list in the folder names, a path a line; without such a list, of the folder's files.
+
+    Paths that are not absolute lie below the folder.
+    """
+    root = folder.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{manifest}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if glob is None:
+            raise ValueError(f"{root} has no {manifest}")
+        return read_files(spark, folder, glob)
+    names = [r.path for r in read_manifest(spark, f"{root}/{manifest}").distinct().collect()]  # the list is a driver's: a load takes paths
+    if not names:
+        return read_files(spark, folder, glob or "*").limit(0)
+    return read_files(spark, [n if n.startswith("/") or "://" in n else f"{root}/{n}" for n in names])
 
 
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, content) -> atoms in canonical form, and (entry, error) of files that gave none."""
     rows = files.mapInArrow(_parse, SCHEMA).withColumn("entry", stem(F.col("file")))
-    return rows.filter("error IS NULL").select(*[f.name for f in ATOMS.fields]), rows.filter("error IS NOT NULL").select("entry", "error")
+    return rows.filter("error IS NULL").select(*[f.name for f in ATOMS.fields], "label_chain"), rows.filter("error IS NOT NULL").select("entry", "error")
 
 
 def polymer(atoms: DataFrame, standard_only: bool = False, keep_ligands: bool = False) -> DataFrame:
@@ -134,11 +180,21 @@ def polymer(atoms: DataFrame, standard_only: bool = False, keep_ligands: bool =
     return out.filter(F.col("resname").isin(*RESIDUE_NAMES)) if standard_only else out
 
 
-def select_chains(atoms: DataFrame, entry_spec: str = "entry") -> DataFrame:
-    """Keeps the chains that an entry names after @ (comma list); all of them if it names none. Missing ones are an error."""
-    spec = F.split(F.col(entry_spec), "@")
-    wanted = F.split(F.get(spec, F.lit(1)), ",")
-    return atoms.filter(F.get(spec, F.lit(1)).isNull() | F.array_contains(wanted, F.col("chain")))
+def select_chains(atoms: DataFrame, specs: DataFrame, spec: str = "spec") -> tuple[DataFrame, DataFrame]:
+    """Atoms of the chains that specs name, and the (spec, missing) that have none of them.
+
+    entry@A@B names author chains, entry%A%B label chains, entry alone all chains. The
+    atoms come with their spec, so an entry may be asked for several times.
+    """
+    whole = F.col(spec)
+    mark = F.when(F.instr(whole, "%") > 0, "%").otherwise("@")
+    parts = F.when(mark == "%", F.split(whole, "%")).otherwise(F.split(whole, "@"))
+    asked = specs.select(whole.alias("spec"), (mark == "%").alias("_label"), F.get(parts, F.lit(0)).alias("entry"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("_chains")).distinct()
+    there = F.when(F.col("_label"), F.col("label_chain")).otherwise(F.col("chain"))
+    found = atoms.join(asked, "entry").filter((F.size("_chains") == 0) | F.array_contains("_chains", there))
+    has = found.groupBy("spec").agg(F.collect_set(there).alias("_there"))
+    lacking = asked.join(has, "spec", "left").select("spec", F.when(F.col("_there").isNull() & (F.size("_chains") == 0), F.array(F.lit("*"))).otherwise(F.array_except("_chains", F.coalesce("_there", F.array().cast("array<string>")))).alias("missing"))
+    return found.drop("_label", "_chains"), lacking.filter(F.size("missing") > 0)
 
 
 def residues(atoms: DataFrame) -> DataFrame:
@@ -157,17 +213,66 @@ def sequences(residue_rows: DataFrame) -> DataFrame:
     return rows.select("entry", "chain", F.array_join(F.transform("r", lambda x: x["letter"]), "").alias("seq"), F.size("r").alias("length"), F.when(F.col("entry").startswith("AF"), F.col("plddt")).otherwise(F.lit(0.0)).alias("plddt"))
 
 
-def metadata(seqs: DataFrame, max_len: int = 1024) -> DataFrame:
-    """One row per entry with its chains' make-up, and a reject reason where it has one."""
-    rows = seqs.groupBy("entry").agg(F.count("*").alias("num_chains"), F.countDistinct("seq").alias("kinds"), F.sum("length").alias("modeled_seq_len"))
-    reason = F.when(F.col("modeled_seq_len") == 0, "no_residues").when(F.col("modeled_seq_len") > max_len, "too_long")
-    return rows.select("entry", "num_chains", "modeled_seq_len", F.when(F.col("kinds") > 1, "heteromer").otherwise("homomer").alias("quaternary_category"), reason.alias("reject"))
+#: Why an entry is rejected, in the order in which it is asked.
+REJECTS = ("parse_error", "resolution_too_low", "no_resolution", "no_residues", "too_long")
+
+
+def metadata(seqs: DataFrame, max_len: int = 1024, heads: DataFrame | None = None, max_resolution: float | None = None) -> DataFrame:
+    """One row per entry with its chains' make-up, and a reject reason where it has one.
+
+    heads: rows of `headers`, for entries without chains, too; with max_resolution, the
+    resolution of an mmCIF must be below it and known. PDB text has none and is not asked.
+    """
+    modeled = F.length(F.regexp_replace(F.regexp_replace("seq", "^X+", ""), "X+$", ""))
+    rows = seqs.groupBy("entry").agg(F.count("*").alias("num_chains"), F.countDistinct("seq").alias("kinds"), F.sum("length").alias("seq_len"), F.sum(modeled).alias("modeled_seq_len"))
+    if heads is not None:
+        rows = heads.join(rows, "entry", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    reason = F.when(zero("modeled_seq_len") == 0, REJECTS[3]).when(F.col("seq_len") > max_len, REJECTS[4])
+    if heads is not None and max_resolution is not None:
+        reason = F.when(F.col("resolution") >= max_resolution, REJECTS[1]).when(F.col("resolution") == 0, REJECTS[2]).otherwise(reason)
+    if heads is not None:
+        reason = F.when(F.col("error").isNotNull(), REJECTS[0]).otherwise(reason)
+    more = ["resolution", "method", "oligomeric_count", "oligomeric_details"] if heads is not None else []
+    return rows.select("entry", zero("num_chains").alias("num_chains"), zero("seq_len").alias("seq_len"), zero("modeled_seq_len").alias("modeled_seq_len"), F.when(F.col("kinds") > 1, "heteromer").otherwise("homomer").alias("quaternary_category"), *more, reason.alias("reject"))
+
+
+def atom37(residue_rows: DataFrame) -> DataFrame:
+    """Rows of `residues` with 37 slots an atom name: coordinates (zeros where there is none), mask and residue index."""
+    slots = F.array(*[F.try_element_at("atoms", F.lit(n)) for n in ATOM37])
+    zeros = F.array(*[F.lit(0.0)] * 3)
+    rows = residue_rows.withColumn("_slots", slots)
+    letters = F.instr(F.lit(RESIDUES), F.col("letter"))
+    return rows.select(
+        *residue_rows.columns, F.transform("_slots", lambda s: F.coalesce(s, zeros)).alias("positions"), F.transform("_slots", lambda s: F.when(s.isNull(), 0.0).otherwise(1.0)).alias("mask"),
+        F.when(letters == 0, 20).otherwise(letters - 1).alias("aatype"),
+    )
+
+
+def chain_features(rows: DataFrame, chains: str | list[str] | None = "A", scale: float = 1.0) -> DataFrame:
+    """One row per entry and chain of `atom37` rows: arrays by residue, centred on the CA atoms and scaled.
+
+    chains: one, several, or None for all. The centre is the sum of CA positions over their number + 1e-5.
+    """
+    if chains is not None:
+        rows = rows.filter(F.col("chain").isin(*([chains] if isinstance(chains, str) else chains)))
+    item = F.struct("ordinal", "res_idx", "aatype", "positions", "mask")
+    whole = rows.groupBy("entry", "chain").agg(F.sort_array(F.collect_list(item)).alias("r"))  # one chain's residues
+    ca = ATOM37.index("CA")
+    total = F.aggregate("r", F.array(*[F.lit(0.0)] * 4), lambda acc, r: F.zip_with(acc, F.concat(r["positions"][ca], F.array(r["mask"][ca])), lambda a, b: a + b))
+    whole = whole.withColumn("_t", total).withColumn("_c", F.transform(F.slice("_t", 1, 3), lambda x: x / (F.get("_t", F.lit(3)) + 1e-5)))
+    moved = F.transform("r", lambda r: F.zip_with(r["positions"], r["mask"], lambda p, m: F.zip_with(p, F.col("_c"), lambda x, c: (x - c) / scale * m)))
+    return whole.select(
+        "entry", "chain", F.transform("r", lambda r: r["aatype"]).alias("aatype"), F.transform("r", lambda r: r["res_idx"]).alias("residue_index"), moved.alias("atom_positions"),
+        F.transform("r", lambda r: r["mask"]).alias("atom_mask"), F.transform("r", lambda r: r["mask"][ca]).alias("bb_mask"),
+    ).withColumn("bb_positions", F.transform("atom_positions", lambda p: p[ca]))
 
 
 REGISTRY = {
     "afdb": lambda spark, path: read_tars(spark, path),
     "swissprot": lambda spark, path: read_files(spark, path, GLOBS["swissprot"]),
-    "rcsb": lambda spark, path: read_files(spark, path, GLOBS["rcsb"]),
+    "rcsb": lambda spark, path: listed(spark, path, "file_list.txt", GLOBS["rcsb"]),
+    "cameo": lambda spark, path: listed(spark, path, "fpath.txt"),
     "casp": lambda spark, path: read_files(spark, path, GLOBS["casp"]),
 }
 

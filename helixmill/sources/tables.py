@@ -18,13 +18,14 @@ def read_rows(spark: SparkSession, path, schema: str, stream: bool = False, file
     return parsed.filter(~broken).select("row.*").drop(CORRUPT), parsed.filter(broken).select("file", "line")
 
 
-def read_splits(spark: SparkSession, rows_path, splits_path, schema: str, name: str = "name", splits=("train", "validation", "test"), longest: int | None = None, length: str | None = None) -> DataFrame:
+def read_splits(spark: SparkSession, rows_path, splits_path, schema: str, name: str = "name", splits=("train", "validation", "test"), longest: int | None = None, length: str | None = None, multi_line: bool = True) -> DataFrame:
     """Rows of a JSON-lines file with the split that a second JSON file (split -> names) puts them in; rows of no split go.
 
+    multi_line: the second file is one object; else it has an object a line, whose lists add up.
     longest: rows whose `length` column is a longer sequence go too.
     """
     rows, _ = read_rows(spark, rows_path, schema)
-    lists = spark.read.schema(", ".join(f"`{s}` array<string>" for s in splits)).option("multiLine", "true").json(splits_path)
+    lists = spark.read.schema(", ".join(f"`{s}` array<string>" for s in splits)).option("multiLine", multi_line).json(splits_path)
     names = lists.select(F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("names")) for s in splits])).alias("s")).select("s.split", F.explode("s.names").alias(name)).distinct()
     rows = rows.filter(F.length(length) <= longest) if longest is not None and length else rows
     return rows.join(names, name)

@@ -12,21 +12,25 @@ def read_fasta(spark: SparkSession, path, unique: bool = True) -> DataFrame:
     Files are split at record starts, so a file of any size is read by many tasks. With
     `unique`, a header that occurs twice in a file is an error when rows are computed.
     """
-    blocks = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start")).alias("block"), "value")
+    blocks = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     blocks = blocks.withColumn("value", F.regexp_replace("value", r"\r", "")).filter(F.length(F.trim("value")) > 0)
-    numbered = blocks.withColumn("_id", F.monotonically_increasing_id())
-    w = Window.partitionBy("file").orderBy("_id")
-    lines = F.size(F.split("value", "\n"))
-    rows = numbered.withColumn("ordinal", F.row_number().over(w) - 1).withColumn("line", F.coalesce(F.sum(lines).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Places inside a block, and what earlier blocks of the file hold: no task orders a whole file.
+    rows = blocks.withColumn("_id", F.monotonically_increasing_id()).withColumn("_lines", F.size(F.split("value", "\n")))
+    held = rows.groupBy("file", "block").agg(F.count("*").alias("_n"), F.sum("_lines").alias("_l"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("file", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", "_l")])
+    inside = Window.partitionBy("file", "block").orderBy("_id")
+    rows = rows.withColumn("_i", F.row_number().over(inside) - 1).withColumn("_j", F.coalesce(F.sum("_lines").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(held, ["file", "block"]).withColumn("ordinal", (F.col("_n") + F.col("_i")).cast("int")).withColumn("line", F.col("_l") + F.col("_j"))
     body = F.regexp_replace("value", r"^>", "")
     header = F.trim(F.substring_index(body, "\n", 1))
     seq = F.regexp_replace(F.when(F.instr(body, "\n") > 0, F.expr("substring(regexp_replace(value, '^>', ''), instr(regexp_replace(value, '^>', ''), '\n') + 1)")).otherwise(F.lit("")), r"\s", "")
     out = rows.select("file", "ordinal", F.when(header == "", F.format_string("seqnum%09d", "line")).otherwise(header).alias("header"), seq.alias("seq"))
     if not unique:
         return out
-    times = F.count("*").over(Window.partitionBy("file", "header"))
-    checked = out.withColumn("_n", times)
-    return checked.withColumn("header", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate label: "), "header"))).otherwise(F.col("header"))).drop("_n")
+    twice = out.groupBy("file", "header").agg(F.count("*").alias("_times")).filter("_times > 1")
+    checked = out.join(twice, ["file", "header"], "left")
+    return checked.select("file", "ordinal", F.when(F.col("_times").isNotNull(), F.raise_error(F.concat(F.lit("duplicate label: "), "header"))).otherwise(F.col("header")).alias("header"), "seq")
 
 
 def read_msa(spark: SparkSession, path, rows: int | None = None) -> DataFrame:
