@@ -106,3 +106,78 @@ def packed_blocks(df: DataFrame, keys, order, length: str, block: int, bucket) -
         .withColumn("offset", (F.col("_start") % block).cast("long"))
         .drop("_start")
     )
+
+
+def buffered_batches(df: DataFrame, key: str, length: str, most: int, replicas: int = 1, buffer: int = 100, seed: int = 42, epoch: int = 0, shuffle: bool = True, drop_last: bool = False) -> DataFrame:
+    """Batches of at most `most` tokens, from each replica's rows in a seeded order, through a bounded heap.
+
+    A replica's rows pass a heap that holds `buffer` times `most` tokens; once it is over that,
+    its shortest row goes to the open batch, and so do all that are left at the end. A batch is
+    closed by a row that does not fit; a row over `most` alone has a batch to itself. drop_last:
+    the last batch of a replica goes. Batches are put in the order of a hash (shuffle), and every replica
+    gets as many steps as the longest one has, by repeating its first batches.
+
+    Adds replica, batch, place in the batch and step; a row has one result row per step that uses it. A task streams a replica's rows
+    and holds its heap and open batch only. Ties go to the smaller place in the seeded order. Lengths are not null.
+    """
+    names, kinds = [key, length], dict(df.dtypes)
+    order = hashing.digest(f"{seed}-order", F.col(key)) if shuffle else F.lit("")
+    drawn = df.select(*names).withColumn("_h", order)
+    dealt = global_rank(drawn, F.substring("_h", 1, 3), ["_h", key], "_place").withColumn("replica", ((F.col("_place") - 1) % replicas).cast("int"))
+
+    def run(batches):
+        import heapq
+
+        import pandas as pd
+
+        heap, held, batch, size, at, done, replica = [], 0, 0, 0, 0, [], None
+        last: list = []
+
+        def take():
+            nonlocal held, batch, size, at, last
+            n, place, k = heapq.heappop(heap)
+            held -= n
+            if at and size + n > most:
+                done.extend(last)
+                batch, size, at, last = batch + 1, 0, 0, []
+            last.append((k, n, replica, batch, at))
+            size, at = size + n, at + 1
+
+        def finish():
+            nonlocal heap, held, batch, size, at, last
+            while heap:
+                take()
+            if not drop_last:
+                done.extend(last)
+            heap, held, batch, size, at, last = [], 0, 0, 0, 0, []
+
+        def out():
+            made = pd.DataFrame(done, columns=[key, length, "replica", "batch", "place"])
+            done.clear()
+            return made
+
+        for part in batches:
+            for r in part.itertuples(index=False):
+                if r.replica != replica:
+                    finish()
+                    replica = r.replica
+                heapq.heappush(heap, (int(r.size), int(r.spot), r.row))
+                held += int(r.size)
+                if held > most * buffer:
+                    take()
+            if done:
+                yield out()
+        finish()
+        if done:
+            yield out()
+
+    rows = dealt.select(F.col(key).alias("row"), F.col(length).alias("size"), F.col("_place").alias("spot"), "replica")
+    made = rows.repartition(replicas, "replica").sortWithinPartitions("replica", "spot").mapInPandas(run, f"`{key}` {kinds[key]}, `{length}` {kinds[length]}, replica int, batch int, place int")
+    numbers = made.groupBy("replica").agg((F.max("batch") + 1).alias("_own"))
+    steps = numbers.select("replica", "_own", F.explode(F.sequence(F.lit(0), F.col("_own") - 1)).alias("batch"))
+    turn = hashing.digest(f"{seed}-{epoch}-batch", F.concat_ws("-", "replica", "batch")) if shuffle else F.lpad(F.col("batch").cast("string"), 12, "0")
+    steps = steps.withColumn("_h", turn)
+    steps = global_rank(steps, F.substring("_h", 1, 2) if shuffle else F.substring("_h", 1, 6), ["_h", "batch"], "step", ["replica"]).withColumn("step", F.col("step") - 1)
+    steps = steps.crossJoin(F.broadcast(numbers.agg(F.max("_own").alias("_most"))))  # one row
+    again = steps.filter(F.col("step") < F.col("_most") - F.col("_own")).withColumn("step", F.col("step") + F.col("_own"))
+    return made.join(steps.unionByName(again).select("replica", "batch", F.col("step").cast("int").alias("step")), ["replica", "batch"])

@@ -67,8 +67,45 @@ def codebook_usage(df: DataFrame, code: str, size: int, by=()) -> DataFrame:
     return p.groupBy(*by).agg(F.exp(-F.sum(q * F.log(q + 1e-10))).alias("perplexity"), (F.count("*") / size).alias("usage"))
 
 
-def distribution(df: DataFrame, item: str, by=()) -> DataFrame:
-    counts = df.groupBy(*by, item).agg(F.count("*").alias("n"))
+def ngram_counts(df: DataFrame, by: str, text: str, n: int = 1) -> DataFrame:
+    """(by, gram, n): how often each run of n code points stands in the texts of a group.
+
+    A batch's texts are read as numbers and counted together; only counts are shuffled.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            groups, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for group in dict.fromkeys(groups):
+                held = [t for g, t in zip(groups, texts) if g == group and t is not None and len(t) >= n]
+                if not held:
+                    continue
+                points = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                ends = np.cumsum([len(t) for t in held])
+                starts = np.ones(len(points), dtype=bool)
+                for k in range(1, n):  # a run does not begin in the last n - 1 places of a text
+                    starts[ends - k] = False
+                letters, code = np.unique(points, return_inverse=True)
+                at = np.flatnonzero(starts)
+                gram = code[at].astype(np.int64)
+                names = letters[None, :].T
+                for k in range(1, n):
+                    # Runs so far by number, so that numbers never grow beyond letters times runs.
+                    pair, gram = np.unique(gram * len(letters) + code[at + k], return_inverse=True)
+                    names = np.concatenate([names[pair // len(letters)], letters[pair % len(letters)][:, None]], axis=1)
+                count = np.bincount(gram, minlength=len(names))
+                strings = [row.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for row in names]
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(strings), batch.schema.field(0).type), pa.array(strings), pa.array(count, pa.int64())], names=[by, "gram", "n"])
+
+    return df.select(by, text).mapInArrow(run, f"`{by}` {dict(df.dtypes)[by]}, gram string, n long").groupBy(by, "gram").agg(F.sum("n").alias("n"))
+
+
+def distribution(df: DataFrame, item: str, by=(), weight: str | None = None) -> DataFrame:
+    """Shares of items in each group; weight: a column of counts, where rows are counted already."""
+    counts = df.groupBy(*by, item).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     joined = counts.join(total, list(by)) if by else counts.crossJoin(F.broadcast(total))  # one row
     return joined.withColumn("p", F.col("n") / F.col("total")).drop("total")

@@ -171,29 +171,32 @@ def dihedral(a, b, c, d):
     return F.atan2(F.sqrt(_dot(middle, middle)) * _dot(first, next_plane), _dot(plane, next_plane))
 
 
-def unit(v, eps: float = 1e-8):
-    """A vector over its length; what is not finite becomes 0."""
-    size = F.sqrt(_dot(v, v) + eps)
-    return [F.when(F.isnan(x / size) | (x / size).isNull(), 0.0).otherwise(x / size) for x in v]
+def direction(v, floor: float = 0.0):
+    """A vector over its length; `floor` is added to the squared length, so that a vector without one stays 0."""
+    size = F.sqrt(_dot(v, v) + floor)
+    return [x / size for x in v]
 
 
 def frame(n, ca, c):
-    """Rows of the local frame of a residue: along ca-c, the part of ca-n at right angles to it, and their cross product."""
-    first, toward = unit(_sub(c, ca)), _sub(n, ca)
-    along = _dot(first, toward)
-    second = unit([t - f * along for t, f in zip(toward, first)])
-    return [first, second, _cross(first, second)]
+    """Rows of the local frame of a residue: x along ca-c, z normal to the plane of n, ca and c, and y = z cross x."""
+    x = direction(_sub(c, ca), FRAME_FLOOR)
+    z = direction(_cross(x, _sub(n, ca)), FRAME_FLOOR)
+    return [x, _cross(z, x), z]
 
 
-def extend(a, b, c, length: float, angle_bc: float, torsion: float):
-    """A fourth atom at a given length from c, angle at c and torsion about b-c."""
+#: Fixed value: what a squared length gets added in a frame.
+FRAME_FLOOR = 1e-8
+
+
+def placed_atom(a, b, c, length: float, bond_angle: float, torsion: float):
+    """An atom bound to c: `length` away, at `bond_angle` to the bond c-b, turned about that bond by `torsion` from a's side."""
     import math
 
-    back = unit(_sub(b, c), 0.0)
-    normal = unit(_cross(_sub(b, a), back), 0.0)
-    across = _cross(normal, back)
-    x, y, z = length * math.cos(angle_bc), length * math.sin(angle_bc) * math.cos(torsion), -length * math.sin(angle_bc) * math.sin(torsion)
-    return [p + x * u + y * v + z * w for p, u, v, w in zip(c, back, across, normal)]
+    axis, toward = direction(_sub(b, c)), _sub(a, b)
+    along = _dot(toward, axis)
+    side = direction([t - along * x for t, x in zip(toward, axis)])
+    turned = [math.cos(torsion) * s + math.sin(torsion) * q for s, q in zip(side, _cross(side, axis))]
+    return [start + length * (math.cos(bond_angle) * x + math.sin(bond_angle) * t) for start, x, t in zip(c, axis, turned)]
 
 
 def coordinates_6d(residues: DataFrame, most: float, keys=("entry",)) -> DataFrame:

@@ -91,3 +91,9 @@ def fixed_chunks(spark, d):
 )
 def sequence_packing(spark, d):
     return B.packed_blocks(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 8192, F.expr("doc_id div 10000")).select("doc_id", "first_block", "last_block", "offset")
+
+
+@query("BAT03 BAT02")
+def buffered_batches(spark, d):
+    """Documents through bounded heaps, four replicas with equally many steps."""
+    return B.buffered_batches(_docs(spark, d), "doc_id", "len", 16384, 4, buffer=4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.operators import evaluate as E
+from helixmill.operators import graph, sketches
 from helixmill.plans.registry import R, query, r6, table
 
 EVAL = "ev AS (SELECT l_orderkey AS sample, l_linenumber AS idx, l_returnflag AS split, l_partkey % 10 AS len, l_quantity / 50 AS tm, l_discount * 20 AS rmsd, l_tax * 10 AS plddt FROM lineitem)"
@@ -80,8 +81,8 @@ LETTERS = "c AS (SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string
 
 
 def _letters(spark, d):
-    rows = table(spark, d, "documents").select("lang", F.explode(F.split(F.lower("text"), "")).alias("ch")).filter(F.col("ch").between("a", "z"))
-    return E.distribution(rows, "ch", ["lang"]), E.distribution(rows, "ch")
+    rows = E.ngram_counts(table(spark, d, "documents").select("lang", F.lower("text").alias("text")), "lang", "text").withColumnRenamed("gram", "ch").filter(F.col("ch").between("a", "z"))
+    return E.distribution(rows, "ch", ["lang"], "n"), E.distribution(rows, "ch", weight="n")
 
 
 @query("AGG11", f"WITH {LETTERS} SELECT lang, {R('sqrt(greatest(2 - 2 * sum(sqrt(p * q)), 0))')} AS hellinger FROM p JOIN q ON p.ch = q.ch GROUP BY lang")
@@ -92,13 +93,23 @@ def composition_hellinger(spark, d):
 
 @query("AGG12", f"WITH s AS (SELECT lang, string_split(lower(text), '') AS s FROM documents WHERE length(text) >= 2), g AS (SELECT lang, unnest(list_transform(list_zip(s[1:len(s) - 1], s[2:]), lambda x: x[1] || x[2])) AS gram FROM s), c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT lang, gram, n / sum(n) OVER (PARTITION BY lang) AS p FROM c), q AS (SELECT gram, p AS q FROM p WHERE lang = 'en') SELECT lang, {R('sum(p * ln(p / coalesce(q, 1e-5)))')} AS kl FROM p LEFT JOIN q ON p.gram = q.gram GROUP BY lang")
 def ngram_kl(spark, d):
-    n = F.size("s") - 1
-    grams = F.zip_with(F.slice("s", F.lit(1), n), F.slice("s", F.lit(2), n), lambda x, y: F.concat(x, y))
-    rows = table(spark, d, "documents").filter("length(text) >= 2").select("lang", F.split(F.lower("text"), "").alias("s")).select("lang", F.explode(grams).alias("gram"))
-    p = E.distribution(rows, "gram", ["lang"])
+    rows = E.ngram_counts(table(spark, d, "documents").select("lang", F.lower("text").alias("text")), "lang", "text", 2)
+    p = E.distribution(rows, "gram", ["lang"], "n")
     return E.kl_divergence(p, p.filter("lang = 'en'"), "gram", ["lang"]).select("lang", r6("kl").alias("kl"))
 
 
+GRAMS = " UNION ALL ".join(f"SELECT lang, {n} AS k, unnest(list_transform(range(1, length(text) - {n - 2}), lambda i: substr(text, i, {n}))) AS gram FROM t" for n in (1, 2, 3, 4))
+
+
+@query("AGG12", f"WITH t AS (SELECT lang, lower(text) AS text FROM documents), c AS (SELECT lang, k, gram, count(*) AS n FROM ({GRAMS}) GROUP BY ALL) SELECT lang, CAST(k AS INTEGER) AS k, count(*) AS grams, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS most FROM c GROUP BY lang, k")
+def ngram_orders(spark, d):
+    """Runs of one to four code points of whole texts."""
+    rows = table(spark, d, "documents").select("lang", F.lower("text").alias("text"))
+    each = [E.ngram_counts(rows, "lang", "text", k).withColumn("k", F.lit(k)) for k in (1, 2, 3, 4)]
+    counts = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    return counts.groupBy("lang", "k").agg(F.count("*").alias("grams"), F.sum("n").alias("total"), F.max("n").alias("most"))
+
+
 @query("AGG13", f"WITH {EVAL} SELECT CAST(floor(tm / (1.001 / 4)) AS INTEGER) AS bin, {R('avg(rmsd)')} AS loss, count(*) AS n FROM ev GROUP BY 1")
 def stratified_loss(spark, d):
     return E.stratified(_eval(spark, d), "tm", "rmsd").select("bin", r6("loss").alias("loss"), "n")
@@ -151,6 +162,32 @@ def cross_set_similarity(spark, d):
     return pairs.groupBy(F.col("q").alias("vec_id")).agg(r6(F.max(numeric.dot(F.col("f"), F.col("e")))).alias("best"))
 
 
+@query(
+    "MET20",
+    """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 0.5),
+    r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT v.vec_id, least(v.vec_id, min(r.b)) AS cluster FROM v LEFT JOIN r ON r.a = v.vec_id GROUP BY v.vec_id),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT c.vec_id, coalesce(n.n, 0) AS links, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM c LEFT JOIN n ON n.a = c.vec_id""",
+)
+def threshold_clusters(spark, d):
+    """Vectors within a distance of each other, as connected groups."""
+    return graph.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
+
+
+@query("AGG23", "SELECT event_type, count(DISTINCT user_id) AS users, true AS near, true AS same FROM events GROUP BY event_type")
+def users_by_sketch(spark, d):
+    """Distinct users by kind of event: day by day into stored sketches, against exact counts and one direct sketch."""
+    events = table(spark, d, "events").select("event_type", "user_id", F.to_date("ts").alias("day"))
+    stored = sketches.sketched(events, ["event_type", "day"], "user_id")
+    days = sketches.merged(stored, ["event_type"]).select("event_type", sketches.estimate("sketch").alias("days"))
+    direct = sketches.sketched(events, ["event_type"], "user_id").select("event_type", sketches.estimate("sketch").alias("direct"))
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    rows = exact.join(days, "event_type").join(direct, "event_type")
+    off = F.abs(F.col("days") - F.col("users"))
+    return rows.select("event_type", "users", (off <= F.greatest(F.lit(1.0), F.col("users") * 0.03)).alias("near"), (F.abs(F.col("days") - F.col("direct")) <= 1 + F.col("users") * 0.01).alias("same"))
+
+
 @query("ML01")
 def pca_components(spark, d):
     from pyspark.ml.feature import PCA

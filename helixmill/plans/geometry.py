@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixmill.operators import chains
 from helixmill.operators import geometry as G
 from helixmill.plans.registry import MODELS, POINTS, R, models, points, query, r6, table
 
@@ -131,6 +132,60 @@ def chain_matching(spark, d):
     return G.greedy_chain_match(a, b, ("label",))
 
 
+#: Complexes of four vectors, a chain each; the truth is the next chain of the complex, mixed with a tenth of its own points.
+COMPLEX = f"{POINTS}, pred AS (SELECT entry // 4 AS k, entry % 4 AS chain, idx, x, y, z FROM points), truth AS (SELECT a.k, a.chain, a.idx, 0.9 * b.x + 0.1 * a.x AS x, 0.9 * b.y + 0.1 * a.y AS y, 0.9 * b.z + 0.1 * a.z AS z FROM pred a JOIN pred b ON b.k = a.k AND b.chain = (a.chain + 1) % 4 AND b.idx = a.idx)"
+APART = "sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2))"
+
+
+def _complexes(spark, d):
+    one = points(spark, d).select(F.floor(F.col("entry") / 4).alias("k"), (F.col("entry") % 4).alias("chain"), "idx", *[F.col(c).alias(c) for c in "xyz"])
+    two = one.select("k", ((F.col("chain") + 3) % 4).alias("chain"), "idx", *[F.col(c).alias(f"n{c}") for c in "xyz"])
+    true = one.join(two, ["k", "chain", "idx"]).select("k", "chain", "idx", *[(0.9 * F.col(f"n{c}") + 0.1 * F.col(c)).alias(c) for c in "xyz"])
+    return one.withColumn("entity", F.lit(0)), true.withColumn("entity", F.lit(0))
+
+
+@query(
+    "MET17",
+    f"""WITH {COMPLEX}, t AS (SELECT p.k, p.chain AS a, q.chain AS b, p.idx AS r, q.idx AS s, {APART} AS d FROM truth p JOIN truth q ON p.k = q.k AND p.chain <= q.chain AND (p.chain < q.chain OR p.idx < q.idx)),
+    m AS (SELECT p.k, p.chain AS i, q.chain AS j, p.idx AS r, q.idx AS s, {APART} AS d FROM pred p JOIN pred q ON p.k = q.k AND (p.chain <> q.chain OR p.idx < q.idx)),
+    c AS (SELECT t.k, a, b, i, j, sum(CASE WHEN abs(t.d - m.d) < 0.5 THEN 1 ELSE 0 END + CASE WHEN abs(t.d - m.d) < 1 THEN 1 ELSE 0 END + CASE WHEN abs(t.d - m.d) < 2 THEN 1 ELSE 0 END + CASE WHEN abs(t.d - m.d) < 4 THEN 1 ELSE 0 END) / 4 AS kept, count(*) AS n
+      FROM t JOIN m ON t.k = m.k AND t.r = m.r AND t.s = m.s AND (a = b) = (i = j) WHERE t.d < 15 GROUP BY ALL),
+    four AS (SELECT k FROM pred GROUP BY k HAVING count(DISTINCT chain) = 4), o AS (SELECT k, [a.c, b.c, e.c, f.c] AS o FROM (VALUES (0), (1), (2), (3)) a(c), (VALUES (0), (1), (2), (3)) b(c), (VALUES (0), (1), (2), (3)) e(c), (VALUES (0), (1), (2), (3)) f(c), four WHERE len(list_distinct([a.c, b.c, e.c, f.c])) = 4),
+    w AS (SELECT o.k, o, sum(kept) AS kept, sum(n) AS n FROM o JOIN c ON c.k = o.k AND i = o[a + 1] AND j = o[b + 1] GROUP BY ALL)
+    SELECT k, {R('max(kept / n)')} AS lddt FROM w GROUP BY k""",
+)
+def chain_assignment(spark, d):
+    """The lDDT of the best assignment of each complex of four chains."""
+    pred, true = _complexes(spark, d)
+    whole = true.groupBy("k").agg(F.countDistinct("chain").alias("n")).filter("n = 4").select("k")
+    found = chains.assigned(chains.contributions(pred.join(whole, "k", "left_semi"), true.join(whole, "k", "left_semi"), ("k",)), ("k",))
+    return found.groupBy("k").agg(r6(F.max("lddt")).alias("lddt"))
+
+
+@query("MET16")
+def anchored_chains(spark, d):
+    pred, true = _complexes(spark, d)
+    return chains.anchored(pred, true, ("k",)).groupBy("k").agg(F.count("*").alias("matched"), F.sum(((F.col("true") + 1) % 4 == F.col("pred")).cast("int")).alias("right"))
+
+
+#: Residues of three atoms; their names by label, with atoms that may be exchanged.
+ATOMS_OF = "m AS (SELECT entry, idx // 3 AS res, 'R' || (label % 3) AS resname, idx % 3 AS atom, x, y, z, px, py, pz FROM models)"
+ORDERS_OF = "(VALUES ('R0', 1, 1, 2), ('R0', 1, 2, 1), ('R1', 1, 0, 1), ('R1', 1, 1, 2), ('R1', 1, 2, 0), ('R1', 2, 0, 2), ('R1', 2, 2, 0))"
+
+
+@query(
+    "MET15 MET18",
+    f"""WITH {MODELS}, {ATOMS_OF}, o AS (SELECT * FROM {ORDERS_OF} t(resname, perm, atom, renamed)), p AS (SELECT DISTINCT resname, perm FROM o UNION SELECT DISTINCT resname, 0 FROM m),
+    s AS (SELECT m.entry, m.res, p.perm, round(sqrt(avg(pow(m.x - n.px, 2) + pow(m.y - n.py, 2) + pow(m.z - n.pz, 2))), 9) AS dev FROM m JOIN p ON p.resname = m.resname LEFT JOIN o ON o.resname = m.resname AND o.perm = p.perm AND o.atom = m.atom JOIN m n ON n.entry = m.entry AND n.res = m.res AND n.atom = coalesce(o.renamed, m.atom) GROUP BY ALL)
+    SELECT entry, CAST(res AS INTEGER) AS res, CAST(arg_min(perm, (dev, perm)) AS INTEGER) AS perm, {R('min(dev)')} AS deviation FROM s GROUP BY entry, res""",
+)
+def symmetric_atoms(spark, d):
+    """For every residue, the exchange of like atoms that brings it nearest."""
+    m = models(spark, d).select("entry", F.floor(F.col("idx") / 3).cast("int").alias("res"), F.concat(F.lit("R"), (F.col("label") % 3).cast("string")).alias("resname"), (F.col("idx") % 3).alias("atom"), "x", "y", "z", "px", "py", "pz")
+    orders = spark.createDataFrame([("R0", 1, 1, 2), ("R0", 1, 2, 1), ("R1", 1, 0, 1), ("R1", 1, 1, 2), ("R1", 1, 2, 0), ("R1", 2, 0, 2), ("R1", 2, 2, 0)], "resname string, perm int, atom int, renamed int")
+    return chains.symmetric(m, orders, ("entry", "res")).select("entry", "res", "perm", r6("deviation").alias("deviation"))
+
+
 @query("MET19", "SELECT l_orderkey, count(DISTINCT l_linenumber - 1) = count(*) AND max(l_linenumber - 1) = count(*) - 1 AND min(l_linenumber - 1) = 0 AS valid FROM lineitem GROUP BY l_orderkey")
 def permutation_valid(spark, d):
     return G.valid_permutation(table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("place")), ["l_orderkey"], "place")

@@ -119,8 +119,8 @@ _E, _T = _named("e"), _named("t")
 
 @query(
     "FN38",
-    f"WITH {BACKBONE}, f AS (SELECT entry, res, {_as(_unit(_sub(_C, _A), '1e-8'), 'e')}, {_as(_sub(_N, _A), 't')} FROM bb), g AS (SELECT *, {_dot(_E, _T)} AS k FROM f), h AS (SELECT *, {_as([f'({t} - {e} * k)' for t, e in zip(_T, _E)], 'u')} FROM g), "
-    f"s AS (SELECT *, {_as(_unit(_named('u'), '1e-8'), 'v')} FROM h) SELECT entry, res, {', '.join(f'{R(x)} AS r{i}' for i, x in enumerate([*_E, *_named('v'), *_cross(_E, _named('v'))]))} FROM s",
+    f"WITH {BACKBONE}, f AS (SELECT entry, res, {_as(_unit(_sub(_C, _A), '1e-8'), 'e')}, {_as(_sub(_N, _A), 't')} FROM bb), g AS (SELECT *, {_as(_cross(_E, _T), 'u')} FROM f), "
+    f"s AS (SELECT *, {_as(_unit(_named('u'), '1e-8'), 'v')} FROM g) SELECT entry, res, {', '.join(f'{R(x)} AS r{i}' for i, x in enumerate([*_E, *_cross(_named('v'), _E), *_named('v')]))} FROM s",
 )
 def rotation_frames(spark, d):
     rows = G.frame(_list("n"), _list("ca"), _list("c"))
@@ -128,16 +128,16 @@ def rotation_frames(spark, d):
 
 
 _B = _named("w")  # BY is a keyword
-_X = (BETA[0] * math.cos(BETA[1]), BETA[0] * math.sin(BETA[1]) * math.cos(BETA[2]), -BETA[0] * math.sin(BETA[1]) * math.sin(BETA[2]))
+_COS, _SIN, _TURN = BETA[0] * math.cos(BETA[1]), BETA[0] * math.sin(BETA[1]) * math.cos(BETA[2]), BETA[0] * math.sin(BETA[1]) * math.sin(BETA[2])
 
 
 @query(
     "FN36",
-    f"WITH {BACKBONE}, f AS (SELECT *, {_as(_unit(_sub(_N, _A), '0'), 'w')} FROM bb), g AS (SELECT *, {_as(_cross(_sub(_N, _C), _B), 'o')} FROM f), h AS (SELECT *, {_as(_unit(_named('o'), '0'), 'm')} FROM g) "
-    f"SELECT entry, res, {', '.join(f'{R(f'{a} + {_X[0]!r} * {b} + {_X[1]!r} * {p} + ({_X[2]!r}) * {m}')} AS beta_{c}' for a, b, p, m, c in zip(_A, _B, _cross(_named('m'), _B), _named('m'), 'xyz'))} FROM h",
+    f"WITH {BACKBONE}, f AS (SELECT *, {_as(_unit(_sub(_N, _A), '0'), 'w')}, {_as(_sub(_C, _N), 't')} FROM bb), g AS (SELECT *, {_dot(_B, _T)} AS k FROM f), h AS (SELECT *, {_as([f'({t} - k * {b})' for t, b in zip(_T, _B)], 'o')} FROM g), m AS (SELECT *, {_as(_unit(_named('o'), '0'), 'm')} FROM h) "
+    f"SELECT entry, res, {', '.join(f'{R(f'{a} + {_COS!r} * {b} + {_SIN!r} * {m} + {_TURN!r} * {p}')} AS beta_{c}' for a, b, p, m, c in zip(_A, _B, _cross(_named('m'), _B), _named('m'), 'xyz'))} FROM m",
 )
 def ideal_beta(spark, d):
-    beta = G.extend(_list("c"), _list("n"), _list("ca"), *BETA)
+    beta = G.placed_atom(_list("c"), _list("n"), _list("ca"), *BETA)
     return _backbone(spark, d).select("entry", "res", *[r6(x).alias(f"beta_{c}") for x, c in zip(beta, "xyz")])
 
 

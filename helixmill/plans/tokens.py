@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.functions import hashing, numeric, sequence
+from helixmill.operators import decoding, tokenizer
 from helixmill.operators import evaluate as E
 from helixmill.operators import sampling as S
 from helixmill.plans.registry import R, U, query, r6, table
@@ -37,11 +38,82 @@ def _joined(ids):
 
 
 J = "array_to_string({}, ',')"
+ESM = tokenizer.Alphabet.preset("esm1b")
 
 
 @query("FN06 FN07 FN08", f"SELECT doc_id, {J.format(f'list_concat([0], {IDS}, [2])')} AS ids FROM documents")
 def esm_tokenize(spark, d):
-    return _letters(spark, d).select("doc_id", _joined(sequence.wrapped(sequence.esm_ids(F.col("seq")))).alias("ids"))
+    return _letters(spark, d).select("doc_id", F.array_join(ESM.encoded(F.col("seq"), unknown="unk").cast("array<string>"), ",").alias("ids"))
+
+
+#: Residue letters of a text, spaced where it is; a letter that is no residue is masked.
+SPELLED = r"regexp_replace(regexp_replace({}, '[^A-Z ]', '', 'g'), 'J', '<mask>', 'g')"
+
+
+@query(
+    "FN06 FN07",
+    f"""WITH t AS (SELECT doc_id, {SPELLED.format(UP)} AS s FROM documents)
+    SELECT doc_id, md5({J.format(f"list_concat([32], list_transform(regexp_extract_all(s, '<mask>|[A-Z]'), lambda t: CASE WHEN t = '<mask>' THEN 33 ELSE {ESM_MAP}[t] END))")}) AS digest FROM t""",
+)
+def ordered_tokenize(spark, d):
+    """Ordered splits that fail on an unknown token, with the marks of the first preset."""
+    spelled = F.regexp_replace(F.regexp_replace("seq", "[^A-Z ]", ""), "J", "<mask>")
+    return _letters(spark, d).select("doc_id", F.md5(F.array_join(tokenizer.Alphabet.preset("ESM-1").encoded(spelled).cast("array<string>"), ",")).alias("digest"))
+
+
+@query(
+    "FN09 SRC20",
+    f"""WITH t AS (SELECT label, vec_id, {CODES} AS c FROM embeddings), a AS (SELECT label, count(*) AS depth FROM t GROUP BY label)
+    SELECT vec_id, label, {J.format(f"list_concat([0], list_transform(c, lambda x: {ESM_MAP}[substr('ARNDCQEGHILKMFPSTWYV', x % 20 + 1, 1)]))")} AS ids, CAST(65 AS INTEGER) AS width, depth FROM t JOIN a USING (label)""",
+)
+def alignment_ids(spark, d):
+    """Vectors of a label as rows of an alignment."""
+    rows = _codes(spark, d).withColumn("seq", sequence.sequence_of(F.transform("codes", lambda c: c % 20))).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    return tokenizer.Alphabet.preset("msa").matrices(rows, "label", "seq").select("vec_id", "label", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "width", "depth")
+
+
+#: Token arrays of a vector: padding, begin, 20 residues, 44 codes, end; each vector lacks something by its id.
+PART = "list_transform(embedding[{}:{}], lambda x: CAST({} + CAST(floor(abs(CAST(x AS DOUBLE)) * 10000) AS BIGINT) % {} AS BIGINT))"
+GRAMMAR = decoding.Grammar(1, 0, 2, 3, 4, 5, 6, tuple(range(10, 35)), tuple(range(100, 150)))
+TOKENS = f"""SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 15 WHEN vec_id % 11 = 1 THEN 25 ELSE 20 END AS sl, CASE WHEN vec_id % 13 = 2 THEN 30 ELSE 44 END AS cl,
+  list_concat(list_transform(range(vec_id % 3), lambda i: 1), [0, 3], {PART.format(1, 20, 10, 25)}, CASE WHEN vec_id % 7 = 1 THEN [] WHEN vec_id % 7 = 2 THEN [99, 4] ELSE [4] END,
+    CASE WHEN vec_id % 7 = 5 THEN [60, 12] ELSE [] END, [5], {PART.format(21, 64, 100, 50)}, CASE WHEN vec_id % 7 = 3 THEN [6] WHEN vec_id % 7 = 4 THEN [] ELSE [6, 2] END, list_transform(range(vec_id % 2), lambda i: 1)) AS tok FROM embeddings"""
+
+
+@query(
+    "FN28",
+    f"""WITH RECURSIVE t AS ({TOKENS}), k AS (
+      SELECT vec_id, sl, cl, list_transform(tok, lambda x: CASE x WHEN 1 THEN 'pad' WHEN 0 THEN 'bos' WHEN 2 THEN 'eos' WHEN 3 THEN 'boseq' WHEN 4 THEN 'eoseq' WHEN 5 THEN 'bostruct' WHEN 6 THEN 'eostruct' ELSE CASE WHEN x BETWEEN 10 AND 34 THEN 'seq' WHEN x BETWEEN 100 AND 149 THEN 'struct' ELSE 'other' END END) AS ks FROM t
+    ), r AS (
+      SELECT vec_id, sl, cl, ks, 0 AS i, 'initial' AS s, 'none' AS l, 0 AS a, 0 AS b, CAST(NULL AS INTEGER) AS e, CAST(NULL AS INTEGER) AS f,
+        CAST('bos' AS VARCHAR) AS may FROM k
+      UNION ALL
+      SELECT vec_id, sl, cl, ks, i, s, l, a, b, e, f, CASE s WHEN 'initial' THEN 'bos' WHEN 'text' THEN CASE WHEN l = 'eostruct' THEN 'eos' ELSE 'any' END WHEN 'seq' THEN CASE WHEN a = sl THEN 'eoseq' ELSE 'seq' END WHEN 'struct' THEN CASE WHEN b = cl THEN 'eostruct' ELSE 'struct' END WHEN 'terminal' THEN 'pad' ELSE 'none' END FROM (
+        SELECT vec_id, sl, cl, ks, i + 1 AS i, ks[i + 1] AS l,
+          CASE WHEN s = 'initial' AND ks[i + 1] = 'pad' THEN 'initial' WHEN s = 'initial' AND ks[i + 1] = 'bos' THEN 'text' WHEN s = 'text' AND ks[i + 1] = 'boseq' THEN 'seq' WHEN s = 'text' AND ks[i + 1] = 'bostruct' THEN 'struct'
+            WHEN s = 'text' AND ks[i + 1] = 'eos' THEN 'terminal' WHEN s IN ('text', 'terminal') THEN s WHEN s = 'seq' AND ks[i + 1] = 'seq' AND a < sl THEN 'seq' WHEN s = 'struct' AND ks[i + 1] = 'struct' AND b < cl THEN 'struct'
+            WHEN s = 'seq' AND ks[i + 1] = 'eoseq' THEN 'text' WHEN s = 'struct' AND ks[i + 1] = 'eostruct' THEN 'text' ELSE 'error' END AS s,
+          CASE WHEN s = 'seq' AND ks[i + 1] = 'seq' THEN a + 1 WHEN s = 'seq' AND ks[i + 1] = 'eoseq' THEN 0 ELSE a END AS a,
+          CASE WHEN s = 'struct' AND ks[i + 1] = 'struct' THEN b + 1 WHEN s = 'struct' AND ks[i + 1] = 'eostruct' THEN 0 ELSE b END AS b,
+          CASE WHEN NOT ((s IN ('text', 'terminal')) OR (s = 'initial' AND ks[i + 1] IN ('pad', 'bos')) OR (s = 'seq' AND (ks[i + 1] = 'eoseq' OR ks[i + 1] = 'seq' AND a < sl)) OR (s = 'struct' AND (ks[i + 1] = 'eostruct' OR ks[i + 1] = 'struct' AND b < cl))) THEN i ELSE e END AS e,
+          CASE WHEN f IS NULL AND may <> 'any' AND may <> ks[i + 1] THEN i ELSE f END AS f
+        FROM r WHERE i < len(ks) AND s <> 'error')
+    )
+    SELECT vec_id, s AS state, may AS allowed, e AS error_at, f AS forbidden_at, a AS n_seq, b AS n_struct FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY i DESC) = 1""",
+)
+def constrained_decoding(spark, d):
+    """Token arrays of vectors, with what each lacks, through the transition table."""
+    part = lambda a, n, first, most: F.transform(F.slice("e", a, n), lambda x: F.floor(F.abs(x) * 10000) % most + first)
+    longs = lambda *x: F.array(*[F.lit(i).cast("long") for i in x]) if x else F.array().cast("array<bigint>")
+    by = F.col("vec_id") % 7
+    tokens = F.concat(
+        F.array_repeat(F.lit(1).cast("long"), (F.col("vec_id") % 3).cast("int")), longs(0, 3), part(1, 20, 10, 25), F.when(by == 1, longs()).when(by == 2, longs(99, 4)).otherwise(longs(4)),
+        F.when(by == 5, longs(60, 12)).otherwise(longs()), longs(5), part(21, 44, 100, 50), F.when(by == 3, longs(6)).when(by == 4, longs()).otherwise(longs(6, 2)), F.array_repeat(F.lit(1).cast("long"), (F.col("vec_id") % 2).cast("int")),
+    )
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    of = F.col("vec_id") % 11
+    rows = rows.select("vec_id", tokens.alias("tokens"), F.when(of == 0, 15).when(of == 1, 25).otherwise(20).alias("seq_length"), F.when(F.col("vec_id") % 13 == 2, 30).otherwise(44).alias("struct_length"))
+    return decoding.trace(rows, GRAMMAR, "vec_id")
 
 
 @query("FN05", f"SELECT doc_id, coalesce({J.format(f'list_filter(list_transform(string_split({UP}, {chr(39)*2}), lambda c: {CHAR_MAP}[c]), lambda i: i IS NOT NULL)')}, '') AS ids FROM documents")
