@@ -1,9 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line, or a window of words that runs over line ends: a notice may be
-wrapped. It matches a template T if at least CONTAINMENT of T's distinct tokens occur
-in it. A window for T has as many words as T and a SLACK more, and starts at each of
-T's words; lines may be of any length. Tokens are put in one global order, rarest first, by the number
+A block is a line, or a window of words, within a line or over line ends: a notice may be
+wrapped, or stand in a long line. It matches a template T if at least CONTAINMENT of T's
+distinct tokens occur in it. A window for T has as many words as T and a SLACK more, and
+starts at each of T's words; a line of more words than that is no block of T's, or any long
+text without line ends would hold T's words somewhere. Tokens are put in one global order, rarest first, by the number
 of documents of the whole table that contain them; only tokens of templates can
 overlap, so only these are ranked. Then, for T with a least overlap of a:
 
@@ -91,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     blocks holds the matches: array of (block, label, containment), blocks from 0. A window's
-    block is the line where it starts; a notice may be listed for several of its windows.
+    block is the line where it starts; a notice may be listed for its line and for several windows.
     """
     ranks = token_ranks(docs, text_col, templates)
     vocabulary = sorted(ranks, key=ranks.get)
@@ -107,6 +108,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     numbers = F.expr(listed_([listed_(map(str, x)) for x in sets]))
     labels, alphas, sizes = _strings([x for x, _ in templates]), F.expr(listed_(map(str, least))), F.expr(listed_([str(len(x)) for x in sets]))
     known = _strings(vocabulary)
+    spans = F.expr(listed_([str(len(text.split()) + math.ceil(SLACK * len(text.split()))) for _, text in templates]))
 
     def as_ranks(words):
         return F.array_sort(F.transform(F.array_intersect(words, known), lambda t: (F.array_position(known, t) - 1).cast("int")))
@@ -119,9 +121,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         close = F.filter(hits, lambda h: 1 + F.least(F.get(sizes, h.t) - h.i - 1, F.size(block) - h.j - 1) >= F.get(alphas, h.t))
         return F.array_distinct(F.transform(close, lambda h: h.t))
 
-    def matches(block, k):
+    def matches(block, k, words):
         return F.transform(
-            F.filter(candidates(block), lambda t: overlap(block, t) >= F.get(alphas, t)),
+            F.filter(candidates(block), lambda t: (overlap(block, t) >= F.get(alphas, t)) & (words <= F.get(spans, t))),
             lambda t: F.struct(k.alias("block"), F.get(labels, t).alias("label"), (overlap(block, t) / F.get(sizes, t)).alias("containment")),
         )
 
@@ -138,17 +140,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     blocks = F.flatten(
         F.transform(
             F.filter(
-                F.transform(F.split("_text", "\n"), lambda b, k: F.struct(as_ranks(words_of(b)).alias("b"), k.alias("k"))),
+                F.transform(F.transform(F.split("_text", "\n"), words_of), lambda w, k: F.struct(as_ranks(w).alias("b"), k.alias("k"), F.size(w).alias("n"))),
                 lambda x: F.size(x.b) >= min(least, default=1),
             ),
-            lambda x: matches(x.b, x.k),
+            lambda x: matches(x.b, x.k, x.n),
         )
     ).cast(kind)
-    spans = F.expr(listed_([str(len(text.split()) + math.ceil(SLACK * len(text.split()))) for _, text in templates]))
     prefixes = F.expr(listed_([listed_(map(str, x[: len(x) - a + 1])) for x, a in zip(sets, least)]))
 
-    def wrapped(seen, t):
-        """Windows of T over line ends. seen: place, rank and line of each word that any template has."""
+    def in_windows(seen, t):
+        """Windows of T. seen: place, rank and line of each word that any template has."""
         own = F.filter(seen, lambda h: F.array_contains(F.get(numbers, t), h.r))
         starts = F.filter(
             F.transform(own, lambda h, j: F.struct(h.alias("h"), j.alias("j"))),
@@ -157,8 +158,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         windows = F.transform(
             starts, lambda x: F.struct(x.h.k.alias("k"), F.filter(F.slice(own, x.j + 1, F.get(spans, t)), lambda e: e.i - x.h.i < F.get(spans, t)).alias("w"))
         )
-        crossing = F.filter(windows, lambda x: (F.element_at(x.w, -1).k > x.k) & F.exists(x.w, lambda e: F.array_contains(F.get(prefixes, t), e.r)))
-        counted = F.transform(crossing, lambda x: F.struct(x.k.alias("k"), F.size(F.array_distinct(F.transform(x.w, lambda e: e.r))).alias("n")))
+        likely = F.filter(windows, lambda x: F.exists(x.w, lambda e: F.array_contains(F.get(prefixes, t), e.r)))
+        counted = F.transform(likely, lambda x: F.struct(x.k.alias("k"), F.size(F.array_distinct(F.transform(x.w, lambda e: e.r))).alias("n")))
         return F.array_distinct(
             F.transform(
                 F.filter(counted, lambda x: x.n >= F.get(alphas, t)),
@@ -172,8 +173,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     some = (F.size("_all") >= min(least, default=1)) & possible
     none = F.array().cast(kind)
     rows = rows.withColumn("_seen", F.when(some, F.filter(ranked, lambda x: x.r >= 0)))
-    over = F.flatten(F.transform(able, lambda t: wrapped(F.col("_seen"), t))).cast(kind)
-    rows = rows.withColumn("blocks", F.when(some, F.concat(blocks, over)).otherwise(none))
+    over = F.flatten(F.transform(able, lambda t: in_windows(F.col("_seen"), t))).cast(kind)
+    rows = rows.withColumn("blocks", F.when(some, F.array_distinct(F.concat(blocks, over))).otherwise(none))
 
     places, base = [], []
     for phrase, label in phrases:

@@ -465,12 +465,13 @@ def brute_license(text):
                 places.append(i)
                 base.add(label)
     labels, best = set(base), 1.0 if base else 0.0
-    for line in (text or "").translate(LOWER).split("\n"):
-        block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-        for label, template in license_scan.TEMPLATES:
-            t = set(template.split())
-            share = len(t & block) / len(t)
-            if len(t & block) >= math.ceil(license_scan.CONTAINMENT * len(t) - 1e-9):
+    lines = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line) for line in (text or "").translate(LOWER).split("\n")]
+    for label, template in license_scan.TEMPLATES:
+        t, n = set(template.split()), len(template.split())
+        n += math.ceil(license_scan.SLACK * n)
+        for block in [*(x for x in lines if len(x) <= n), *(w[i : i + n] for i in range(len(w)))]:
+            share = len(t & set(block)) / len(t)
+            if len(t & set(block)) >= math.ceil(license_scan.CONTAINMENT * len(t) - 1e-9):
                 labels.add(label)
                 best = max(best, share)
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), best)
@@ -486,6 +487,10 @@ def test_license_scan(spark, odd, empty):
                 t[rnd.randrange(len(t))] = rnd.choice(["foo", "the", "license"])
             rnd.shuffle(t)
             texts.append("intro\n" + " ".join(t).title() + "\n" + words(10, rnd.randrange(99)))
+    # A long line: the words of a notice scattered over it are none, the notice itself in it is one.
+    lead = [words(40, k) for k in range(6)]
+    texts += [" ".join(x for pair in zip(lead, ["released", "the", "under", "mit", "license", ""]) for x in pair), " ".join([lead[0], "Released under the MIT license", lead[1]])]
+    assert brute_license(texts[-2])[5] == "" and brute_license(texts[-1])[5] == "mit"
     rows = [(i, t, "s") for i, t in enumerate(texts)]
     for r in license_scan.scan(docs_of(spark, rows)).collect():
         assert tuple(r)[1:8] == brute_license(texts[r.doc_id]), texts[r.doc_id][:200]

@@ -43,7 +43,7 @@ def test_license_windows_equal_brute_force(spark):
         for label, template in license_scan.TEMPLATES:
             t, n = set(template.split()), len(template.split())
             n += math.ceil(license_scan.SLACK * n)
-            for block in [*lines, *(w[i : i + n] for i in range(len(w)))]:
+            for block in [*(x for x in lines if len(x) <= n), *(w[i : i + n] for i in range(len(w)))]:
                 if len(t & set(block)) >= math.ceil(license_scan.CONTAINMENT * len(t) - 1e-9):
                     want.add(label)
                     best = max(best, len(t & set(block)) / len(t))
