@@ -9,7 +9,8 @@ The models are trained from labelled samples, natively: character pairs are coun
 by label, with add-one smoothing, into a table as large as the alphabet squared,
 which then is a constant of the scoring expression. Documents are not shuffled.
 
-Edge cases: null text is ''; texts of any length are read whole; positions are code
+Edge cases: null text is ''; texts of any length are read whole, and one with many
+thousand spans costs in proportion; positions are code
 points, end exclusive; rows that repeat an id are separate rows; an empty table
 gives an empty table; other columns are not read.
 """
@@ -80,27 +81,68 @@ def ratio(run, model: list[float]):
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 NONE = "array()"
+#: Elements of an array that a running value is carried through at a time: an array grows by copying.
+STRIDE = 256
+
+
+def _bound(value, then):
+    """then(value), with value computed once a row: Spark computes an expression anew for each element of a lambda that names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _running(values, zero: int, add):
+    """For each of an int array's values, zero and all values before it under `add`, an associative function.
+
+    Strides are summed, their sums are carried on, and then the values of each stride: work
+    grows with the length, but for a square of the number of strides.
+    """
+    none = F.expr(f"cast({NONE} as array<int>)")
+
+    def before(xs):
+        return F.aggregate(
+            xs,
+            F.struct(F.lit(zero).alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def of(v):
+        strides = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / STRIDE).cast("int") - 1, F.lit(0))), lambda k: F.slice(v, k * STRIDE + 1, F.lit(STRIDE)))
+        return _bound(strides, lambda c: F.flatten(F.zip_with(c, before(F.transform(c, lambda x: F.aggregate(x, F.lit(zero), add))), lambda x, at: F.transform(before(x), lambda b: add(at, b)))))
+
+    return _bound(values, of)
 
 
 def _spans(text, pattern: str, kind: int, keep=None):
     """Matches in order: what lies between them, split(text, pattern), gives their places."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep == "value" else found
-    steps = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), value.alias("v"))
-    ends = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast({NONE} as array<struct<start:int,end:int,v:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["v"].alias("v")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    steps = F.zip_with(found, gaps, lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    steps = F.filter(steps, lambda x: x["m"].isNotNull())  # there is a gap more than matches
+
+    def placed(x):
+        starts = F.zip_with(x, _running(F.transform(x, lambda s: s["g"] + s["m"]), 0, lambda a, b: a + b), lambda s, at: F.struct((at + s["g"]).alias("start"), (at + s["g"] + s["m"]).alias("end")))
+        return F.zip_with(starts, value, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("v")))
+
+    ends = _bound(steps, placed)
     ends = F.filter(ends, lambda s: F.length(s["v"]) >= 6) if keep == "value" else ends if keep is None else F.filter(ends, lambda s: keep(s["v"]))
     spans = F.transform(ends, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast({NONE} as {SPAN})"))
 
 
+def _apart(base, more):
+    """base and those of `more` that touch none of it, in order: one pass over both, sorted, from either side."""
+
+    def of(spans):
+        is_base = lambda s: s["kind"] < KINDS.index("markov")
+        ended = _running(F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(F.lit(-1))), -1, lambda a, b: F.greatest(a, b))
+        begun = _running(F.reverse(F.transform(spans, lambda s: F.when(is_base(s), s["start"]).otherwise(F.lit(2**31 - 1)))), 2**31 - 1, lambda a, b: F.least(a, b))
+        told = F.arrays_zip(spans.alias("s"), ended.alias("before"), F.reverse(begun).alias("after"))
+        return F.transform(F.filter(told, lambda x: is_base(x["s"]) | ((x["before"] <= x["s"]["start"]) & (x["after"] >= x["s"]["end"]))), lambda x: x["s"])
+
+    return F.when(F.size(more) == 0, base).when(F.size(base) == 0, more).otherwise(_bound(F.array_sort(F.concat(base, more)), of))
+
+
 def _written(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(F.array(*map(F.lit, KINDS)), s["kind"]), F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
 
@@ -112,8 +154,7 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     rows = rows.select("doc_id", _spans(t, ASSIGN, 0, "value").alias("_a"), _spans(t, ACCESS, 1).alias("_k"), _spans(t, HEX, 2).alias("_h"), _spans(t, RUN, 3, lambda v: ratio(v, model) > threshold).alias("_m"))
     rows = rows.withColumn("_base", F.array_sort(F.concat("_a", "_k", "_h")))
     # A run that touches a base span adds nothing to it.
-    new = F.filter("_m", lambda m: ~F.exists("_base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    rows = rows.withColumn("found", F.array_sort(F.concat("_base", new)))
+    rows = rows.withColumn("found", _apart(F.col("_base"), F.col("_m")))
     return rows.select(
         "doc_id",
         F.size("_a").cast("long").alias("n_assign"),

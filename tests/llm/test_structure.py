@@ -277,3 +277,34 @@ def test_katz_beyond_a_chunk_of_documents(spark):
     got = katz.score(docs).groupBy("n_tokens", "n_known").agg(F.count("*").alias("n"), F.countDistinct("score").alias("scores")).collect()
     long = sum(i % 1000 == 7 for i in range(n))
     assert sorted(map(tuple, got)) == [(1, 1, n - long, 1), (3, 3, long, 1)]
+
+
+# --- spans of secrets
+
+
+def test_spans_of_a_text_with_very_many(spark):
+    """Base spans and runs among each other, over many strides, against a plain pass; and in proportion to the text."""
+    import time
+
+    from helixmill.llm import secrets
+
+    rnd = random.Random(6)
+    size = len(secrets.ALPHABET)
+    model = [1.0] * (size * size)  # every long run is random
+    kinds = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX, "markov": secrets.RUN}
+    parts = ["token=abcdef12", "key", "zz" * 12, "AKIA" + "A1" * 9, "deadbeef" * 4, "é", "G" * 25, "secret: ab", "x-" * 11 + "deadbeef" * 3]
+    texts = [" ".join(rnd.choice(parts) for _ in range(n)) for n in (0, 1, 2, 255, 256, 257, 513, 1500)] + ["", None]
+
+    def brute(text):
+        of = {k: [(m.start(), m.end()) for m in re.finditer(p, text or "") if k != "assign" or len(m[2]) >= 6] for k, p in kinds.items()}
+        base = sorted((a, k, b) for k, x in enumerate(list(kinds)[:3]) for a, b in of[x])
+        runs = [(a, 3, b) for a, b in of["markov"] if not any(a < y and x < b for x, _, y in base)]
+        return ",".join(f"{list(kinds)[k]}:{a}:{b}" for a, k, b in sorted(base + runs))
+
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.spans for r in got} == {i: brute(t) for i, t in enumerate(texts)}
+    many = spark.createDataFrame([(0, " ".join(rnd.choice(parts) for _ in range(16_000)))], "doc_id long, text string")
+    secrets.scan(many, model).collect()
+    began = time.time()
+    secrets.scan(many, model).collect()
+    assert time.time() - began < 6
