@@ -16,7 +16,7 @@ def _docs(spark, d):
 
 
 @query(
-    "SRT03 SRT01 BAT09",
+    "SRT03 SRT01",
     f"""WITH d AS ({DOCS}), r AS (SELECT doc_id, len, CAST((row_number() OVER (ORDER BY len, doc_id) - 1) // 50 AS INTEGER) AS bucket FROM d),
     p AS (SELECT *, row_number() OVER (ORDER BY md5('4-bucket:' || CAST(bucket AS VARCHAR)), bucket, md5('4-row:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place, count(*) OVER () AS n FROM r),
     w AS (SELECT * FROM p UNION ALL SELECT doc_id, len, bucket, place + n, n FROM p WHERE place < CAST(ceil(n / 4) AS BIGINT) * 4 - n)

@@ -24,7 +24,7 @@ def corpus_quality_filter(spark, d):
 
 
 @query(
-    "FLT13 SRC15 AGG21",
+    "FLT13 AGG21",
     f"""WITH {CORPUS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN seq IS NULL THEN 'no_sequence' WHEN length < 100 THEN 'too_short' WHEN length > 10000 THEN 'too_long' WHEN quality = 0 THEN 'low_quality' WHEN toxic = 1 THEN 'toxic' END AS reason FROM corpus) GROUP BY reason""",
 )
 def reject_reasons(spark, d):
@@ -33,7 +33,7 @@ def reject_reasons(spark, d):
 
 
 @query(
-    "FLT01 FLT02 FLT03 FLT04 FLT07 FLT15",
+    "FLT01 FLT02 FLT04 FLT07 FLT15",
     f"""WITH {META} SELECT k, modeled_seq_len, split FROM meta WHERE split IN ('LARGE', 'SMALL', 'STANDARD') AND modeled_seq_len BETWEEN 5 AND 40 AND helix_percent < 0.9 AND coil_percent < 0.8 AND strand_percent > 0.1 AND lddt_ca IS NOT NULL AND lddt_ca > 0.2""",
 )
 def metadata_filter(spark, d):
@@ -212,7 +212,7 @@ def hash_split(spark, d):
     return table(spark, d, "documents").groupBy(S.hash_split(F.col("doc_id"), 42, 0.8).alias("part")).agg(F.count("*").alias("n"))
 
 
-@query("SMP07 SRC21 SRC29", "SELECT d.doc_id, d.lang FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id")
+@query("SMP07", "SELECT d.doc_id, d.lang FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id")
 def index_subset(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
 
@@ -271,7 +271,7 @@ def slot_doubles(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg((F.countDistinct("o_orderstatus") > 1).alias("doubles"))
 
 
-@query("SRC11 SRC14", "SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f, max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS o, max(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS p FROM orders GROUP BY o_custkey")
+@query("SRC14", "SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f, max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS o, max(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS p FROM orders GROUP BY o_custkey")
 def atoms_by_residue(spark, d):
     wide = table(spark, d, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.max("o_totalprice"))
     return wide.select("o_custkey", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))

@@ -152,7 +152,7 @@ def majority_token(spark, d):
     return c.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), F.col("event_type"))).alias("most"))
 
 
-@query("JON08 MET20", f"WITH q AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT q.vec_id, max(list_sum(list_transform(q.e, lambda x, i: CAST(x AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE)))) AS best FROM q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id GROUP BY q.vec_id) SELECT vec_id, {R('best')} AS best FROM s")
+@query("JON08", f"WITH q AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT q.vec_id, max(list_sum(list_transform(q.e, lambda x, i: CAST(x AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE)))) AS best FROM q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id GROUP BY q.vec_id) SELECT vec_id, {R('best')} AS best FROM s")
 def cross_set_similarity(spark, d):
     from helixmill.functions import numeric
 

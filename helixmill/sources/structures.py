@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import mmcif
-from helixmill.functions.sequence import RESIDUE_NAMES, RESIDUES, stem
+from helixmill.functions.sequence import ATOM37, RESIDUE_NAMES, RESIDUES, stem
 from helixmill.session import ATOMS
 from helixmill.sources import archives
 from helixmill.sources.text import read_manifest
@@ -21,10 +21,6 @@ from helixmill.sources.text import read_manifest
 MODIFIED = {"MSE": "MET"}
 WATER = ("HOH", "WAT", "DOD")
 NUCLEIC = ("A", "C", "G", "U", "DA", "DC", "DG", "DT", "DU", "N")
-ATOM37 = (
-    "N", "CA", "C", "CB", "O", "CG", "CG1", "CG2", "OG", "OG1", "SG", "CD", "CD1", "CD2", "ND1", "ND2", "OD1", "OD2", "SD", "CE", "CE1", "CE2", "CE3", "NE", "NE1", "NE2", "OE1", "OE2",
-    "CH2", "NH1", "NH2", "OH", "CZ", "CZ2", "CZ3", "NZ", "OXT",
-)
 GLOBS = {"afdb": "*-F1-model_v4.cif.gz", "swissprot": "AF-*-F1-model_v4.cif.gz", "rcsb": "*.cif", "casp": "*.pdb"}
 
 
