@@ -174,10 +174,10 @@ ORDERS_OF = "(VALUES ('R0', 1, 1, 2), ('R0', 1, 2, 1), ('R1', 1, 0, 1), ('R1', 1
 
 
 @query(
-    "MET15 MET18",
+    "MET15",
     f"""WITH {MODELS}, {ATOMS_OF}, o AS (SELECT * FROM {ORDERS_OF} t(resname, perm, atom, renamed)), p AS (SELECT DISTINCT resname, perm FROM o UNION SELECT DISTINCT resname, 0 FROM m),
-    s AS (SELECT m.entry, m.res, p.perm, round(sqrt(avg(pow(m.x - n.px, 2) + pow(m.y - n.py, 2) + pow(m.z - n.pz, 2))), 9) AS dev FROM m JOIN p ON p.resname = m.resname LEFT JOIN o ON o.resname = m.resname AND o.perm = p.perm AND o.atom = m.atom JOIN m n ON n.entry = m.entry AND n.res = m.res AND n.atom = coalesce(o.renamed, m.atom) GROUP BY ALL)
-    SELECT entry, CAST(res AS INTEGER) AS res, CAST(arg_min(perm, (dev, perm)) AS INTEGER) AS perm, {R('min(dev)')} AS deviation FROM s GROUP BY entry, res""",
+    s AS (SELECT m.entry, m.res, p.perm, sqrt(avg(pow(m.x - n.px, 2) + pow(m.y - n.py, 2) + pow(m.z - n.pz, 2))) AS dev FROM m JOIN p ON p.resname = m.resname LEFT JOIN o ON o.resname = m.resname AND o.perm = p.perm AND o.atom = m.atom JOIN m n ON n.entry = m.entry AND n.res = m.res AND n.atom = coalesce(o.renamed, m.atom) GROUP BY ALL)
+    SELECT entry, CAST(res AS INTEGER) AS res, CAST(arg_min(perm, (round(dev, 9), perm)) AS INTEGER) AS perm, {R('arg_min(dev, (round(dev, 9), perm))')} AS deviation FROM s GROUP BY entry, res""",
 )
 def symmetric_atoms(spark, d):
     """For every residue, the exchange of like atoms that brings it nearest."""
