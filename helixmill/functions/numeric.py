@@ -125,6 +125,14 @@ def fsq_quantise(z, levels, eps: float = 1e-3):
     return F.array(*out)
 
 
+def coarse(x, per_octave: int = 256):
+    """A whole number whose order agrees with that of a number: so many steps to each doubling. 0 for 0, null for null, the largest for nan."""
+    step = lambda v: F.greatest(F.floor(F.log2(v) * per_octave) + 2000 * per_octave, F.lit(1).cast("long"))
+    x = x.cast("double")
+    top = F.lit(1 << 40)
+    return F.when(F.isnan(x), top + 1).when(x == float("inf"), top).when(x == float("-inf"), -top).when(x > 0, step(x)).when(x < 0, -step(-x)).when(x == 0, F.lit(0).cast("long"))
+
+
 def bin_index(x, low: float, high: float, bins: int):
     """Of bins - 1 equally spaced edges from low to high, how many x exceeds."""
     step = (high - low) / (bins - 2)

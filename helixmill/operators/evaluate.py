@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.functions import numeric
+from helixmill.operators.sampling import global_sum
+
 
 def means(df: DataFrame, columns: dict[str, str], by=()) -> DataFrame:
     """Averages under new names."""
@@ -28,10 +31,13 @@ def two_level(df: DataFrame, inner, outer, inner_agg, name: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, name: str, by=()) -> DataFrame:
-    """Ranks with ties at their mean; values are counted first, so only distinct values are put in order."""
+    """Ranks of numbers with ties at their mean, null first.
+
+    Values are counted first, and distinct ones put in order bucket by bucket (`numeric.coarse`), so no task sorts a whole group.
+    """
     counts = df.groupBy(*by, column).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(name, F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
+    ranks = global_sum(counts, numeric.coarse(F.col(column)), [column], F.col("_c"), "_before", by)
+    ranks = ranks.withColumn(name, F.col("_before") + (F.col("_c") + 1) / 2).drop("_c", "_before")
     ranks = ranks.select(F.col(column).alias("_x"), name, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)])
     same = F.col(column).eqNullSafe(F.col("_x"))
     for i, k in enumerate(by):

@@ -66,13 +66,13 @@ def global_sum(df: DataFrame, bucket, order, value, name: str, by=()) -> DataFra
     keyed = df.withColumn("_b", bucket).withColumn("_v", value)
     totals = keyed.groupBy(*by, "_b").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_r", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     same = F.col("_b").eqNullSafe(F.col("_kb"))
     for i, k in enumerate(by):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return placed.join(totals, same).withColumn(name, F.col("_before") + F.col("_r")).drop("_b", "_v", "_r", "_before", "_kb", *[f"_k{i}" for i in range(len(by))])
+    return placed.join(totals, same).withColumn(name, F.col("_start") + F.col("_r")).drop("_b", "_v", "_r", "_start", "_kb", *[f"_k{i}" for i in range(len(by))])
 
 
 def diverse_rows(df: DataFrame, keys, key: str, seq: str, n: int, most: bool = True) -> DataFrame:
@@ -162,3 +162,16 @@ def absorbed(ids, key, seed, t, mask_id: int, special):
     return F.transform(
         ids, lambda x, i: F.when((hashing.uniform(seed, F.concat(key.cast("string"), F.lit("-"), i.cast("string"))) < t) & ~x.isin(*special), F.lit(mask_id)).otherwise(x)
     )
+
+
+def length_ladder(df: DataFrame, top: str, step: int, copies: int, letter: str = "A") -> DataFrame:
+    """df's rows, each with chains of one letter: step (from 1), length, copy (from 1) and seq, up to the greatest multiple of `step` in top (at least one step)."""
+    steps = F.greatest(F.floor(F.col(top) / step), F.lit(1)).cast("int")
+    rows = df.withColumn("step", F.explode(F.sequence(F.lit(1), steps))).withColumn("length", F.col("step") * step)
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("seq", F.expr(f"repeat('{letter}', length)")).drop(top)
+
+
+def length_grid(df: DataFrame, low: str, high: str, every: int, samples: int) -> DataFrame:
+    """df's rows, each with jobs of (length, sample): lengths from low to high in steps, samples from 0."""
+    lengths = df.withColumn("length", F.explode(F.sequence(F.col(low).cast("int"), F.col(high).cast("int"), F.lit(every)))).drop(low, high)
+    return lengths.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))

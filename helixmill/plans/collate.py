@@ -22,12 +22,12 @@ def chain_concatenation(spark, d):
     return collate.chain_offsets(rows, ["conv_id"], "turn", "len", "target").select("conv_id", "turn", "offset")
 
 
-@query("COL03 FN10", "SELECT vec_id, CAST(vec_id % 5 + 3 AS INTEGER) AS aa, CAST(vec_id % 7 + 2 AS INTEGER) AS structure, CAST(33 + 4 + vec_id % 100 AS INTEGER) AS first FROM embeddings WHERE vec_id % 7 > 0")
+@query("COL03 FN10", "SELECT vec_id, CAST(vec_id % 5 + 3 AS INTEGER) AS aa, CAST(vec_id % 7 + 2 AS INTEGER) AS structure, CAST(33 + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 4 + vec_id % 100 END AS INTEGER) AS first FROM embeddings")
 def modality_pairs(spark, d):
     v = F.col("vec_id")
     seq = F.repeat(F.lit("A"), (v % 5 + 1).cast("int"))
     codes = F.array_repeat((v % 100).cast("int"), (v % 7).cast("int"))
-    return table(spark, d, "embeddings").filter("vec_id % 7 > 0").select("vec_id", collate.pair_ids(seq, codes).alias("p")).select("vec_id", F.size("p.aa").alias("aa"), F.size("p.structure").alias("structure"), F.get("p.structure", F.lit(1)).alias("first"))
+    return table(spark, d, "embeddings").select("vec_id", collate.pair_ids(seq, codes).alias("p")).select("vec_id", F.size("p.aa").alias("aa"), F.size("p.structure").alias("structure"), F.get("p.structure", F.lit(1)).alias("first"))
 
 
 @query("MET18 MET03")

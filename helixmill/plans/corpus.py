@@ -283,15 +283,18 @@ def key_from_path(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat_ws("/", F.lit("data"), url).alias("path"), F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("host"), F.expr("try_cast(regexp_extract(url, '/([0-9]+)(?:[?#].*)?$', 1) AS int)").alias("number"))
 
 
-@query("SRC33", "SELECT CAST(i AS INTEGER) AS step, CAST(100 * i AS INTEGER) AS length, CAST(j AS INTEGER) AS copy, md5(repeat('A', CAST(100 * i AS INTEGER))) AS digest FROM range(1, 11) a(i), range(1, 41) b(j)")
+@query("SRC33", "WITH t AS (SELECT source, greatest(max(length(text)) // 1000, 1) AS top FROM documents GROUP BY source), s AS (SELECT source, unnest(range(1, top + 1)) AS i FROM t) SELECT source, CAST(i AS INTEGER) AS step, CAST(1000 * i AS INTEGER) AS length, CAST(j AS INTEGER) AS copy, md5(repeat('A', CAST(1000 * i AS INTEGER))) AS digest FROM s, range(1, 41) b(j)")
 def length_ladder(spark, d):
-    rows = spark.range(1, 11).select(F.col("id").cast("int").alias("step"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("copy"))
-    return rows.select("step", (F.col("step") * 100).alias("length"), "copy", F.md5(F.expr("repeat('A', step * 100)")).alias("digest"))
+    """For every source, chains of one letter up to its longest document, forty of each length."""
+    top = table(spark, d, "documents").groupBy("source").agg(F.max(F.length("text")).alias("top"))
+    return S.length_ladder(top, "top", step=1000, copies=40).withColumn("digest", F.md5("seq")).drop("seq")
 
 
-@query("SRC34", "SELECT CAST(l AS INTEGER) AS length, CAST(s AS INTEGER) AS sample FROM range(60, 512, 4) a(l), range(0, 10) b(s)")
+@query("SRC34", "WITH t AS (SELECT lang, unnest(range(min(length(text)), max(length(text)) + 1, 64)) AS l FROM documents GROUP BY lang) SELECT lang, CAST(l AS INTEGER) AS length, CAST(s AS INTEGER) AS sample FROM t, range(0, 10) b(s)")
 def length_grid(spark, d):
-    return spark.sql("SELECT CAST(l AS INT) AS length, CAST(s AS INT) AS sample FROM (SELECT explode(sequence(60, 511, 4)) AS l) LATERAL VIEW explode(sequence(0, 9)) t AS s")
+    """Sampling jobs of every language: lengths from its shortest to its longest document, ten draws each."""
+    ends = table(spark, d, "documents").groupBy("lang").agg(F.min(F.length("text")).alias("lo"), F.max(F.length("text")).alias("hi"))
+    return S.length_grid(ends, "lo", "hi", every=64, samples=10)
 
 
 @query("SRC28", "WITH e AS (SELECT event_id, user_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS section FROM events) SELECT user_id, CAST(section AS BIGINT) AS section, count(*) AS n FROM e GROUP BY ALL")

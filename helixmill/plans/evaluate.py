@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.operators import evaluate as E
-from helixmill.operators import graph, sketches
-from helixmill.plans.registry import R, query, r6, table
+from helixmill.operators import graph, nearest, sketches
+from helixmill.plans.registry import R, U, query, r6, table
 
 EVAL = "ev AS (SELECT l_orderkey AS sample, l_linenumber AS idx, l_returnflag AS split, l_partkey % 10 AS len, l_quantity / 50 AS tm, l_discount * 20 AS rmsd, l_tax * 10 AS plddt FROM lineitem)"
 
@@ -152,14 +152,44 @@ def majority_token(spark, d):
     return c.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), F.col("event_type"))).alias("most"))
 
 
-@query("JON08", f"WITH q AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT q.vec_id, max(list_sum(list_transform(q.e, lambda x, i: CAST(x AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE)))) AS best FROM q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id GROUP BY q.vec_id) SELECT vec_id, {R('best')} AS best FROM s")
+@query("JON08", f"WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT q.vec_id, {R('max(list_inner_product(q.e, v.e))')} AS best FROM v q JOIN v ON v.label = q.label AND v.vec_id <> q.vec_id GROUP BY q.vec_id")
 def cross_set_similarity(spark, d):
-    from helixmill.functions import numeric
+    """The best similarity of every vector to another of its label."""
+    v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("point"))
+    best = nearest.nearest(v.withColumnRenamed("id", "q"), v, 1, ["label"], "dot", others=True)
+    return best.select(F.col("q").alias("vec_id"), r6("score").alias("best"))
 
-    v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    q = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "label", F.col("e").alias("f"))
-    pairs = q.join(v, "label").filter("q <> vec_id")
-    return pairs.groupBy(F.col("q").alias("vec_id")).agg(r6(F.max(numeric.dot(F.col("f"), F.col("e")))).alias("best"))
+
+@query("JON08", f"WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id AS id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS rank FROM p) SELECT q, CAST(rank AS INTEGER) AS rank, id, {R('d')} AS distance FROM r WHERE rank <= 5")
+def nearest_in_group(spark, d):
+    v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("point"))
+    return nearest.nearest(v.withColumnRenamed("id", "q"), v, 5, ["label"], others=True).select("q", "rank", "id", r6("score").alias("distance"))
+
+
+def _labelled(spark, d):
+    return nearest.folds(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("point"), F.col("label").cast("double").alias("y")), "id", 5, "cv")
+
+
+@query(
+    "ML02",
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CAST(label AS DOUBLE) AS y, CAST(floor({U('cv', 'vec_id')} * 5) AS INTEGER) AS fold FROM embeddings),
+    p AS (SELECT a.vec_id AS q, a.fold, a.y, b.vec_id AS id, b.y AS z, list_distance(a.e, b.e) AS l2, list_sum(list_transform(list_zip(a.e, b.e), lambda t: abs(t[1] - t[2]))) AS l1 FROM v a JOIN v b ON a.fold <> b.fold),
+    m AS (SELECT q, fold, y, id, z, 'l1' AS measure, l1 AS d FROM p UNION ALL SELECT q, fold, y, id, z, 'l2', l2 FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY measure, q ORDER BY d, id) AS rank FROM m),
+    g AS (SELECT fold, q, any_value(y) AS y, measure, k, avg(z) AS uniform, sum(z / d) / sum(1 / d) AS distance FROM r JOIN (VALUES (5), (10)) s(k) ON rank <= k GROUP BY fold, q, measure, k),
+    w AS (SELECT fold, y, measure, k, 'uniform' AS weights, uniform AS p FROM g UNION ALL SELECT fold, y, measure, k, 'distance', distance FROM g),
+    f AS (SELECT measure, k, weights, fold, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2, count(*) AS n FROM w GROUP BY ALL)
+    SELECT measure, k, weights, {R('avg(r2)')} AS r2, {R('stddev_pop(r2)')} AS r2_spread, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY measure, k, weights""",
+)
+def neighbour_grid(spark, d):
+    """Grid over neighbours, distances and weights in five folds, by R squared."""
+    predicted = nearest.neighbour_regression(_labelled(spark, d), 5, (5, 10), ("l1", "l2"))
+    return nearest.r_squared(predicted, ["measure", "k", "weights"]).select("measure", "k", "weights", r6("r2").alias("r2"), r6("r2_spread").alias("r2_spread"), "n")
+
+
+@query("ML02")
+def forest_grid(spark, d):
+    found = nearest.forest_search(_labelled(spark, d).withColumn("fold", F.col("fold") % 2), 2, trees=(8,), depths=(4,), least=(1, 4))
+    return found.select("trees", "depth", "features", "least", r6("r2").alias("r2"), "n")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.operators import chains
+from helixmill.operators import chains, violations
 from helixmill.operators import geometry as G
 from helixmill.plans.registry import MODELS, POINTS, R, models, points, query, r6, table
 
@@ -198,6 +198,68 @@ def steric_violations(spark, d):
     return p.groupBy("entry").agg(F.sum(F.when((gap == 1) & (dist > 3.8 + 1.5), 1).otherwise(0)).alias("stretched"), F.sum(F.when(close, 1).otherwise(0)).alias("overlaps"), r6(F.sum(F.when(close, 0.8 - dist).otherwise(0.0))).alias("overlap"))
 
 
+NAMES = ("N", "CA", "C")
+BACKBONE_SQL = "b AS (SELECT entry, idx // 3 AS res, CASE WHEN label % 3 = 0 THEN 'PRO' ELSE 'GLY' END AS resname, ['N', 'CA', 'C'][idx % 3 + 1] AS atom, x, y, z FROM points)"
+RADII_SQL = "r AS (SELECT * FROM (VALUES ('N', 1.55::DOUBLE), ('CA', 1.7), ('C', 1.7)) t(atom, r))"
+
+
+def _dot_sql(u, v):
+    """Scalar product of two differences of points, each given as a pair of table aliases."""
+    return "(" + " + ".join(f"({u[0]}.{c} - {u[1]}.{c}) * ({v[0]}.{c} - {v[1]}.{c})" for c in "xyz") + ")"
+
+
+def _size_sql(u, eps="1e-6"):
+    return f"sqrt({eps} + {_dot_sql(u, u)})"
+
+
+def _error_sql(value, wanted):
+    return f"sqrt(1e-6 + pow({value} - ({wanted}), 2))"
+
+
+LINKS_SQL = f"""l AS (SELECT c.entry, c.res, {_error_sql(_size_sql(('n', 'c')), "CASE WHEN n.resname = 'PRO' THEN 1.341 ELSE 1.329 END")} - 12 * CASE WHEN n.resname = 'PRO' THEN 0.016 ELSE 0.014 END AS c_n,
+    {_error_sql(f"{_dot_sql(('a', 'c'), ('n', 'c'))} / {_size_sql(('a', 'c'))} / {_size_sql(('n', 'c'))}", -0.4473)} - 12 * 0.014 AS ca_c_n,
+    {_error_sql(f"{_dot_sql(('c', 'n'), ('m', 'n'))} / {_size_sql(('n', 'c'))} / {_size_sql(('m', 'n'))}", -0.5203)} - 12 * 0.0353 AS c_n_ca, {_size_sql(('m', 'a'))} AS step
+    FROM b c JOIN b a ON a.entry = c.entry AND a.res = c.res AND a.atom = 'CA' JOIN b n ON n.entry = c.entry AND n.res = c.res + 1 AND n.atom = 'N' JOIN b m ON m.entry = c.entry AND m.res = c.res + 1 AND m.atom = 'CA' WHERE c.atom = 'C')"""
+MET_SQL = f"""p AS (SELECT a.entry, a.res AS ar, b.res AS br, greatest(ra.r + rb.r - 1.5 - {_size_sql(('a', 'b'), '1e-10')}, 0) AS over
+    FROM b a JOIN b ON a.entry = b.entry AND a.res < b.res AND NOT (b.res = a.res + 1 AND a.atom = 'C' AND b.atom = 'N') JOIN r ra ON ra.atom = a.atom JOIN r rb ON rb.atom = b.atom)"""
+
+
+def _backbone(spark, d):
+    p = points(spark, d)
+    name = F.get(F.array(*[F.lit(n) for n in NAMES]), (F.col("idx") % 3).cast("int"))
+    return p.select("entry", F.floor(F.col("idx") / 3).cast("int").alias("res"), F.when(F.col("label") % 3 == 0, "PRO").otherwise("GLY").alias("resname"), name.alias("atom"), "x", "y", "z")
+
+
+@query(
+    "MET10",
+    f"""WITH {POINTS}, {BACKBONE_SQL}, {RADII_SQL}, {LINKS_SQL}, {MET_SQL}, lm AS (SELECT entry, sum(greatest(c_n, 0)) / (count(*) + 1e-6) AS c_n, sum(greatest(ca_c_n, 0)) / (count(*) + 1e-6) AS ca_c_n, sum(greatest(c_n_ca, 0)) / (count(*) + 1e-6) AS c_n_ca, avg(CASE WHEN step - 3.80209737096 > 1.5 THEN 1.0 ELSE 0 END) AS far_steps FROM l GROUP BY entry),
+    pm AS (SELECT entry, sum(over) / (count(*) + 1e-6) AS clash, count(*) AS n_pairs FROM p GROUP BY entry)
+    SELECT entry, {R('c_n')} AS c_n, {R('ca_c_n')} AS ca_c_n, {R('c_n_ca')} AS c_n_ca, {R('far_steps')} AS far_steps, {R('clash')} AS clash, n_pairs FROM lm JOIN pm USING (entry)""",
+)
+def violation_losses(spark, d):
+    """Means of the losses of bonds, angles and clashes of every chain of backbone atoms."""
+    atoms = _backbone(spark, d)
+    over = violations.clashes(atoms).groupBy("entry").agg(F.sum("over").alias("over"))
+    rows = violations.connection_means(violations.connections(atoms)).join(violations.compared_pairs(atoms), "entry").join(over, "entry", "left")
+    clash = F.coalesce("over", F.lit(0.0)) / (F.col("n_pairs") + violations.EPS)
+    return rows.select("entry", *[r6(c).alias(c) for c in ("c_n", "ca_c_n", "c_n_ca", "far_steps")], r6(clash).alias("clash"), "n_pairs")
+
+
+@query(
+    "MET10",
+    f"""WITH {POINTS}, {BACKBONE_SQL}, {RADII_SQL}, {LINKS_SQL}, {MET_SQL}, k AS (SELECT entry, res FROM l WHERE greatest(c_n, ca_c_n, c_n_ca) > 0 UNION SELECT entry, res + 1 FROM l WHERE greatest(c_n, ca_c_n, c_n_ca) > 0),
+    h AS (SELECT entry, ar AS res FROM p WHERE over > 0 UNION SELECT entry, br FROM p WHERE over > 0),
+    w AS (SELECT DISTINCT a.entry, a.res FROM b a JOIN b ON a.entry = b.entry AND a.res = b.res AND a.atom <> b.atom JOIN r ra ON ra.atom = a.atom JOIN r rb ON rb.atom = b.atom WHERE {_size_sql(('a', 'b'), '1e-10')} < ra.r + rb.r - 1.5),
+    o AS (SELECT DISTINCT entry, res FROM b)
+    SELECT o.entry, CAST(o.res AS INTEGER) AS res, k.res IS NOT NULL AS connection, h.res IS NOT NULL AS clash, w.res IS NOT NULL AS inside, k.res IS NOT NULL OR h.res IS NOT NULL OR w.res IS NOT NULL AS any_violation
+    FROM o LEFT JOIN k ON k.entry = o.entry AND k.res = o.res LEFT JOIN h ON h.entry = o.entry AND h.res = o.res LEFT JOIN w ON w.entry = o.entry AND w.res = o.res""",
+)
+def residue_violations(spark, d):
+    """Which residues break a bond or an angle, clash, or hold atoms too close together."""
+    pairs = spark.createDataFrame([(r, a, b) for r in ("PRO", "GLY") for a, b in (("N", "CA"), ("N", "C"), ("CA", "C"))], "resname string, atom string, other string")
+    return violations.residues(_backbone(spark, d), violations.contact_bounds(pairs))
+
+
 @query("MET11", f"WITH t AS (SELECT doc_id, string_split(text, '') AS s FROM documents WHERE length(text) > 0) SELECT a.doc_id, {R('list_sum(list_transform(list_zip(a.s, b.s), lambda x: CASE WHEN x[1] = x[2] THEN 1 ELSE 0 END)) / greatest(len(a.s), len(b.s))')} AS identity FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
 def sequence_identity(spark, d):
     t = table(spark, d, "documents").filter("length(text) > 0").select("doc_id", F.split("text", "").alias("s"))

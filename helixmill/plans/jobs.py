@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.jobs import ingest
-from helixmill.plans.registry import query, table
+from helixmill.plans.registry import POINTS, R, points, query, r6, table
 from helixmill.session import scratch
 from helixmill.sinks import writers
 from helixmill.sources import archives, structures, tables, text
@@ -132,3 +132,28 @@ def mmcif_features(spark, d):
     first = slots.filter("ordinal = 0").select("entry", F.col("positions")[ca][0].alias("raw"))
     good = sums.join(first, "entry").select("entry", "residues", "atoms", F.round(F.col("raw") - F.col("x0"), 6).alias("cx"), F.round("x0", 6).alias("x0"))
     return meta.select("entry", "reject", "resolution").join(good.join(meta.filter("reject IS NULL").select("entry"), "entry", "left_semi"), "entry", "left")
+
+
+@query("SNK11", f"WITH {POINTS} SELECT entry, CAST(1 AS INTEGER) AS layer, CAST(16 AS INTEGER) AS n, {R('CAST(CAST(avg(CASE WHEN idx BETWEEN 1 AND 16 THEN x END) AS FLOAT) AS DOUBLE)')} AS mean_x, {R('CAST(CAST(max(CASE WHEN idx = 0 THEN y END) AS FLOAT) AS DOUBLE)')} AS bos_y, {R('CAST(CAST(max(CASE WHEN idx = 16 THEN z END) AS FLOAT) AS DOUBLE)')} AS last_z FROM points GROUP BY entry")
+def representation_dump(spark, d):
+    """Chains as tokens with vectors, stored a row a label and read back; residues after the sixteenth are left out."""
+    root = scratch(spark)
+    tokens = points(spark, d).select("entry", F.lit(1).alias("layer"), F.col("idx").alias("place"), F.array("x", "y", "z").alias("vector"))
+    writers.representations(tokens, most=16, keys=("entry",)).write.parquet(f"{root}/representations")
+    at = lambda c, i: r6(F.get(c, F.lit(i)).cast("double"))
+    return spark.read.parquet(f"{root}/representations").select("entry", "layer", "n", at("mean", 0).alias("mean_x"), at("bos", 1).alias("bos_y"), at(F.get("per_tok", F.lit(15)), 2).alias("last_z"))
+
+
+@query(
+    "SNK12",
+    """WITH b AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY length(text) DESC, doc_id) AS r FROM documents), c AS (SELECT doc_id, text, length(text) AS n FROM b WHERE r = 1 AND length(text) >= 2000)
+    SELECT 'sample_id_' || (row_number() OVER (ORDER BY n, doc_id) - 1) || '_length_' || n || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS digest FROM c""",
+)
+def best_sample_copies(spark, d):
+    """The longest document of each language and source, if long enough, as a file of its own."""
+    root = scratch(spark)
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source", "text", F.length("text").alias("n"))
+    best = writers.best_samples(rows, ["lang", "source"], "doc_id", [F.col("n").desc()], F.col("n") >= 2000, "n", "txt")
+    writers.write_named(best, f"{root}/designable").write.parquet(f"{root}/listing")
+    files = spark.read.format("binaryFile").load(f"{root}/designable").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("digest"))
+    return spark.read.parquet(f"{root}/listing").join(files, "name").select("name", "size", "digest")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import hashing, numeric, sequence
@@ -175,21 +176,22 @@ def interval_overlaps(spark, d):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("o").alias("overlaps"))
 
 
-@query("FN19 FN20", f"SELECT doc_id, repeat('#', 10 + CAST(floor({U('sp', 'doc_id')} * 20) AS INTEGER)) || text || repeat('#', 5) AS scaffold FROM documents WHERE length(text) >= 12")
+@query("FN19 FN20", f"SELECT doc_id, repeat('#', 10 + CAST(floor({U('sp', 'doc_id')} * 20) AS INTEGER)) || text || repeat('#', 5) AS scaffold FROM documents")
 def inpaint_template(spark, d):
     lead = 10 + F.floor(hashing.uniform("sp", F.col("doc_id")) * 20).cast("int")
-    return table(spark, d, "documents").filter("length(text) >= 12").select("doc_id", sequence.fill_template(lead + F.length("text") + 5, lead + 1, F.col("text")).alias("scaffold"))
+    return table(spark, d, "documents").select("doc_id", sequence.fill_template(lead + F.length("text") + 5, lead + 1, F.col("text")).alias("scaffold"))
 
 
 @query(
     "FN21",
-    f"""WITH t AS (SELECT doc_id, text AS s, CAST(floor({U('op', 'doc_id')} * length(text)) AS INTEGER) AS p, {U('kind', 'doc_id')} AS k FROM documents WHERE length(text) >= 2)
-    SELECT doc_id, CASE WHEN k < 0.6 THEN substr(s, 1, p) || '@' || substr(s, p + 2) WHEN k < 0.8 THEN substr(s, 1, p) || substr(s, p + 2) ELSE substr(s, 1, p) || '@' || substr(s, p + 1) END AS mutated FROM t""",
+    f"""WITH t AS (SELECT doc_id, text AS s, CAST(floor({U('op', 'doc_id')} * length(text)) AS INTEGER) AS p, {U('kind', 'doc_id')} AS k FROM documents)
+    SELECT doc_id, CASE WHEN length(s) = 0 THEN '@' WHEN k < 0.6 THEN substr(s, 1, p) || '@' || substr(s, p + 2) WHEN k < 0.8 THEN substr(s, 1, p) || substr(s, p + 2) ELSE substr(s, 1, p) || '@' || substr(s, p + 1) END AS mutated FROM t""",
 )
 def mutate_sequence(spark, d):
-    rows = table(spark, d, "documents").filter("length(text) >= 2").select("doc_id", F.col("text").alias("s"))
+    """One change a text; an empty one can only get an insertion."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("s"))
     p, k, s = hashing.below("op", F.col("doc_id"), F.length("s")), hashing.uniform("kind", F.col("doc_id")), F.col("s")
-    return rows.select("doc_id", F.when(k < 0.6, sequence.substitute(s, p, F.lit("@"))).when(k < 0.8, sequence.delete(s, p)).otherwise(sequence.insert(s, p, F.lit("@"))).alias("mutated"))
+    return rows.select("doc_id", F.when(F.length(s) == 0, F.lit("@")).when(k < 0.6, sequence.substitute(s, p, F.lit("@"))).when(k < 0.8, sequence.delete(s, p)).otherwise(sequence.insert(s, p, F.lit("@"))).alias("mutated"))
 
 
 def _draw(kind):
@@ -231,11 +233,13 @@ def grammar_check(spark, d):
     return _codes(spark, d).select("vec_id", sequence.grammatical(tokens).alias("valid"))
 
 
-@query("FN29", "SELECT CAST(i AS BIGINT) AS code, CAST(i % 8 AS INTEGER) AS d0, CAST(i // 8 % 5 AS INTEGER) AS d1, CAST(i // 40 % 5 AS INTEGER) AS d2, CAST(i AS BIGINT) AS back, round((i % 8 - 4) / CAST(4 AS DOUBLE), 6) + 0.0 AS c0 FROM range(200) t(i)")
+@query("FN29", "WITH t AS (SELECT vec_id, CAST(floor((CAST(embedding[j] AS DOUBLE) + 1) * 4096) AS BIGINT) % 200 AS i, j FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS j FROM embeddings)) SELECT vec_id, CAST(j - 1 AS INTEGER) AS place, i AS code, CAST(i % 8 AS INTEGER) AS d0, CAST(i // 8 % 5 AS INTEGER) AS d1, CAST(i // 40 % 5 AS INTEGER) AS d2, i AS back, round((i % 8 - 4) / CAST(4 AS DOUBLE), 6) + 0.0 AS c0 FROM t")
 def fsq_roundtrip(spark, d):
+    """Every component's code to digits and back."""
     levels = (8, 5, 5)
-    rows = spark.range(200).select(F.col("id").alias("code"), numeric.fsq_levels(F.col("id"), levels).alias("g"))
-    return rows.select("code", *[F.get("g", F.lit(i)).alias(f"d{i}") for i in range(3)], numeric.fsq_index(F.col("g"), levels).alias("back"), r6(F.get(numeric.fsq_codes(F.col("g"), levels), F.lit(0))).alias("c0"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "v")).withColumn("code", F.floor((F.col("v").cast("double") + 1) * 4096) % 200)
+    rows = rows.select("vec_id", "place", "code", numeric.fsq_levels(F.col("code"), levels).alias("g"))
+    return rows.select("vec_id", "place", "code", *[F.get("g", F.lit(i)).alias(f"d{i}") for i in range(3)], numeric.fsq_index(F.col("g"), levels).alias("back"), r6(F.get(numeric.fsq_codes(F.col("g"), levels), F.lit(0))).alias("c0"))
 
 
 @query("FN29", "WITH z AS (SELECT vec_id, k, list_transform(embedding[3 * k + 1:3 * k + 3], lambda x: CAST(x AS DOUBLE) * 10) AS z FROM embeddings, range(21) t(k)) SELECT vec_id, CAST(k AS INTEGER) AS k, CAST(round_even(tanh(z[1] + atanh(0.5 / (7 * 1.001 / 2))) * (7 * 1.001 / 2) - 0.5, 0) + 4 AS INTEGER) AS a, CAST(round_even(tanh(z[2]) * (4 * 1.001 / 2), 0) + 2 AS INTEGER) AS b, CAST(round_even(tanh(z[3]) * (4 * 1.001 / 2), 0) + 2 AS INTEGER) AS c FROM z")
@@ -280,9 +284,21 @@ def radial_and_sinusoid(spark, d):
     return e.select("event_id", r6(F.get(numeric.rbf(F.col("value") / 10, 0.001, 22.0, 16), F.lit(0))).alias("first"), r6(F.get(numeric.sinusoid(F.col("event_id"), 8), F.lit(0))).alias("sine"))
 
 
-@query("FN39", "SELECT CAST(i AS BIGINT) AS number, CAST(i AS BIGINT) AS back, CASE WHEN i < 62 THEN 1 WHEN i < 3906 THEN 2 ELSE 3 END AS chars FROM range(5000) t(i)")
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'"
+
+
+@query(
+    "FN39",
+    f"""WITH t AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + 60 * (user_id % 100) AS n FROM events)
+    SELECT event_id, CAST(n AS BIGINT) AS number, CASE WHEN n < 62 THEN substr({LETTERS}, n + 1, 1) WHEN n < 3906 THEN substr({LETTERS}, n // 62, 1) || substr({LETTERS}, n % 62 + 1, 1)
+      ELSE substr({LETTERS}, (n // 62 - 1) // 62, 1) || substr({LETTERS}, (n // 62 - 1) % 62 + 1, 1) || substr({LETTERS}, n % 62 + 1, 1) END AS name, CAST(n AS BIGINT) AS back FROM t""",
+)
 def chain_codec(spark, d):
-    return spark.range(5000).select(F.col("id").alias("number"), sequence.chain_name(F.col("id")).alias("name")).select("number", sequence.chain_number(F.col("name")).cast("long").alias("back"), F.length("name").alias("chars"))
+    """Events as chains of their user: numbers to names and back."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = table(spark, d, "events").select("event_id", (place - 1 + 60 * (F.col("user_id") % 100)).cast("long").alias("number"))
+    named = rows.withColumn("name", sequence.chain_name(F.col("number")))
+    return named.withColumn("back", sequence.chain_number(F.col("name")).cast("long"))
 
 
 @query("FN41", f"WITH t AS (SELECT vec_id, list_transform(embedding[1:50], lambda x: exp(CAST(x AS DOUBLE) * 4)) AS e FROM embeddings) SELECT vec_id, {R('list_sum(list_transform(e, lambda x, i: x / list_sum(e) * (0.01 + (i - 1) * 0.02)))')} AS plddt FROM t")

@@ -71,3 +71,66 @@ def new_rows(df: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """A small summary as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def representations(tokens: DataFrame, include=("per_tok", "mean", "bos"), most: int = 1022, keys=("label",)) -> DataFrame:
+    """What a model gave for each token, one row a label and layer: keys, layer, n, and as asked per_tok, mean, bos.
+
+    tokens: keys, layer, place (0: the start token, then the residues), vector. Residues after the first `most` are left out;
+    places after the last residue (end token, padding) belong to the caller to drop. per_tok is in order of place; mean is null without residues, bos without a start.
+    """
+    inside = (F.col("place") >= 1) & (F.col("place") <= most)
+    order = F.struct("place", F.col("vector").cast("array<double>").alias("vector"))
+    rows = tokens.groupBy(*keys, "layer").agg(F.sort_array(F.collect_list(F.when(inside, order))).alias("_r"), F.min(F.when(F.col("place") == 0, order))["vector"].alias("bos"))
+    rows = rows.withColumn("per_tok", F.transform("_r", lambda r: r["vector"])).withColumn("n", F.size("_r"))
+    width = F.size(F.get("per_tok", F.lit(0)))
+    mean = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.aggregate("per_tok", F.lit(0.0), lambda a, v: a + F.get(v, i)) / F.col("n"))
+    rows = rows.withColumn("mean", F.when(F.col("n") > 0, mean))
+    return rows.select(*keys, "layer", "n", *[F.col(c).cast("array<array<float>>" if c == "per_tok" else "array<float>").alias(c) for c in include])
+
+
+def best_samples(samples: DataFrame, by, key: str, order, designable, length: str, suffix: str = "pdb") -> DataFrame:
+    """The best sample of each group that is designable, with the name of its copy: sample_id_<place>_length_<length>.<suffix>.
+
+    order: columns, best first; the key decides between equals and gives the places (from 0).
+    """
+    from helixmill.operators.corpus import best_per
+    from helixmill.operators.sampling import global_rank
+
+    best = best_per(samples, by, [*order, F.col(key)]).filter(designable)
+    placed = global_rank(best, F.col(length), [key], "_place")
+    return placed.withColumn("name", F.format_string(f"sample_id_%d_length_%d.{suffix}", F.col("_place") - 1, F.col(length).cast("long"))).drop("_place")
+
+
+def write_named(files: DataFrame, folder: str, name: str = "name", text: str = "text") -> DataFrame:
+    """Each row's text as a file of its name in a shared folder: (name, path, size, status). Runs when the result is read.
+
+    A file is written under a name of its attempt and moved into place, so a retried task or a second run leaves whole files only; one
+    that is there with the same size is skipped. Null text is an empty file.
+    """
+    target = folder
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(target)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            rows = []
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = (t or "").encode("utf-8", "surrogatepass")
+                path = f"{root}/{n}"
+                there = system.get_file_info(path)
+                status = "skipped" if there.type == fs.FileType.File and there.size == len(data) else "success"
+                if status == "success":
+                    part = f"{root}/_{uuid.uuid4().hex}"
+                    with system.open_output_stream(part) as out:
+                        out.write(data)
+                    system.move(part, path)
+                rows.append((n, path, len(data), status))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string()))] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.string())], names=["name", "path", "size", "status"])
+
+    return files.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInArrow(run, "name string, path string, size long, status string")
