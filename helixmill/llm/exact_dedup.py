@@ -9,6 +9,9 @@ never merges different texts:
    rows is spread over `salts` tasks;
 3. global: at most `salts` winners a text meet by digest.
 
+Rows learn of their winner by digest and salt: the winner of a text with a thousandth of
+all rows or more is there once a salt, and its rows are spread over the salts.
+
 Edge cases: null text counts as ''; the row with the largest doc_id stays; rows
 that repeat the winner's id and text all say kept; a null id never wins against a
 number; an empty table gives an empty table; other columns are not read.
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm._shared import materialise
+from helixmill.llm._shared import HOT_SHARE, materialise
 
 SALTS = 16
 
@@ -56,7 +59,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), digest(text).alias("_digest"), F.sha2(text, 256).alias("_sha"), text.alias("_text"))
     if found.filter("_texts > 1").isEmpty():
-        joined = rows.drop("_text").join(found, "_digest")
+        hot = F.col("_size") * HOT_SHARE >= (found.agg(F.sum("_size")).first()[0] or 0)
+        every = F.sequence(F.lit(0), F.lit(salts - 1))
+        winners = found.withColumn("_salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
+        few = found.filter(hot).select("_digest", F.lit(True).alias("_hot"))  # at most HOT_SHARE rows
+        salt = F.when(F.col("_hot"), F.spark_partition_id() % salts).otherwise(0)
+        joined = rows.drop("_text").join(F.broadcast(few), "_digest", "left").withColumn("_salt", salt).join(winners, ["_digest", "_salt"])
     else:  # texts that share a digest: meet by content
         joined = rows.join(winners.select("_digest", "_text", F.col("_id").alias("_keep"), F.col("_n").alias("_size")), ["_digest", "_text"])
     return joined.select(
