@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixmill.functions import hashing
+
 #: The twenty residues in index order, then the unknown one.
 RESIDUES = "ARNDCQEGHILKMFPSTWYV"
 UNKNOWN = "X"
@@ -208,3 +210,15 @@ def grammatical(tokens):
         .otherwise("bad")
     )
     return F.aggregate(tokens, F.lit("text"), lambda state, t: step(state, t)) == "end"
+
+
+def spacers(n, low, high, seed, key):
+    """n - 1 lengths, the i-th (from 0) a whole number in [low(i), high(i)] drawn by the hash of seed, key and i; none for fewer than two segments."""
+    drawn = lambda i: low(i) + F.floor(hashing.uniform(seed, F.concat(key.cast("string"), F.lit("-"), i.cast("string"))) * (high(i) - low(i) + 1)).cast("int")
+    return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), drawn)).otherwise(F.array().cast("array<int>"))
+
+
+def assembled(segments, gaps, mask: str = "<mask>"):
+    """Segments in order with so many masks between each two; gaps holds one number less than there are segments."""
+    runs = F.concat(F.array(F.lit("")), F.transform(gaps, lambda g: F.repeat(F.lit(mask), g)))
+    return F.array_join(F.zip_with(runs, segments, lambda r, s: F.concat(r, s)), "")

@@ -8,6 +8,8 @@ coarse bucket of the order.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,3 +183,20 @@ def buffered_batches(df: DataFrame, key: str, length: str, most: int, replicas:
     steps = steps.crossJoin(F.broadcast(numbers.agg(F.max("_own").alias("_most"))))  # one row
     again = steps.filter(F.col("step") < F.col("_most") - F.col("_own")).withColumn("step", F.col("step") + F.col("_own"))
     return made.join(steps.unionByName(again).select("replica", "batch", F.col("step").cast("int").alias("step")), ["replica", "batch"])
+
+
+@dataclass(frozen=True)
+class LoaderDefaults:
+    """What batches are assembled with if nothing else is said."""
+
+    max_tokens: int = 6000
+    max_square_tokens: int = 1_000_000
+    bucket_size: int = 1000
+    max_batch_size: int = 800
+    max_len: int = 512
+
+
+def assembled(df: DataFrame, key: str, length: str, defaults: LoaderDefaults = LoaderDefaults()) -> DataFrame:
+    """Adds bucket and batch: rows of about one length, batches under both budgets, lengths counted up to max_len."""
+    buckets = length_buckets(df, key, length, defaults.bucket_size)
+    return token_batches(buckets, ["bucket"], [length, key], length, budget=defaults.max_tokens, square=defaults.max_square_tokens, most=defaults.max_batch_size, clip=defaults.max_len)

@@ -321,3 +321,18 @@ def pocket_rmsd(points: DataFrame, pocket: str, ligand: str, keys=("entry",)) ->
     at = lambda r: sum((F.get("m", F.lit(3 * r + i)) * F.col(c) for i, c in enumerate(("px", "py", "pz"))), F.get("m", F.lit(9 + r)))
     d2 = sum((F.pow(F.col(c) - at(r), 2) for r, c in enumerate("xyz")), F.lit(0.0))
     return moved.filter(F.col(ligand)).groupBy(*keys).agg(F.sqrt(F.avg(d2)).alias("pocket_rmsd"))
+
+
+def patches(points: DataFrame, size: int, keys=("entry",), scale: float = 1.0) -> DataFrame:
+    """Matrix of difference vectors of an entry's points over `scale`, in patches of size x size: keys, i, j, cells.
+
+    cells: [dx, dy, dz] row by row; points are numbered by idx from 0, and places up to the next multiple of `size` hold zeros.
+    Pairs are made inside an entry and go straight into their patch.
+    """
+    apart = F.array(*[(F.col(f"a_{c}") - F.col(f"b_{c}")) / scale for c in "xyz"])
+    met = side(points, "a", keys).join(side(points, "b", keys), list(keys))
+    at = lambda s: F.floor(F.col(f"{s}_idx") / size).cast("int")
+    cell = ((F.col("a_idx") % size) * size + F.col("b_idx") % size).cast("int")
+    found = met.groupBy(*keys, at("a").alias("i"), at("b").alias("j")).agg(F.map_from_entries(F.collect_list(F.struct(cell, apart))).alias("_m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda c: F.coalesce(F.try_element_at("_m", c), F.array(*[F.lit(0.0)] * 3)))
+    return found.select(*keys, "i", "j", every.alias("cells"))

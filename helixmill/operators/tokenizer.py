@@ -170,3 +170,28 @@ def _encoder(alphabet: Alphabet, unknown: str):
         return pc.if_else(pa.array(missing), pa.scalar(None, out.type), out) if missing.any() else out
 
     return encode
+
+
+#: The marks of both modalities in a joint vocabulary, by what they stand for.
+MODAL = {"aa": {"cls": "<cls_aa>", "eos": "<eos_aa>", "unk": "<unk_aa>", "mask": "<mask_aa>"}, "struct": {"cls": "<cls_struct>", "eos": "<eos_struct>", "unk": "<unk_struct>", "mask": "<mask_struct>"}}
+
+
+def modal_ids(vocabulary: list[str], modality: str, pad: str = "<pad>"):
+    """A function from a column of tokens (an array of strings) to ids of one modality of a joint vocabulary, between its cls and eos.
+
+    A token's id is its place in the vocabulary; what it lacks, null included, is the modality's unknown. Null and empty arrays
+    give the two marks alone. The vocabulary belongs to a model; it goes to the workers with the function.
+    """
+    index = {t: i for i, t in enumerate(vocabulary)}
+    lacking = [t for t in (*MODAL[modality].values(), pad) if t not in index]
+    if lacking:
+        raise ValueError(f"the vocabulary lacks {lacking}")
+    first, last, unknown = (index[MODAL[modality][n]] for n in ("cls", "eos", "unk"))
+
+    @F.pandas_udf("array<int>")
+    def ids(tokens):
+        import pandas as pd
+
+        return pd.Series([[first, *(index.get(t, unknown) for t in ([] if x is None else x)), last] for x in tokens])
+
+    return ids

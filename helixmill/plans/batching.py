@@ -97,3 +97,15 @@ def sequence_packing(spark, d):
 def buffered_batches(spark, d):
     """Documents through bounded heaps, four replicas with equally many steps."""
     return B.buffered_batches(_docs(spark, d), "doc_id", "len", 16384, 4, buffer=4)
+
+
+_CLIP = "least(o.len, 512)"
+_FITS = f"(f.n + 1) * greatest(f.top, {_CLIP}) <= 6000 AND (f.n + 1) * greatest(f.top, {_CLIP}) * greatest(f.top, {_CLIP}) < 1000000 AND f.n < 800"
+
+
+@query(
+    "BAT09",
+    FOLD.format(docs=DOCS, **_BUCKET, fits="least(len, 512) <= 6000", first="1 AS n, least(len, 512) AS top", ok=_FITS, step=f"CASE WHEN {_FITS} THEN f.n + 1 ELSE 1 END, CASE WHEN {_FITS} THEN greatest(f.top, {_CLIP}) ELSE {_CLIP} END").replace("// 100 AS", "// 1000 AS"),
+)
+def default_batches(spark, d):
+    return B.assembled(_docs(spark, d), "doc_id", "len").select("doc_id", "bucket", "batch")

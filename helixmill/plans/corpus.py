@@ -88,6 +88,20 @@ def confidence_trim(spark, d):
     return rows.select("vec_id", "span.first", "span.last", F.size("part").cast("long").alias("n"), r6(F.when(F.size("part") > 0, numeric.mean(F.col("part")))).alias("mean"))
 
 
+@query(
+    "FLT11",
+    f"""WITH t AS (SELECT doc_id, list_transform(string_split(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ''), lambda x: x <> '' AND contains('ARNDCQEGHILKMFPSTWYV', x)) AS k FROM documents),
+    p AS (SELECT doc_id, len(k) AS n, list_position(k, true) AS a, len(k) - list_position(list_reverse(k), true) + 1 AS b FROM t)
+    SELECT doc_id, CAST(a AS INTEGER) AS first, CAST(b AS INTEGER) AS last, CAST(CASE WHEN a IS NULL THEN 0 ELSE b - a + 1 END AS BIGINT) AS modeled FROM p""",
+)
+def modeled_trim(spark, d):
+    """Documents as residues by index, cut to what lies between the first and the last known one."""
+    index = F.transform(F.split(F.translate(F.coalesce("text", F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ""), lambda x: F.when((x != "") & F.contains(F.lit(sequence.RESIDUES), x), F.instr(F.lit(sequence.RESIDUES), x) - 1).otherwise(20))
+    rows = table(spark, d, "documents").select("doc_id", index.alias("aatype"))
+    rows = rows.withColumn("span", C.trim_to(F.col("aatype"), lambda x: x != 20))
+    return rows.select("doc_id", "span.first", "span.last", F.size(C.trimmed(F.col("aatype"), F.col("span"))).cast("long").alias("modeled"))
+
+
 @query(
     "FLT12 SET01",
     f"""WITH c AS ({CONF}) SELECT vec_id, {R('list_stddev_pop(conf)')} AS spread, {R('list_avg(conf)')} AS mean FROM c WHERE list_stddev_pop(conf) < 6.2 AND list_avg(conf) > 49.5""",

@@ -198,6 +198,14 @@ def steric_violations(spark, d):
     return p.groupBy("entry").agg(F.sum(F.when((gap == 1) & (dist > 3.8 + 1.5), 1).otherwise(0)).alias("stretched"), F.sum(F.when(close, 1).otherwise(0)).alias("overlaps"), r6(F.sum(F.when(close, 0.8 - dist).otherwise(0.0))).alias("overlap"))
 
 
+@query("FN32", f"WITH {POINTS} SELECT a.entry, CAST(a.idx // 4 AS INTEGER) AS i, CAST(b.idx // 4 AS INTEGER) AS j, CAST(16 AS INTEGER) AS cells, {R('sum((a.x - b.x) / 2)')} AS dx, {R('sum(abs(a.y - b.y) / 2)')} AS dy, {R('max(CASE WHEN a.idx % 4 = 0 AND b.idx % 4 = 0 THEN (a.z - b.z) / 2 END)')} AS corner FROM points a JOIN points b ON a.entry = b.entry GROUP BY a.entry, a.idx // 4, b.idx // 4")
+def distance_patches(spark, d):
+    """Difference vectors of every chain in patches of four by four, with zeros up to a multiple of four."""
+    rows = G.patches(points(spark, d), 4, scale=2.0)
+    add = lambda i, f: F.aggregate("cells", F.lit(0.0), lambda a, v: a + f(F.get(v, F.lit(i))))
+    return rows.select("entry", "i", "j", F.size("cells").alias("cells"), r6(add(0, lambda x: x)).alias("dx"), r6(add(1, F.abs)).alias("dy"), r6(F.get(F.get("cells", F.lit(0)), F.lit(2))).alias("corner"))
+
+
 NAMES = ("N", "CA", "C")
 BACKBONE_SQL = "b AS (SELECT entry, idx // 3 AS res, CASE WHEN label % 3 = 0 THEN 'PRO' ELSE 'GLY' END AS resname, ['N', 'CA', 'C'][idx % 3 + 1] AS atom, x, y, z FROM points)"
 RADII_SQL = "r AS (SELECT * FROM (VALUES ('N', 1.55::DOUBLE), ('CA', 1.7), ('C', 1.7)) t(atom, r))"

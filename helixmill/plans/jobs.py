@@ -157,3 +157,29 @@ def best_sample_copies(spark, d):
     writers.write_named(best, f"{root}/designable").write.parquet(f"{root}/listing")
     files = spark.read.format("binaryFile").load(f"{root}/designable").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("digest"))
     return spark.read.parquet(f"{root}/listing").join(files, "name").select("name", "size", "digest")
+
+
+@query("SRC28", "SELECT source, CAST(doc_id % 7 AS INTEGER) AS cluster, 'd/' || doc_id || '.pdb' AS path FROM documents")
+def cluster_listing(spark, d):
+    """Documents in logs of a structure comparison, one a source, with a section before and after the listing."""
+    root = scratch(spark)
+    line = F.format_string("INFO  : %7d :       %d  d/%d.pdb", "doc_id", F.col("doc_id") % 7, "doc_id")
+    logs = table(spark, d, "documents").groupBy("source").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("lines"))  # rendering a log is one row, reading is not
+    text_of = F.concat(F.lit(f"INFO  : Reading\n{text.LISTING_END}INFO  : 7 Clusters\n{text.LISTING_HEAD}"), "lines", F.lit(f"\n{text.LISTING_END}INFO  : Done 1 : 2 3"))
+    logs.select("source", text_of.alias("value")).write.partitionBy("source").text(f"{root}/logs")
+    return text.read_clusters(spark, f"{root}/logs/*").select(F.regexp_extract("file", "source=([^/]*)", 1).alias("source"), "cluster", "path")
+
+
+@query("SNK09", f"WITH {POINTS} SELECT CAST(entry AS VARCHAR) AS entry, count(*) AS atoms, {R('sum(round(x, 3))')} AS x, {R('max(CASE WHEN idx = 20 THEN round(z, 3) END)')} AS z, count(DISTINCT idx // 3) AS residues FROM points GROUP BY entry")
+def mmcif_round_trip(spark, d):
+    """Chains written as mmCIF, with atom names that need quotes, and read back."""
+    root = scratch(spark)
+    p = points(spark, d)
+    name = F.get(F.array(F.lit("O5'"), F.lit("CA"), F.lit('C"')), F.col("idx") % 3)
+    number = (F.floor(F.col("idx") / 3) + 1).cast("int")
+    atoms = p.select(F.col("entry").cast("string").alias("entry"), F.lit(1).alias("model"), F.lit("A").alias("chain"), number.alias("res_idx"), F.lit("").alias("icode"), F.lit("GLY").alias("resname"), name.alias("atom"), F.lit("").alias("altloc"), "x", "y", "z", F.lit(50.0).alias("bfactor"), F.lit(False).alias("hetatm"))
+    files = writers.mmcif_text(atoms).select(F.concat("entry", F.lit(".cif")).alias("name"), "text")
+    writers.write_named(files, f"{root}/cif").write.parquet(f"{root}/written")
+    found, _ = structures.parse(structures.read_files(spark, f"{root}/cif"))
+    last = (F.col("res_idx") == 7) & (F.col("atom") == 'C"')
+    return found.groupBy("entry").agg(F.count("*").alias("atoms"), r6(F.sum("x")).alias("x"), r6(F.max(F.when(last, F.col("z")))).alias("z"), F.countDistinct("res_idx").alias("residues"))

@@ -284,6 +284,34 @@ def radial_and_sinusoid(spark, d):
     return e.select("event_id", r6(F.get(numeric.rbf(F.col("value") / 10, 0.001, 22.0, 16), F.lit(0))).alias("first"), r6(F.get(numeric.sinusoid(F.col("event_id"), 8), F.lit(0))).alias("sine"))
 
 
+@query(
+    "FN20",
+    f"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents), g AS (SELECT doc_id, w, list_transform(range(len(w) - 1), lambda i: i % 3 + CAST(floor((CAST(('0x' || substr(md5('motif:' || CAST(doc_id AS VARCHAR) || '-' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0) * 6) AS INTEGER)) AS g FROM t)
+    SELECT doc_id, CAST(coalesce(list_sum(g), 0) AS BIGINT) AS masks, md5(array_to_string(list_transform(w, lambda s, i: CASE WHEN i = 1 THEN s ELSE repeat('#', g[i - 1]) || s END), '')) AS digest FROM g""",
+)
+def motif_assembly(spark, d):
+    """Every word of a document as a motif, with spacers between them drawn from an interval of their own."""
+    rows = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ", -1).alias("w"))
+    gaps = sequence.spacers(F.size("w"), lambda i: (i % 3).cast("int"), lambda i: (i % 3 + 5).cast("int"), "motif", F.col("doc_id"))
+    return rows.withColumn("g", gaps).select("doc_id", F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x).alias("masks"), F.md5(sequence.assembled(F.col("w"), F.col("g"), "#")).alias("digest"))
+
+
+#: A joint vocabulary: marks and residues, then marks and structure codes.
+JOINT = ["<pad>", "<cls_aa>", "<eos_aa>", "<unk_aa>", "<mask_aa>", *sequence.RESIDUES, "<cls_struct>", "<eos_struct>", "<unk_struct>", "<mask_struct>", *(f"{i:04d}" for i in range(4096))]
+
+
+@query(
+    "FN10",
+    f"""WITH s AS (SELECT vec_id, list_transform({CODES}, lambda c: CASE WHEN c < 4096 THEN c + 29 ELSE 27 END) AS s FROM embeddings)
+    SELECT vec_id, CAST(len(s) + 2 AS INTEGER) AS n, CAST(len(list_filter(s, lambda x: x = 27)) AS INTEGER) AS unknown, array_to_string([25] || s || [26], ',') AS ids FROM s""",
+)
+def joint_structure_ids(spark, d):
+    """Structure codes of a joint vocabulary that knows half of them."""
+    rows = _codes(spark, d).select("vec_id", F.transform("codes", lambda c: F.lpad(c.cast("string"), 4, "0")).alias("t"))
+    ids = rows.select("vec_id", tokenizer.modal_ids(JOINT, "struct")("t").alias("ids"))
+    return ids.select("vec_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 27)).alias("unknown"), F.array_join("ids", ",").alias("ids"))
+
+
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'"
 
 

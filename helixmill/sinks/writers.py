@@ -134,3 +134,31 @@ def write_named(files: DataFrame, folder: str, name: str = "name", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string()))] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.string())], names=["name", "path", "size", "status"])
 
     return files.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInArrow(run, "name string, path string, size long, status string")
+
+
+#: Items of an atom in mmCIF text, in the order in which they are written.
+SITE = "group_PDB id type_symbol label_atom_id label_alt_id label_comp_id label_asym_id label_entity_id label_seq_id pdbx_PDB_ins_code Cartn_x Cartn_y Cartn_z occupancy B_iso_or_equiv auth_seq_id auth_comp_id auth_asym_id auth_atom_id pdbx_PDB_model_num".split()
+
+
+def cif_value(value, unknown: str = "?"):
+    """A value as mmCIF writes it: quoted where it must be, `unknown` for null and empty text. Line ends and both quotes at once have no such form."""
+    plain = value.rlike(r"^[^\s'\"#$_;\[\]][^\s'\"]*$") & ~F.lower(value).rlike(r"^(data_|save_|loop_|global_|stop_)")
+    quoted = F.when(value.contains("'"), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(F.concat(F.lit("'"), value, F.lit("'")))
+    impossible = value.contains("\n") | (value.contains("'") & value.contains('"'))
+    return F.when(F.coalesce(value, F.lit("")) == "", unknown).when(impossible, F.raise_error(F.concat(F.lit("no mmCIF form: "), value))).when(plain & ~value.isin(".", "?"), value).otherwise(quoted)
+
+
+def mmcif_text(atoms: DataFrame, key: str = "entry", entity=None) -> DataFrame:
+    """(key, text): each structure as one mmCIF block, its atoms by model, chain and residue. entity: a column, 1 if not given. A structure is one row."""
+    order = Window.partitionBy(key).orderBy("model", "chain", "res_idx", "icode", "atom", "altloc")
+    text = lambda c, unknown="?": cif_value(F.col(c).cast("string"), unknown)
+    number = lambda c: F.when(F.col(c).isNull() | F.isnan(c), "?").otherwise(F.format_string("%.3f", F.col(c)))
+    of = F.lit("1") if entity is None else cif_value(entity.cast("string"))
+    fields = [
+        F.when(F.col("hetatm"), "HETATM").otherwise("ATOM"), F.col("_n").cast("string"), cif_value(F.substring("atom", 1, 1)), text("atom"), text("altloc", "."), text("resname"), text("chain"), of,
+        text("res_idx"), text("icode"), number("x"), number("y"), number("z"), F.lit("1.0"), number("bfactor"), text("res_idx"), text("resname"), text("chain"), text("atom"), F.coalesce(F.col("model"), F.lit(1)).cast("string"),
+    ]
+    lines = atoms.withColumn("_n", F.row_number().over(order)).select(key, "_n", F.concat_ws(" ", *fields).alias("_t"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_t"))), lambda s: s["_t"]), "\n")
+    head = F.concat(F.lit("data_"), F.regexp_replace(F.col(key).cast("string"), r"\s", "_"), F.lit("\n_entry.id "), cif_value(F.col(key).cast("string")), F.lit("\n#\nloop_\n" + "".join(f"_atom_site.{i}\n" for i in SITE)))
+    return lines.groupBy(key).agg(body.alias("_b")).select(key, F.concat(head, "_b", F.lit("\n#\n")).alias("text"))

@@ -53,3 +53,23 @@ def by_split(rows: DataFrame, splits: DataFrame, name: str, split: str) -> DataF
     """Rows named in one split of a (split, names array) table."""
     wanted = splits.filter(F.col("split") == split).select(F.explode("names").alias(name))
     return rows.join(wanted, name, "left_semi")
+
+
+#: What a listing of clusters begins and ends with, and a line of it.
+LISTING_HEAD, LISTING_END = "INFO  : Item     Cluster\n", "INFO  : ======================================\n"
+LISTING_LINE = r"INFO\s+:\s+\d+\s:\s+(\d+)\s+(\S+)"
+
+
+def read_clusters(spark: SparkSession, path) -> DataFrame:
+    """(file, cluster, path) of every listing of clusters in logs of a structure comparison.
+
+    Logs are split at the rules between their sections, so a section is the unit of work and no line has to know what stands
+    before it. A line of a listing that cannot be read is an error when rows are computed.
+    """
+    sections = spark.read.option("lineSep", LISTING_END).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    after = F.expr(f"substring(value, instr(value, '{LISTING_HEAD}') + {len(LISTING_HEAD)})".replace("\n", "\\n"))
+    lines = sections.filter(F.col("value").contains(LISTING_HEAD)).select("file", F.explode(F.split(after, "\n")).alias("line"))
+    lines = lines.filter((F.col("line") != "") & (F.concat("line", F.lit("\n")) != LISTING_HEAD))
+    found = lambda i: F.regexp_extract("line", LISTING_LINE, i)
+    cluster = F.when(found(1) == "", F.raise_error(F.concat(F.lit("not a line of a listing: "), "line"))).otherwise(found(1))
+    return lines.select("file", cluster.cast("int").alias("cluster"), found(2).alias("path"))
