@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,8 @@ class MetadataFilter:
     min_lddt: float | None = None
     rog_quantile: float | None = None
     subset: int | None = None
+    eval_max_len: int | None = None
+    crop: int | None = None
     columns: dict[str, str] = field(default_factory=dict)
 
     def col(self, name: str) -> Column:
@@ -32,14 +34,19 @@ class MetadataFilter:
 
 
 #: The two published parameter sets.
-MONOMER_128 = MetadataFilter(max_len=128, oligomeric=("monomeric",), rog_quantile=0.96)
-PDB_SWISSPROT_512 = MetadataFilter(splits=("pdb", "afdb_swissprot"), min_len=60, max_len=1024)
+MONOMER_128 = MetadataFilter(max_len=128, oligomeric=("monomeric",), rog_quantile=0.96, eval_max_len=256)
+PDB_SWISSPROT_512 = MetadataFilter(splits=("pdb", "afdb_swissprot"), min_len=60, max_len=1024, crop=512)
 
 
 def all_of(predicates) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))
 
 
+def evaluation_scan(df: DataFrame, f: MetadataFilter, key: str) -> DataFrame:
+    """The rows of a set's own scan that are short enough to be evaluated on, whatever the length that it trains on."""
+    return metadata_scan(df, replace(f, max_len=f.eval_max_len), key)
+
+
 def metadata_scan(df: DataFrame, f: MetadataFilter, key: str) -> DataFrame:
     """All predicates in one conjunction, so they reach the scan; then the length-dependent radius cut-off."""
     tests = []

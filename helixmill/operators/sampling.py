@@ -75,18 +75,76 @@ def global_sum(df: DataFrame, bucket, order, value, name: str, by=()) -> DataFra
     return placed.join(totals, same).withColumn(name, F.col("_start") + F.col("_r")).drop("_b", "_v", "_r", "_start", "_kb", *[f"_k{i}" for i in range(len(by))])
 
 
-def diverse_rows(df: DataFrame, keys, key: str, seq: str, n: int, most: bool = True) -> DataFrame:
-    """Greedy choice of n aligned rows per group, each the most (or least) distant on average from those chosen.
+#: Bytes of a group, as a matrix of code points, up to which one task chooses from it alone; and bytes of chosen texts that a scan may carry.
+GROUP_BYTES, CARRIED_BYTES = 64 << 20, 64 << 20
+
+
+def diverse_rows(df: DataFrame, keys, key: str, seq: str, n: int, most: bool = True, group_bytes: int = GROUP_BYTES, carried_bytes: int = CARRIED_BYTES) -> DataFrame:
+    """Greedy choice of n aligned rows per group, each the most (or least) distant on average from those chosen: keys, key, step.
 
     Starts from the row with the smallest key; ties go to the smaller key. Key is unique in its
-    group and not null; rows shorter than the longest count as filled up with gaps. Each step scans
-    all rows: a task offers its best row of each group, and the best of these is chosen.
-    Distances are whole numbers of places, so no order of addition matters. Only chosen
-    rows, at most n a group, are held by the driver and sent to every task.
+    group and not null; rows shorter than the longest count as filled up with gaps; null text is empty.
+    Distances are whole numbers of places, so no order of addition matters.
+
+    Groups of up to `group_bytes` are chosen from whole, each in one task. Larger ones are scanned
+    once a step: a task offers its best row of each group, and the best of these is chosen. Such groups go in lots, so that the
+    texts chosen from a lot, which go to every task, stay within `carried_bytes` (one group at least).
     """
-    spark, kinds = df.sparkSession, dict(df.dtypes)
+    from helixmill.operators.graph import written
+
     rows = df.select(*keys, key, F.coalesce(F.col(seq), F.lit("")).alias("_seq"))
-    offer = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{key} {kinds[key]}", "_seq string", "_far long"])
+    wide = F.max(F.length("_seq")).cast("long")
+    sizes = rows.groupBy(*keys).agg((F.count("*") * (wide + 16) * 4).alias("_bytes"), (wide * 4 * n).alias("_held"))
+    large = sizes.filter(F.col("_bytes") > group_bytes)
+    before = F.sum("_held").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))  # a row per large group
+    large = written(large.withColumn("_lot", F.floor(F.coalesce(before, F.lit(0)) / carried_bytes)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lot"))
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{key}` {kinds[key]}", "step int"])
+    lots = sorted(r["_lot"] for r in large.select("_lot").distinct().collect())
+
+    def of(part, how):
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & rows[k].eqNullSafe(part[f"_k{i}"])
+        return rows.join(part, same, how)
+
+    out = (of(large, "left_anti") if lots else rows).groupBy(*keys).applyInPandas(_chosen(list(keys), key, n, most), schema)
+    for lot in lots:
+        out = out.unionByName(_scanned(written(of(large.filter(F.col("_lot") == lot), "left_semi")), keys, key, n, most, schema))
+    return out
+
+
+def _chosen(keys, key: str, n: int, most: bool):
+    """The greedy choice from one group."""
+
+    def run(group):
+        import numpy as np
+
+        group = group.sort_values(key).reset_index(drop=True)
+        codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in group["_seq"]]
+        m = np.full((len(codes), max(map(len, codes))), ord("-"), np.uint32)
+        for i, x in enumerate(codes):
+            m[i, : len(x)] = x
+        far, free, steps = np.zeros(len(m), np.int64), np.ones(len(m), bool), [0]
+        free[0] = False
+        while len(steps) < min(n, len(m)):
+            for i in range(len(m)):  # a row at a time: no second matrix
+                far[i] += np.count_nonzero(m[i] != m[steps[-1]])
+            left = np.flatnonzero(free)
+            best = int(left[far[left].argmax() if most else far[left].argmin()])
+            free[best] = False
+            steps.append(best)
+        taken = group.loc[steps[:n], [*keys, key]].copy()
+        taken["step"] = np.arange(len(taken), dtype=np.int32)
+        return taken
+
+    return run
+
+
+def _scanned(rows: DataFrame, keys, key: str, n: int, most: bool, schema: str) -> DataFrame:
+    """The greedy choice from groups of any size, by a scan a step."""
+    spark, kinds = rows.sparkSession, dict(rows.dtypes)
+    offer = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{key}` {kinds[key]}", "_seq string", "_far long"])
     order = F.struct((-F.col("_far") if most else F.col("_far")).alias("d"), F.col(key).alias("k"))
     taken: dict[tuple, list] = {}
     for _ in range(n):
@@ -97,8 +155,7 @@ def diverse_rows(df: DataFrame, keys, key: str, seq: str, n: int, most: bool = T
         sent.destroy()
         if not best:
             break
-    chosen = [(*g, k, i) for g, them in taken.items() for i, (k, _) in enumerate(them)]
-    return spark.createDataFrame(chosen, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{key} {kinds[key]}", "step int"]))
+    return spark.createDataFrame([(*g, k, i) for g, them in taken.items() for i, (k, _) in enumerate(them)], schema)
 
 
 def _offers(sent, most: bool):

@@ -55,6 +55,46 @@ def rog_curve_degree4(spark, d):
     return C.below_quantile_curve(meta(spark, d), "modeled_seq_len", "radius_gyration", 0.96, degree=4).select("k", "modeled_seq_len")
 
 
+CONF = "SELECT vec_id, list_transform(embedding, lambda x: round((CAST(x AS DOUBLE) + 1) * 50, 4)) AS conf FROM embeddings"
+
+
+def _conf(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round((x + 1) * 50, 4)).alias("conf"))
+
+
+PUBLISHED = META + ", pub AS (SELECT k, CASE k % 4 WHEN 0 THEN 'pdb' WHEN 1 THEN 'afdb_swissprot' ELSE 'other' END AS split, CASE WHEN k % 3 = 0 THEN 'monomeric' ELSE 'dimeric' END AS o, modeled_seq_len * 25 AS n FROM meta)"
+
+
+@query(
+    "FLT04b FLT01 FLT02",
+    f"""WITH {PUBLISHED} SELECT k, CAST(n AS INTEGER) AS n, 'monomer_128' AS part, CAST(0 AS INTEGER) AS start FROM pub WHERE o = 'monomeric' AND n <= 128
+    UNION ALL SELECT k, n, 'monomer_eval', 0 FROM pub WHERE o = 'monomeric' AND n <= 256
+    UNION ALL SELECT k, n, 'swissprot_512', CASE WHEN n > 512 THEN CAST(floor({U('pub', 'k')} * (n - 511)) AS INTEGER) ELSE 0 END FROM pub WHERE split IN ('pdb', 'afdb_swissprot') AND n BETWEEN 60 AND 1024""",
+)
+def published_sets(spark, d):
+    """Parts through the two published sets, without the radius curve, and the crops of the second."""
+    from dataclasses import replace
+
+    k = F.col("k")
+    rows = meta(spark, d).select("k", F.when(k % 4 == 0, "pdb").when(k % 4 == 1, "afdb_swissprot").otherwise("other").alias("split"), F.when(k % 3 == 0, "monomeric").otherwise("dimeric").alias("oligomeric_detail"), (F.col("modeled_seq_len") * 25).alias("modeled_seq_len"))
+    alone = replace(C.MONOMER_128, rog_quantile=None)
+    n, wide = F.col("modeled_seq_len"), C.PDB_SWISSPROT_512
+    cut = lambda df, name, start: df.select("k", n.alias("n"), F.lit(name).alias("part"), start.alias("start"))
+    whole = F.lit(0)
+    out = cut(C.metadata_scan(rows, alone, "k"), "monomer_128", whole).unionByName(cut(C.evaluation_scan(rows, alone, "k"), "monomer_eval", whole))
+    return out.unionByName(cut(C.metadata_scan(rows, wide, "k"), "swissprot_512", S.window_start(n, k, "pub", wide.crop)))
+
+
+@query(
+    "FLT12",
+    f"""WITH c AS ({CONF}) SELECT doc_id, n_chars FROM documents JOIN c ON vec_id = doc_id WHERE text IS NOT NULL AND n_chars <= 4000 AND (doc_id % 2 <> 0 OR (list_stddev_pop(conf) < 6.2 AND list_avg(conf) > 49.5))""",
+)
+def structure_corpus_quality(spark, d):
+    """Documents with vectors as confidences, every other one predicted: even and high confidence is asked of these only."""
+    rows = table(spark, d, "documents").select("doc_id", "text", "n_chars").join(_conf(spark, d).withColumnRenamed("vec_id", "doc_id"), "doc_id").withColumn("avg", numeric.mean(F.col("conf")))
+    return C.corpus_quality(rows, "text", "n_chars", "conf", "avg", F.col("doc_id") % 2 == 0, 4000, 49.5, 6.2).select("doc_id", "n_chars")
+
+
 @query("FLT06 TOP01 SRT01", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
 def subset_longest(spark, d):
     return table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
@@ -65,13 +105,6 @@ def high_confidence(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id").filter("quality IS NOT NULL AND quality > 0.7 AND toxic < 0.7").select("doc_id", "quality", "toxic")
 
 
-CONF = "SELECT vec_id, list_transform(embedding, lambda x: round((CAST(x AS DOUBLE) + 1) * 50, 4)) AS conf FROM embeddings"
-
-
-def _conf(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round((x + 1) * 50, 4)).alias("conf"))
-
-
 @query("FLT09", f"WITH c AS ({CONF}) SELECT vec_id, CAST(len(list_filter(conf, lambda x: x > 55)) AS BIGINT) AS kept, {R('coalesce(list_sum(list_filter(conf, lambda x: x > 55)), 0)')} AS total FROM c")
 def confidence_mask(spark, d):
     kept = F.filter(C.mask_below(F.col("conf"), F.col("conf"), 55), lambda x: x.isNotNull())

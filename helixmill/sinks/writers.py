@@ -70,7 +70,7 @@ def new_rows(df: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A small summary as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def representations(tokens: DataFrame, include=("per_tok", "mean", "bos"), most: int = 1022, keys=("label",)) -> DataFrame:

@@ -39,17 +39,13 @@ def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> No
 
 
 def upsert(df: DataFrame, key: str, path: str, checkpoint: str) -> None:
-    """Rows whose key is not there yet are appended, batch by batch; a repeated batch adds nothing."""
-
-    def add(batch, _):
-        spark = batch.sparkSession
-        try:
-            there = spark.read.parquet(path).select(key)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            there = None
-        fresh = batch.dropDuplicates([key])
-        (fresh.join(there, key, "left_anti") if there is not None else fresh).write.mode("append").parquet(path)
-
-    df.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """The first row of each key is appended, batch by batch.
+
+    Which keys are there is state of the stream, kept with its checkpoint, so the target is never read again
+    (set RocksDB as state store for many keys). A batch that is repeated after a failure replaces its own folder, `batch=<number>`.
+    """
+
+    def add(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.dropDuplicates([key]).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -42,9 +42,10 @@ def test_diverse_rows_looks_at_all_rows_and_places(spark):
     rnd = random.Random(3)
     rows = [(g, i, "".join(rnd.choice("AC-é") for _ in range(rnd.choice([0, 5, 60, 90])))) for g in "xy" for i in range(40)] + [("z", 7, None), ("z", 3, "A")]
     df = spark.createDataFrame(rows, "g string, i int, s string").repartition(5)
-    for most in (True, False):
+    # Whole groups in tasks; scans of all groups at once, and of lots of one group; both ways at once.
+    for most, bounds in [(True, {}), (False, {}), (True, {"group_bytes": 0}), (False, {"group_bytes": 0, "carried_bytes": 1}), (True, {"group_bytes": 2000, "carried_bytes": 1})]:
         got = collections.defaultdict(list)
-        for r in sampling.diverse_rows(df, ["g"], "i", "s", 6, most).orderBy("step").collect():
+        for r in sampling.diverse_rows(df, ["g"], "i", "s", 6, most, **bounds).orderBy("step").collect():
             got[r.g].append(r.i)
         assert got == {g: greedy([(i, s) for h, i, s in rows if h == g], 6, most) for g in "xyz"}
 
