@@ -66,13 +66,13 @@ def global_sum(df: DataFrame, bucket, order, value, name: str, by=()) -> DataFra
     keyed = df.withColumn("_b", bucket).withColumn("_v", value)
     totals = keyed.groupBy(*by, "_b").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_earlier"))
     inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_r", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     same = F.col("_b").eqNullSafe(F.col("_kb"))
     for i, k in enumerate(by):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return placed.join(totals, same).withColumn(name, F.col("_start") + F.col("_r")).drop("_b", "_v", "_r", "_start", "_kb", *[f"_k{i}" for i in range(len(by))])
+    return placed.join(totals, same).withColumn(name, F.col("_earlier") + F.col("_r")).drop("_b", "_v", "_r", "_earlier", "_kb", *[f"_k{i}" for i in range(len(by))])
 
 
 #: Bytes of a group, as a matrix of code points, up to which one task chooses from it alone; and bytes of chosen texts that a scan may carry.
