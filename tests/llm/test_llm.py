@@ -452,6 +452,40 @@ def test_quality(spark, odd, empty, labels):
     assert kneser_ney.keep(odd, labels.limit(0)).count() == sum(bool(t) for _, t, _ in ODD)
 
 
+def test_limits_of_a_table_equal_their_definition(spark):
+    """Many languages, one of them with more texts than OTHERS say, copies, and texts without a language."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(1500):
+        chars = rnd.randrange(1, 3000)
+        rows.append((rnd.choice(["a"] * 60 + ["b"] * 20 + ["c", "d", None]), chars * (2 + rnd.gauss(0, 0.1)), chars))
+    rows += [("a", 900.0, 400)] * 300 + [("only", 77.0, 30)]
+    held = spark.createDataFrame(rows, "lang string, nll double, chars long")
+    for quantile, prior, slack in ((0.999, 200, 1.05), (0.9, 0, 1.0), (0.5, 10, 1.0), (1.0, 200, 1.0)):
+        mean, most = kneser_ney.thresholds(held.toPandas(), quantile, prior, slack)
+        got = {r.lang: r for r in kneser_ney.limits(held, quantile, prior, slack).collect()}
+        assert set(got) == set(mean)
+        assert all(abs(got[k]["mean"] - mean[k]) < 1e-9 and abs(got[k].most - most[k]) < 1e-9 for k in mean)
+
+
+def test_quality_learns_from_every_trusted_text(spark):
+    """Trusted texts beyond the 6,000 that once were looked at: the model equals one of all of them, the thresholds too."""
+    rows = [(i, words(6, i % 997) + f" {chr(0x4E00 + i % 40) if i % 50 == 7 else ''}", "a" if i % 3 else "b") for i in range(7000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.range(7000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    held = lambda i: int(hashlib.md5(f"trusted:{i}".encode()).hexdigest()[30:], 16) % 2 == 1
+    training = spark.createDataFrame([(t,) for i, t, _ in rows if not held(i)], "text string")
+    alphabet = kneser_ney.alphabet_of(training)
+    table = kneser_ney.dense(kneser_ney.train(kneser_ney.trigrams(training, alphabet)))
+    score = kneser_ney.scorer(spark, alphabet, table)
+    scored = df.select("doc_id", "lang", score("text").alias("s")).select("doc_id", "lang", "s.nll", "s.chars").toPandas()
+    _, most = kneser_ney.thresholds(scored[scored.doc_id.map(held)])
+    got = kneser_ney.classify(df, lab).toPandas().set_index("doc_id")
+    want = np.exp(scored.nll / scored.chars)
+    assert np.allclose(got._kn_perplexity[scored.doc_id].to_numpy(), want, rtol=1e-6)
+    assert np.allclose(got._kn_threshold[scored.doc_id].to_numpy(), np.exp(scored.lang.map(most)), rtol=1e-6)
+
+
 # --- licences
 
 
