@@ -9,7 +9,8 @@
    linked classes merge. What a mixed bucket leaves in different components goes
    through an exact prefix join on full sets, rarest shingles first: it brings together
    only pairs that may be links, where a large group of edited copies would give the
-   square of its size.
+   square of its size. Parities of the sets, an exact bound, drop nearly all that are
+   not before they are a row.
 4. A candidate's similarity is estimated from the packed bits, corrected for chance
    agreement, (m - 2^-b) / (1 - 2^-b); pairs over ESTIMATE, six standard deviations
    below the threshold, are confirmed on full sets, which only these texts need.
@@ -37,6 +38,10 @@ PERMUTATIONS, BANDS, BITS = 128, 32, 2
 ESTIMATE = 0.5
 #: Earlier shingles in a row of the prefix join; beyond them a pair may meet again, which changes no result.
 REMEMBERED = 32
+#: Longs of a set's parities: bit b is the parity of its shingles with hash b modulo their number of bits.
+WORDS = 8
+PARITY = tuple(f"p{i}" for i in range(WORDS))
+LISTS = "id long, key binary, hashes array<long>, " + ", ".join(f"{p} long" for p in PARITY)
 #: Text that a task takes at a time.
 SLICE_BYTES = 4 << 20
 SIGNATURE = ("s0", "s1", "s2", "s3")
@@ -143,6 +148,14 @@ def _sets(batches):
     trim()
 
 
+def parities(values):
+    """A set -> WORDS longs. Shingles that two sets share cancel out, so they differ in at most as many bits as shingles."""
+    import numpy as np
+
+    bits = np.bincount((values >> np.uint64(8)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _lists(batches):
     import numpy as np
     import pyarrow as pa
@@ -151,7 +164,8 @@ def _lists(batches):
     for part in slices(batches, 1, SLICE_BYTES):
         sets = list(shingle_sets(part.column(1)))
         keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "key", "hashes"])
+        bits = np.array([parities(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(WORDS)]], names=["id", "key", "hashes", *PARITY])
     trim()
 
 
@@ -187,6 +201,14 @@ def _possible(left: str, right: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (estimate(left, right) >= ESTIMATE)
 
 
+def _near_enough(percent: int):
+    """No pair of the similarity differs in more shingles than (n + m) (100 - percent) / (100 + percent)."""
+    differ = F.lit(0)
+    for p in PARITY:
+        differ = differ + F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}")))
+    return differ * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent)
+
+
 def _side(table: DataFrame, name: str) -> DataFrame:
     return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *SIGNATURE)])
 
@@ -241,20 +263,21 @@ def apart_pairs(apart: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     its own edits and meets nobody, where pairs of a bucket would grow with its square.
     A pair meets at its first common shingle only: each row carries up to REMEMBERED
     shingles that stand before its own, and rows that share one of these met there.
+    A pair whose parities differ in more bits than a link may have shingles is no row.
     """
-    sets = docs.join(small(materialise(apart.select("id").distinct(), "near-apart-ids")), "id", "left_semi").mapInArrow(_lists, "id long, key binary, hashes array<long>")
-    tokens = materialise(sets.select("id", "key", F.explode("hashes").alias("h")), "near-apart-tokens")
+    sets = materialise(docs.join(small(materialise(apart.select("id").distinct(), "near-apart-ids")), "id", "left_semi").mapInArrow(_lists, LISTS), "near-apart-sets")
+    tokens = sets.select("id", "key", F.explode("hashes").alias("h"))
     often = tokens.groupBy("h").agg(F.count("*").alias("c"))
     ordered = tokens.join(often, "h").groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("r"))  # one text's shingles
     head = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    placed = ordered.join(apart, ["id", "key"]).select("id", "component", "n", *SIGNATURE, head.alias("head"))
+    placed = ordered.join(apart, ["id", "key"]).join(sets.select("id", "key", *PARITY).distinct(), ["id", "key"]).select("id", "component", "n", *SIGNATURE, *PARITY, head.alias("head"))
     shared = F.filter("head", lambda t: t["c"] > 1)["h"]  # a shingle of one set has nobody to meet
     rows = placed.select("*", F.slice(shared, 1, REMEMBERED).alias("first"), F.posexplode("head").alias("i", "t")).filter("t.c > 1")
     at = F.array_position("first", F.col("t.h")).cast("int")
     rows = rows.withColumn("before", F.when(at == 0, F.col("first")).otherwise(F.slice("first", F.lit(1), F.greatest(at - 1, F.lit(0)))))
-    x, y = (rows.select(F.col("t.h").alias("h"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", "i", "before", *SIGNATURE)]) for s in ("x", "y"))
+    x, y = (rows.select(F.col("t.h").alias("h"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "n", "i", "before", *SIGNATURE, *PARITY)]) for s in ("x", "y"))
     room = lambda s: (F.col(f"{s}_n") - F.col(f"{s}_i")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
-    pairs = x.join(y, "h").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & room("x") & room("y") & _possible("x_", "y_", percent) & ~F.arrays_overlap("x_before", "y_before"))
+    pairs = x.join(y, "h").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & room("x") & room("y") & _near_enough(percent) & _possible("x_", "y_", percent) & ~F.arrays_overlap("x_before", "y_before"))
     return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 

@@ -145,6 +145,36 @@ def test_minhash_finds_every_link(spark):
     assert got == comp
 
 
+def test_prefix_join_drops_pairs_that_are_no_links(spark, monkeypatch):
+    """Edited copies of one text, most of which are like the base but not like each other: nearly only links become rows, and all of them do."""
+    rnd, rows = random.Random(8), []
+    base = words(150, 3).split()
+    for i in range(90):
+        copy = list(base)
+        for _ in range(rnd.randint(4, 7)):
+            copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(copy), "s"))
+    docs = docs_of(spark, rows).selectExpr("doc_id AS id", "text")
+    features = docs.mapInArrow(minhash._features, minhash.FEATURES)
+    apart = features.groupBy("key", "n", *minhash.SIGNATURE).agg(F.min("doc_id").alias("id")).withColumn("component", F.col("id")).cache()
+    found = {(r.a, r.b) for r in minhash.apart_pairs(apart, docs, 75).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t, _ in rows}
+    links = {(a, b) for a, b in itertools.combinations(range(90), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    monkeypatch.setattr(minhash, "_near_enough", lambda percent: F.lit(True))
+    without = {(r.a, r.b) for r in minhash.apart_pairs(apart, docs, 75).collect()}
+    assert links <= found < without and len(found - links) < 0.5 * len(without - links), (len(links), len(found), len(without))
+
+
+def test_parities_never_differ_in_more_bits_than_shingles():
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 40, 700, 9000):
+        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        y = np.concatenate([x[size // 7 :], np.unique(rng.integers(0, 2**63, size // 9).astype(np.uint64))])
+        differ = sum(bin(int(v) & (2**64 - 1)).count("1") for v in minhash.parities(x) ^ minhash.parities(y))
+        assert differ <= len(np.setxor1d(x, y)) and (size < 40 or differ > 0)
+        assert not (minhash.parities(x) ^ minhash.parities(x)).any() and len(minhash.parities(x)) == minhash.WORDS
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in minhash.components(links).collect()}
