@@ -516,6 +516,18 @@ def test_quality_learns_from_every_trusted_text(spark):
     assert np.allclose(got._kn_threshold[scored.doc_id].to_numpy(), np.exp(scored.lang.map(most)), rtol=1e-6)
 
 
+def test_pipeline_quality_counts_or_holds_out_every_trusted_text(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.range(6500).selectExpr("id AS doc_id", "concat('some words of text ', id % 700) AS text", "'a' AS lang")
+    spark.range(6500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    for name in ("trigrams", "limits"):
+        monkeypatch.setattr(kneser_ney, name, lambda rows, *more, f=getattr(kneser_ney, name): (seen.append(rows.count()), f(rows, *more))[1])
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).columns == docs.columns
+    assert len(seen) == 2 and sum(seen) == 6500 and min(seen) > 2500
+
+
 # --- licences
 
 
