@@ -413,6 +413,22 @@ def test_kneser_ney_paths_agree_and_add_up(spark):
     assert r.chars == len(sample) and abs(r.nll + table[codes].sum()) < 1e-2
 
 
+@pytest.mark.parametrize("by", [[], ["model"]])
+def test_kneser_ney_tables_do_not_make_each_other_again(spark, by):
+    # Plans that held the steps of the tables below them had 10 exchanges for p1 and 18 for p2; the driver ran out of its memory.
+    texts = spark.createDataFrame([(f"some text {i % 7} of letters {chr(97 + i % 26)}",) for i in range(60)], "text string")
+    counts = kneser_ney.trigrams(texts, kneser_ney.alphabet_of(texts))
+    if by:
+        counts = counts.withColumn("model", F.explode(F.array(F.lit(0), F.lit(1))))
+    model = kneser_ney.train(kneser_ney.materialise(counts, "trigrams"), by)
+    plans = {name: model[name]._jdf.queryExecution().executedPlan().toString() for name in kneser_ney.TABLES}
+    assert {name: plan.count("Exchange") for name, plan in plans.items() if name != "p3"} == {"g3": 0, "p2": 0, "g2": 0, "p1": 0}
+    assert plans["p3"].count("Exchange") <= 4
+    tables = [t for _, t in kneser_ney.dense_each(model, "model")] if by else [kneser_ney.dense(model)]
+    one = kneser_ney.dense(kneser_ney.train(counts.filter("model = 0").drop("model") if by else counts))
+    assert len(tables) == max(1, 2 * len(by)) and all(np.allclose(t, one) for t in tables)
+
+
 def brute_kneser_ney(texts, alphabet):
     """Interpolated modified Kneser-Ney by dictionaries, from its definition; returns p(a, b, c)."""
     code = {c: i + 2 for i, c in enumerate(alphabet)}
